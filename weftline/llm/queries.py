@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding
+from . import bpe, mixing, quality, sharding, simhash
 from .common import table
 
 
+def op1_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf_dir, "documents"))
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
@@ -32,7 +37,7 @@ def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pareto_mix, op6_tree_bpe, op7_binpack_shards, op10_boosted_quality)}
+    return {f.__name__: f for f in (op1_pigeonring_simhash, op3_pareto_mix, op6_tree_bpe, op7_binpack_shards, op10_boosted_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
