@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, simhash
+from . import bpe, mixing, pii, quality, sharding, simhash
 from .common import table
 
 
@@ -16,6 +16,12 @@ def op1_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.spans(table(spark, sf_dir, "documents")).withColumn("sure", F.filter("spans", lambda c: c["base"]))
+    counts = [F.expr(f"cast(size(filter(sure, c -> c.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in pii.KINDS]
+    return got.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(pii.written(F.col("sure")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf_dir, "documents"))
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
@@ -37,7 +43,7 @@ def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pigeonring_simhash, op3_pareto_mix, op6_tree_bpe, op7_binpack_shards, op10_boosted_quality)}
+    return {f.__name__: f for f in (op1_pigeonring_simhash, op2_weak_pii, op3_pareto_mix, op6_tree_bpe, op7_binpack_shards, op10_boosted_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
