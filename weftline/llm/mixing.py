@@ -5,7 +5,8 @@ weight that falls with the size class (documents beyond ``LONG`` words count les
 giants make up a source), at most ``MOST`` each. The whole part is taken for certain. The rest is an
 inclusion probability p, and the documents of a source are ranked by (u/(1-u)) / (p/(1-p)) with u a
 hash of doc_id in (0, 1); the first in that order are taken until the words still missing are
-reached, to the nearest document. So the sample has a fixed size in words, reruns agree, and no
+reached, to the nearest document, and where that leaves a gap, one more document of the source closes
+it: of those ranked after, the one whose size is nearest to the gap. So the sample has a fixed size in words, reruns agree, and no
 source is ranked in one task: ranks are dealt into ``BUCKETS`` intervals, words are summed by interval,
 and only the interval in which the target falls is looked at document by document.
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small, word_count
+from .common import cut, small, word_count
 
 #: Fixed values of the mix: the cycle of weights, the share of all words, the most copies of a document.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -68,7 +69,7 @@ def mix(docs: DataFrame, seed: str = "mix", most: float = MOST, buckets: int = B
     most) for every row of docs."""
     # Long documents count less, by half steps of the size class.
     klass = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col("mix_size"), F.lit(1)) / float(LONG)))).cast("int")
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_size"))
+    narrow = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_size")))
     classes = small(narrow.groupBy("source", klass.alias("klass")).agg(F.sum("mix_size").alias("words")))
     targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), most=most)
     # Expected copies of a class: min(most, alpha * weight), with alpha such that the words add up to the target.
@@ -109,21 +110,31 @@ def mix(docs: DataFrame, seed: str = "mix", most: float = MOST, buckets: int = B
         .select(F.col("source").alias("e_source"), F.col("e.mix_bucket").alias("e_bucket"), F.col("e.start").alias("e_start"), F.col("e.missing").alias("e_missing"))
     )
     at = _same(F.col("source"), F.col("e_source")) & (F.col("mix_bucket") == F.col("e_bucket"))
-    inside = Window.partitionBy("source").orderBy("mix_q", "doc_id", "mix_size")
+    inside = Window.partitionBy("source").orderBy("mix_q", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = F.struct("mix_q", "doc_id", "mix_size")
+    reached = light.join(edge, at).withColumn("reach", F.col("e_start") + F.sum("mix_size").over(inside))
+    # The last document of the prefix that stays below the missing words.
     last = (
-        light.join(edge, at)
-        .withColumn("reach", F.col("e_start") + F.sum("mix_size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        # A document is in if that brings the sum nearer to the target than leaving it out.
-        .filter(F.col("reach") - F.col("mix_size") / 2.0 <= F.col("e_missing"))
-        .groupBy("source").agg(F.max(F.struct("mix_q", "doc_id", "mix_size")).alias("l"))
-        .select(F.col("source").alias("l_source"), "l")
+        reached.filter(F.col("reach") <= F.col("e_missing"))
+        .groupBy("source").agg(F.max(F.struct(key.alias("key"), "reach")).alias("l"))
+        .select(F.col("source").alias("l_source"), F.col("l.key").alias("l"), F.col("l.reach").alias("l_reach"))
     )
-    cut = small(edge.join(last, _same(F.col("e_source"), F.col("l_source")), "left").select("e_source", "e_bucket", "l"))
-    key = F.struct("mix_q", "doc_id", "mix_size")
-    # Without an edge (rounding) all that is ranked belongs to the sample if words are missing.
-    extra = F.when(F.col("p") > 0, F.when(F.col("e_bucket").isNull(), F.col("missing") > 0).otherwise((F.col("mix_bucket") < F.col("e_bucket")) | ((F.col("mix_bucket") == F.col("e_bucket")) & F.coalesce(key <= F.col("l"), F.lit(False)))))
+    prefix = edge.join(last, _same(F.col("e_source"), F.col("l_source")), "left").select("e_source", "e_bucket", "l", (F.col("e_missing") - F.coalesce("l_reach", "e_start")).alias("gap"))
+    prefix = small(prefix)
+    later = (F.col("mix_bucket") > F.col("e_bucket")) | ((F.col("mix_bucket") == F.col("e_bucket")) & F.coalesce(key > F.col("l"), F.lit(True)))
+    # The closing document: nearest in size to the gap, if that is nearer than none.
+    closing = (
+        light.join(prefix, _same(F.col("source"), F.col("e_source"))).filter(later)
+        .withColumn("off", F.abs(F.col("mix_size") - F.col("gap"))).filter(F.col("off") < F.col("gap"))
+        .groupBy("source").agg(F.min(F.struct("off", key.alias("key"))).alias("c"))
+        .select(F.col("source").alias("c_source"), F.col("c.key").alias("c"))
+    )
+    ends = small(prefix.join(closing, _same(F.col("e_source"), F.col("c_source")), "left").select("e_source", "e_bucket", "l", "c"))
+    # Without an edge all that is ranked is needed, if any words are missing.
+    chosen = F.when(F.col("e_bucket").isNull(), F.col("missing") > 0).otherwise(~later | F.coalesce(key == F.col("c"), F.lit(False)))
+    extra = F.when(F.col("p") > 0, chosen)
     whole = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("mix_size"))
-    out = ranked(whole).join(cut, _same(F.col("source"), F.col("e_source")), "left")
+    out = ranked(whole).join(ends, _same(F.col("source"), F.col("e_source")), "left")
     copies = F.coalesce(F.col("sure"), F.lit(0)) + F.coalesce(extra.cast("int"), F.lit(0))
     return out.select("row", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), copies.alias("copies"))
 
