@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatfmt, mixing, mpeg, pii, quality, sharding, simhash
+from . import bpe, chatfmt, mixing, mpeg, pii, quality, secrets, sharding, simhash
 from .common import table
 
 
@@ -44,6 +44,12 @@ def op7_binpack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", F.col("text_crc32").cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+    spans = F.array_join(F.transform("secrets", lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string"))), ",")
+    return got.select(F.col("row.doc_id").alias("doc_id"), F.size("found").cast("long").alias("n_candidates"), F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"))
+
+
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mpeg.read(mpeg.store(table(spark, sf_dir, "documents")))
     return got.select(
@@ -58,7 +64,7 @@ def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pigeonring_simhash, op2_weak_pii, op3_pareto_mix, op4_chat_round_trip, op6_tree_bpe, op7_binpack_shards, op9_mpeg_audio, op10_boosted_quality)}
+    return {f.__name__: f for f in (op1_pigeonring_simhash, op2_weak_pii, op3_pareto_mix, op4_chat_round_trip, op6_tree_bpe, op7_binpack_shards, op8_forest_secrets, op9_mpeg_audio, op10_boosted_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
