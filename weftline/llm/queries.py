@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatfmt, mixing, mpeg, pii, quality, secrets, sharding, simhash
+from . import bpe, chatfmt, mixing, mpeg, pii, quality, secrets, sharding, simhash, substr
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op4_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatfmt.read_back(chatfmt.segments(turns.unionByName(both)))
 
 
+def op5_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substr.deduplicate_in_batches(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     return got.select("doc_id", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -64,7 +69,7 @@ def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pigeonring_simhash, op2_weak_pii, op3_pareto_mix, op4_chat_round_trip, op6_tree_bpe, op7_binpack_shards, op8_forest_secrets, op9_mpeg_audio, op10_boosted_quality)}
+    return {f.__name__: f for f in (op1_pigeonring_simhash, op2_weak_pii, op3_pareto_mix, op4_chat_round_trip, op5_fingerprint_index, op6_tree_bpe, op7_binpack_shards, op8_forest_secrets, op9_mpeg_audio, op10_boosted_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
