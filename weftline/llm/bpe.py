@@ -154,24 +154,32 @@ def _place(path: str | None) -> tuple[str, str]:
     return path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) of every row. The vocabulary file is looked up on
-    the executors: it belongs to an installed package, or path is one that all machines have."""
+def _mapped(df: DataFrame, carried: list[str], source: str, path: str | None, pattern: str | None, step, made: dict[str, str]) -> DataFrame:
+    """df's columns carried, and those of made, which step gives for a Bpe and a value of source."""
+    kinds = dict(df.dtypes)
 
     def rows(got: dict[str, list]) -> dict[str, list]:
         at, default = _place(path)
         bpe = _loaded(at, pattern or default)
-        return {"doc_id": got["doc_id"], "ids": [bpe.encode_bytes(t) if t else b"" for t in got["text"]]}
+        new = [step(bpe, value) for value in got[source]]
+        return {c: got[c] for c in carried} | {c: list(values) for c, values in zip(made, zip(*new))}
 
-    return map_slices(docs.select("doc_id", "text"), rows, "doc_id long, ids binary")
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in carried] + [f"{c} {kind}" for c, kind in made.items()])
+    return map_slices(df.select(*dict.fromkeys([*carried, source])), rows, schema)
 
 
-def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids and decoded (binary UTF-8) of rows of encode."""
+def encode(docs: DataFrame, carried: list[str] | None = None, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The carried columns (doc_id unless said otherwise) and ids (binary, little-endian unsigned 32-bit) of
+    every row. The vocabulary file is looked up on the executors: it belongs to an installed package, or path
+    is one that all machines have."""
+    return _mapped(docs, carried or ["doc_id"], "text", path, pattern, lambda bpe, text: (bpe.encode_bytes(text) if text else b"",), {"ids": "binary"})
+
+
+def decode(encoded: DataFrame, carried: list[str] | None = None, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The carried columns, ids and decoded (binary UTF-8) of rows with ids."""
+    return _mapped(encoded, carried or ["doc_id"], "ids", path, pattern, lambda bpe, ids: (ids, bpe.decode(np.frombuffer(ids, "<u4"))), {"ids": "binary", "decoded": "binary"})
 
-    def rows(got: dict[str, list]) -> dict[str, list]:
-        at, default = _place(path)
-        bpe = _loaded(at, pattern or default)
-        return {"doc_id": got["doc_id"], "ids": got["ids"], "decoded": [bpe.decode(np.frombuffer(x, "<u4")) for x in got["ids"]]}
 
-    return map_slices(encoded.select("doc_id", "ids"), rows, "doc_id long, ids binary, decoded binary")
+def tokenise(docs: DataFrame, carried: list[str] | None = None, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """encode, then decode."""
+    return decode(encode(docs, carried, path, pattern), carried, path, pattern)

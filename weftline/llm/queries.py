@@ -40,7 +40,7 @@ def op5_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    got = bpe.tokenise(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
