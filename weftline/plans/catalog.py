@@ -1,11 +1,23 @@
-"""The registry of named queries and their SQL."""
+"""The registry of named queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _modules() -> list:
+    from . import affect, corpora, dialogue, evaluation, events, extensions
+
+    return [corpora, dialogue, evaluation, events, affect, extensions]
+
+
+def queries() -> dict[str, Query]:
+    return {name: made for module in _modules() for name, made in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _modules() for name, sql in module.SQL.items()}
