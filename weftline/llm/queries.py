@@ -72,5 +72,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pigeonring_simhash, op2_weak_pii, op3_pareto_mix, op4_chat_round_trip, op5_fingerprint_index, op6_tree_bpe, op7_binpack_shards, op8_forest_secrets, op9_mpeg_audio, op10_boosted_quality)}
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: The mix without intervals: one running sum a source.
+_MIX = f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+k AS (SELECT *, greatest(0, CAST(floor(log2(greatest(size, 1) / 1024.0::DOUBLE)) AS INT)) AS klass FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
+r AS (SELECT *, 2.0::DOUBLE * source_size / weight AS ratio, sum(source_size) OVER () AS total FROM w),
+l AS (SELECT *, (1.5::DOUBLE * total - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, source_size, CASE WHEN level >= ratio THEN 2.0::DOUBLE * source_size ELSE (SELECT level FROM l WHERE level < ratio ORDER BY ratio, level LIMIT 1) * weight END AS target FROM l),
+c AS (SELECT source, klass, CAST(sum(size) AS BIGINT) AS words, pow(2.0::DOUBLE, -0.5::DOUBLE * klass) AS f FROM k GROUP BY source, klass),
+a AS (SELECT t.*, c.klass, c.words, c.f, (target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY klass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / nullif(sum(words * f) OVER (PARTITION BY c.source ORDER BY klass ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS alpha FROM t JOIN c ON t.source IS NOT DISTINCT FROM c.source),
+e AS (SELECT *, coalesce(alpha * f >= 2, false) OR target >= 2.0::DOUBLE * source_size AS whole FROM a),
+x AS (SELECT *, CASE WHEN whole THEN 2.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(2.0::DOUBLE, coalesce(first_value(CASE WHEN NOT whole THEN alpha END IGNORE NULLS) OVER (PARTITION BY source ORDER BY klass ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) * f)) END AS expected FROM e),
+p AS (SELECT *, CAST(floor(expected) AS INT) AS sure, expected - floor(expected) AS p, target - sum(words * CAST(floor(expected) AS INT)) OVER (PARTITION BY source) AS missing FROM x),
+u AS (SELECT doc_id, (CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix'), 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM (SELECT DISTINCT doc_id FROM d)),
+q AS (SELECT k.doc_id, k.source, k.size, source_size, target, sure, p, missing, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source AND k.klass = p.klass JOIN u ON k.doc_id IS NOT DISTINCT FROM u.doc_id),
+o AS (SELECT *, CASE WHEN p > 0 THEN sum(size) OVER (PARTITION BY source, p > 0 ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS reach FROM q),
+g AS (SELECT source, any_value(missing) - coalesce(max(reach) FILTER (reach <= missing), 0) AS gap FROM o GROUP BY source),
+m AS (SELECT o.source, min(struct_pack(off := abs(size - gap), q := q, doc_id := doc_id)) AS c FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source WHERE p > 0 AND reach > missing AND abs(size - gap) < gap GROUP BY o.source)
+SELECT o.doc_id, size, source_size, target, CAST(size * (sure + CASE WHEN p > 0 AND (reach <= missing OR (q = m.c.q AND o.doc_id IS NOT DISTINCT FROM m.c.doc_id)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM o LEFT JOIN m ON o.source IS NOT DISTINCT FROM m.source"""
+
+_CHAT = r"""WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+b AS (SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS x FROM t),
+f AS (SELECT *, CASE WHEN contains(x, '</turn') OR contains(x, '<turn') THEN replace(replace(replace(x, '\', '\\'), '</turn', '<\/turn'), '<turn', '<\turn') ELSE x END AS body FROM b)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+CAST(coalesce(sum(length(x)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(17 + length(r) + length(body)) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id"""
+
+_SUBSTRINGS = f"""WITH d AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS k, {_WORDS} AS w FROM documents),
+win AS (SELECT k, s, array_to_string(w[s:s + 19], ' ') AS t FROM d, unnest(range(1, len(w) - 18)) AS u(s)),
+dup AS (SELECT k, s FROM (SELECT k, s, row_number() OVER (PARTITION BY t ORDER BY k, s) AS r FROM win) WHERE r > 1),
+cov AS (SELECT DISTINCT k, s + i AS p FROM dup, range(20) AS r(i)),
+word AS (SELECT k, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
+kept AS (SELECT k, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS text FROM word ANTI JOIN cov USING (k, p) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that it can express over whole tables. XXH64, byte pairs, MPEG, trees and packing
+    are beyond it; tests/llm holds those queries against brute force."""
+    return {"op3_pareto_mix": _MIX, "op4_chat_round_trip": _CHAT, "op5_fingerprint_index": _SUBSTRINGS}
