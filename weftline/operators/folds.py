@@ -149,6 +149,24 @@ class SpeechGate:
         return (None,)
 
 
+class Listener:
+    """Segments frames into utterances: opened and closed by a SpeechGate, or cut at the longest length.
+
+    feed(p) -> (event, frames): utterance or forced with its number of frames, else nothing."""
+
+    def __init__(self, most_ms: float = 30_000.0, frame_ms: float = 32.0) -> None:
+        self.gate, self.most, self.frame, self.frames = SpeechGate(frame_ms=frame_ms), most_ms, frame_ms, 0
+
+    def feed(self, p: float) -> tuple[str | None, int | None]:
+        change = self.gate.feed(p)[0]
+        self.frames += 1 if self.gate.speaking or change == "stopped" else 0
+        event = "utterance" if change == "stopped" else "forced" if self.frames * self.frame >= self.most else None
+        if event is None:
+            return None, None
+        length, self.frames = self.frames, 0
+        return event, length
+
+
 class BargeIn:
     """After a dead zone of playing, enough time in a row at or above p. feed(p) -> (interrupts,)."""
 
