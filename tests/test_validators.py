@@ -75,3 +75,49 @@ def test_listener_segments():
     assert [g for g in got if g] == ["utterance", "utterance"]
     long = folds.Listener(most_ms=320.0)
     assert [g for g in (long.feed(0.9)[0] for _ in range(30)) if g].count("forced") >= 2
+
+
+def test_tag_parser_does_not_depend_on_fragments():
+    for size in (1, 3, 100):
+        parser, got, spoken = folds.TagParser(), [], ""
+        for i in range(0, 24, size):
+            label, intensity, text = parser.feed("<e:Happy:9>  Yes, sure. "[i : i + size])
+            got += [(label, intensity)] if label else []
+            spoken += text
+        assert got == [("happy", 1.0)] and spoken == "Yes, sure. "
+    short = folds.TagParser()
+    assert short.feed("Sure.") == (None, None, "") and short.feed("", True) == ("neutral", 0.5, "Sure.")
+    assert folds.TagParser().feed("x" * 40) == ("neutral", 0.5, "x" * 40)
+
+
+def test_gate_order_and_limits():
+    gate = folds.Gate(per_tool=2, in_all=3)
+    ask = lambda tool, at, **k: gate.feed(tool, at, *[{"source": True, "reach": True, "effect": True, "needs": False, "said": False, **k}[x] for x in ("source", "reach", "effect", "needs", "said")])[0]
+    assert ask("a", 0, source=False) == "source_refused" and ask("a", 0, reach=False) == "reach_refused"
+    assert [ask("a", 0), ask("a", 1), ask("a", 2), ask("b", 3), ask("c", 4), ask("d", 5, effect=False)] == ["allowed", "allowed", "rate_limited", "allowed", "rate_limited", "allowed"]
+    assert ask("a", 70, needs=True) == "denied" and ask("a", 71, needs=True, said=True) == "allowed"
+
+
+def test_clauses_call_rates_and_samples(spark):
+    from weftline.functions import calls
+    from weftline.operators import splits, stats
+    from weftline.sources import speech
+
+    runs = spark.createDataFrame([(1, 30.0, 0.5), (1, 10.0, 0.7), (8, 90.0, 2.0)], "words int, ttfa double, audio double")
+    clauses = stats.by_clause(runs, "words", "ttfa", "audio")
+    assert {r["words"]: (r["n"], r["p50"], round(r["audio_s"], 3)) for r in clauses.collect()} == {1: (2, 10.0, 0.6), 8: (1, 90.0, 2.0)}
+    assert not stats.longest_within(clauses, 50.0).first()["passed"]
+    replies = spark.createDataFrame([("words",), ("<tool_call><function=f></function></tool_call>",)], "reply string")
+    rates = stats.call_rates(replies.select("reply", calls.call_shape(F.col("reply"), F.array(F.lit("f"))).alias("check"))).first()
+    assert (rates["well_formed"], rates["known"], rates["examples"]) == (0.5, 1.0, ["words"])
+    rows = spark.createDataFrame([(f"f{i % 4}", i) for i in range(40)], "file_path string, row_index int")
+    some = splits.sample_per_file(rows, 2, 3, 1)
+    assert some.count() == 6 and some.select("file_path").distinct().count() == 2
+    clips = spark.createDataFrame([(1, bytearray(b"a"), "HAPPY"), (2, bytearray(b"a"), "WIKI"), (3, bytearray(b"b"), "HAPPY")], "i int, bytes binary, style string")
+    assert speech.content_names(clips).select("file").distinct().count() == 2
+    assert [r["file"] for r in speech.style_names(clips, "style", ["i"], ["HAPPY"]).orderBy("i").collect()] == ["HAPPY_0", "HAPPY_1"]
+    frame = speech.packed_frames(spark.createDataFrame([(7, [1.0, 0.5])], "id int, v array<double>"), "id", "v").first()["frame"]
+    assert bytes(frame) == b"\x07\0\0\0\0\0\x80?\0\0\0?"
+    assert calls.patched("a {x} b", "{x}", "y") == "a y b"
+    with pytest.raises(ValueError):
+        calls.patched("a", "{x}", "y")

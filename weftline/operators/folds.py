@@ -8,6 +8,7 @@ machines run under Structured Streaming (weftline.streaming)."""
 from __future__ import annotations
 
 import math
+import re
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
@@ -18,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 SLICE = 2048
+_TAG = re.compile(r"^<e:(happy|angry|sad|relaxed|surprised|neutral):([0-9])>\s*", re.IGNORECASE)
 
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], inputs: Sequence[str], machine: Callable, made: str, carried: Sequence[str] = ()) -> DataFrame:
@@ -264,6 +266,48 @@ class Chunker:
         return (out,)
 
 
+class TagParser:
+    """The tag at the start of a reply that arrives in parts, and what is spoken of it. Without a tag after
+    ``patience`` characters (or at the end) the reply is neutral. feed(text, end) -> (label, intensity, spoken):
+    label and intensity once, on the part that settles them."""
+
+    def __init__(self, patience: int = 32) -> None:
+        self.patience, self.rest, self.settled, self.hungry = patience, "", False, False
+
+    def feed(self, text: str | None, end: bool = False) -> tuple[str | None, float | None, str]:
+        text = text or ""
+        if self.settled:
+            spoken = text.lstrip() if self.hungry else text
+            self.hungry = self.hungry and not spoken
+            return None, None, spoken
+        self.rest += text
+        found = _TAG.match(self.rest)
+        if found is None and not end and len(self.rest) < self.patience:
+            return None, None, ""
+        self.settled, spoken, self.rest = True, self.rest[found.end() :] if found else self.rest, ""
+        self.hungry = found is not None and not spoken
+        return (found[1].lower(), int(found[2]) / 9, spoken) if found else ("neutral", 0.5, spoken)
+
+
+class Gate:
+    """Decides on attempts to call a tool, in this order: the source may ask, the place may act, the tool's limit and
+    the limit of all with side effects are not used up, and it was confirmed where that is needed.
+
+    feed(tool, at, source_ok, reach_ok, side_effect, needs_confirm, confirmed) -> (outcome,)."""
+
+    def __init__(self, per_tool: int = 6, in_all: int = 30, seconds: float = 60.0) -> None:
+        self.per_tool, self.seconds, self.tools, self.all = per_tool, seconds, {}, RateLimit(in_all, seconds)
+
+    def feed(self, tool: str, at: float, source_ok: bool, reach_ok: bool, side_effect: bool, needs_confirm: bool, confirmed: bool) -> tuple[str]:
+        if not source_ok:
+            return ("source_refused",)
+        if not reach_ok:
+            return ("reach_refused",)
+        if not self.tools.setdefault(tool, RateLimit(self.per_tool, self.seconds)).feed(at)[0] or (side_effect and not self.all.feed(at)[0]):
+            return ("rate_limited",)
+        return ("denied",) if needs_confirm and not confirmed else ("allowed",)
+
+
 class RunLength:
     """Length of the run of frames that count, and when it began. feed(counts, at) -> (length, since)."""
 

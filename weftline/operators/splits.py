@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from .folds import capped
@@ -26,6 +27,16 @@ def seeded_sample(df: DataFrame, most: int, identity: Sequence[str], seed: int =
     return df.withColumn("_o", F.sha2(F.concat_ws("|", F.lit(str(seed)), *identity), 256)).orderBy("_o", *identity).limit(most).drop("_o")
 
 
+def sample_per_file(rows: DataFrame, files: int, each: int, seed: int = 0) -> DataFrame:
+    """Some rows of some files: the first files, and in each the first rows, in the order of a seeded hash. rows has
+    file_path and row_index; what is ranked are places."""
+    order = lambda *c: F.sha2(F.concat_ws("|", F.lit(str(seed)), *c), 256)
+    chosen = rows.select("file_path").distinct().orderBy(order("file_path")).limit(files)
+    rank = F.row_number().over(Window.partitionBy("file_path").orderBy(order("file_path", "row_index")))
+    places = rows.join(F.broadcast(chosen), "file_path").select("file_path", "row_index", rank.alias("_r")).filter(F.col("_r") <= each)
+    return rows.join(places.drop("_r"), ["file_path", "row_index"], "left_semi")
+
+
 def plan_split(rows: DataFrame, held_out: Column, identity: Sequence[str], seed: int = 0, eval_limit: int | None = None, hours: float | None = None) -> DataFrame:
     """identity, speaker, seconds and split (eval, train, leak, over, left) of every row.
 

@@ -104,3 +104,19 @@ def perplexity(nll: str, tokens: str) -> Column:
 
 def round_up(value: Column, step: int = 64) -> Column:
     return (F.ceil(value / step) * step).cast("long")
+
+
+def by_clause(runs: DataFrame, words: str, ttfa: str, seconds: str) -> DataFrame:
+    """Times to first audio by length of the clause: n, p50, p95 and the median length of the audio."""
+    return runs.groupBy(words).agg(F.count("*").alias("n"), nearest_rank(ttfa, 0.5).alias("p50"), nearest_rank(ttfa, 0.95).alias("p95"), F.median(seconds).alias("audio_s"))
+
+
+def longest_within(clauses: DataFrame, budget_ms: float, by: Sequence[str] = ()) -> DataFrame:
+    """Whether the longest clause meets the budget, which is what decides."""
+    return clauses.groupBy(*by).agg(F.max_by("p50", "words").alias("p50")).withColumn("passed", F.col("p50") < budget_ms)
+
+
+def call_rates(checks: DataFrame, check: str = "check") -> DataFrame:
+    """Shares of well-formed and of known calls, and the first three replies that were not well-formed."""
+    bad = F.when(~F.col(f"{check}.well_formed"), F.col("reply"))
+    return checks.agg(F.avg(F.col(f"{check}.well_formed").cast("int")).alias("well_formed"), F.avg(F.col(f"{check}.known").cast("int")).alias("known"), F.slice(F.array_sort(F.collect_set(bad)), 1, 3).alias("examples"))

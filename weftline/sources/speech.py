@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators.corpus import skip_reasons
@@ -131,3 +132,25 @@ def held_out(corpora: Sequence[Corpus], fraction: float = 0.10) -> Column:
         own = F.col("declared_split").isin(*c.held_out) if c.held_out else tx.hash_bucket(F.col("speaker"), 100) < edge
         out = out | ((F.col("corpus") == c.name) & own)
     return out
+
+
+def content_names(rows: DataFrame, blob: str = "bytes", suffix: str = ".wav") -> DataFrame:
+    """rows with a file name from the hash of the content, so that the same clip has the same name on every run."""
+    return rows.withColumn("file", F.concat(F.sha2(blob, 256), F.lit(suffix)))
+
+
+def style_names(rows: DataFrame, style: str, order: Sequence[str], allowed: Sequence[str]) -> DataFrame:
+    """Rows of the allowed styles with a running number in each style, for file names."""
+    number = F.row_number().over(Window.partitionBy(style).orderBy(*order)) - 1
+    return rows.filter(F.col(style).isin(*allowed)).withColumn("file", F.concat_ws("_", style, number.cast("string")))
+
+
+def packed_frames(rows: DataFrame, key: str, samples: str) -> DataFrame:
+    """key and frame: an unsigned 32-bit id and the samples as 32-bit floats, little-endian."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frames = [struct.pack("<I", k) + np.asarray(v or [], "<f4").tobytes() for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary())], names=[key, "frame"])
+
+    return rows.select(F.col(key).cast("long").alias(key), samples).mapInArrow(run, f"`{key}` long, frame binary")
