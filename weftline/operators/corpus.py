@@ -56,7 +56,8 @@ def prepared(docs: DataFrame) -> DataFrame:
     """Cleaned documents with a source rank (the number in the name), flags of the first copy, and the split."""
     rows = docs.select("doc_id", "source", "lang", tx.clean(F.col("text")).alias("text")).filter("text <> ''")
     ranked = rows.withColumn("src_rank", F.regexp_extract("source", r"(\d+)$", 1).cast("int"))
-    return with_split(first_of_each(ranked, F.col("text"), ["src_rank", "doc_id"]), F.col("text"))
+    # The split is taken before the join, so that texts need not pass its shuffle where only accounts are asked for.
+    return first_of_each(with_split(ranked, F.col("text")), F.col("text"), ["src_rank", "doc_id"])
 
 
 def prep_accounts(docs: DataFrame) -> DataFrame:
