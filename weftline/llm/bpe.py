@@ -32,22 +32,28 @@ from .common import map_slices, utf8
 
 #: Bytes of a leaf of the tree, tokens on each side of a seam in the first window.
 LEAF, SEAM = 16, 2
-#: Bytes from which windows are merged with a heap; length up to which pieces are remembered, and how many.
-LONG, SHORT, REMEMBERED = 96, 32, 1_000_000
+#: Bytes from which windows are merged with a heap; length up to which pieces are remembered,
+#: and how many in each of two generations.
+LONG, SHORT, REMEMBERED = 96, 32, 200_000
 
 
 class Pieces(dict):
-    """Encodings of the pieces met so far. Pieces repeat, so each is encoded once for as long as it is here."""
+    """Encodings of the pieces met so far. Pieces repeat, so each is encoded once for as long as it is here or in
+    the generation before, from which pieces that still occur come back."""
 
     def __init__(self, bpe: Bpe) -> None:
-        self.bpe = bpe
+        self.bpe, self.before = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        got = b"".join(map(self.bpe.packed.__getitem__, self.bpe.piece(utf8(piece))))
-        if len(piece) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = got
+        got = self.before.get(piece)
+        if got is None:
+            got = b"".join(map(self.bpe.packed.__getitem__, self.bpe.piece(utf8(piece))))
+            if len(piece) > SHORT:
+                return got
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[piece] = got
         return got
 
 
