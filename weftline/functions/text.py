@@ -18,13 +18,19 @@ TAG = r"^<e:(happy|angry|sad|relaxed|surprised|neutral):([0-9])>"
 TAG_SHAPED = r"(?i)<\s*e\s*:[^>]*>"
 
 
+#: The same characters one by one, for trimming.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{SPACE}++$|^{SPACE}++", "")
+    """Trims all white space, not only blanks; unlike a pattern, it looks at the ends alone."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def clean(text: Column) -> Column:
-    """Without pictographs, trimmed; null: empty."""
-    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), EMOJI, ""))
+    """Without pictographs, trimmed; null: empty. Texts of ASCII alone have none to look for."""
+    plain = F.coalesce(text, F.lit(""))
+    return strip(F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(F.regexp_replace(plain, EMOJI, "")))
 
 
 def spoken(text: Column) -> Column:

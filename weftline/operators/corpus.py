@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..sources.shared import cut
 
 #: Flags under which weights can't be released; verdicts from open to closed.
 CLOSED_FLAGS = ("NC", "ND", "research-only")
@@ -32,14 +33,13 @@ def capped_by_source(df: DataFrame, source: str, order: Sequence[str], caps: dic
     return df.withColumn("_r", rank).filter(limit.isNull() | (F.col("_r") <= limit)).drop("_r")
 
 
-def first_of_each(df: DataFrame, key: Column, order: Sequence[str], flag: str = "is_first") -> DataFrame:
-    """df with a flag for the first row of each key in order.
+def first_of_each(df: DataFrame, digest: str, order: Sequence[str], flag: str = "is_first") -> DataFrame:
+    """df with a flag for the first row of each digest in order.
 
-    The least place of each digest is found by a combined aggregate over digests and places alone; texts do not
-    take part in the shuffle of the search. Places must tell the rows of a table apart."""
-    digest = df.withColumn("_digest", F.sha2(key, 256))
-    least = digest.groupBy("_digest").agg(F.min(F.struct(*order)).alias("_least"))
-    return digest.join(least, "_digest").withColumn(flag, F.struct(*order) == F.col("_least")).drop("_digest", "_least")
+    The least place of each digest is a minimum that combines before the shuffle; a digest of very many rows is
+    left to the skew splitting of the join. Places must tell the rows of a table apart."""
+    least = df.groupBy(digest).agg(F.min(F.struct(*order)).alias("_least"))
+    return df.join(least, digest).withColumn(flag, F.struct(*order) == F.col("_least")).drop("_least")
 
 
 def with_split(df: DataFrame, key: Column, seed: int = 0, fraction: float = 0.05) -> DataFrame:
@@ -53,11 +53,11 @@ def accounts(df: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """Cleaned documents with a source rank (the number in the name), flags of the first copy, and the split."""
-    rows = docs.select("doc_id", "source", "lang", tx.clean(F.col("text")).alias("text")).filter("text <> ''")
-    ranked = rows.withColumn("src_rank", F.regexp_extract("source", r"(\d+)$", 1).cast("int"))
-    # The split is taken before the join, so that texts need not pass its shuffle where only accounts are asked for.
-    return first_of_each(with_split(ranked, F.col("text")), F.col("text"), ["src_rank", "doc_id"])
+    """doc_id, source, lang, source rank (the number in the name), digest of the cleaned text, split, and the flag of
+    the first copy. Texts are read and cleaned once, and only what is narrow goes on."""
+    text = docs.select("doc_id", "source", "lang", tx.clean(F.col("text")).alias("text"))
+    narrow = with_split(text, F.col("text")).select("doc_id", "source", "lang", F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("src_rank"), F.sha2("text", 256).alias("digest"), "split")
+    return first_of_each(cut(narrow).filter(F.col("digest") != F.sha2(F.lit(""), 256)), "digest", ["src_rank", "doc_id"])
 
 
 def prep_accounts(docs: DataFrame) -> DataFrame:

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import corpus, folds, splits
-from .base import registry, table
+from .base import registry, spread, table
 
 QUERIES, SQL, query = registry()
 
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"))
+
+
 #: SQL for the cleaned text: pictographs out, white space trimmed (RE2 syntax).
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _EMOJI = tx.EMOJI
@@ -23,31 +28,31 @@ _PREPARED = f"(SELECT *, row_number() OVER (PARTITION BY text ORDER BY src_rank,
 @query(f"""SELECT source, lang, count(*) FILTER (is_first) AS n, count(*) FILTER (NOT is_first) AS duplicates, count(*) FILTER (is_first AND split = 'train') AS train,
 count(*) FILTER (is_first AND split = 'val') AS val FROM {_PREPARED} GROUP BY source, lang""")
 def prep_dedup_split_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.prep_accounts(table(spark, sf, "documents"))
+    return corpus.prep_accounts(_documents(spark, sf))
 
 
 @query(f"SELECT source, count(*) AS duplicates FROM {_PREPARED} WHERE NOT is_first GROUP BY source")
 def dedup_duplicates_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.prepared(table(spark, sf, "documents")).filter("not is_first").groupBy("source").agg(F.count("*").alias("duplicates"))
+    return corpus.prepared(_documents(spark, sf)).filter("not is_first").groupBy("source").agg(F.count("*").alias("duplicates"))
 
 
 @query(f"SELECT doc_id, source, split FROM {_PREPARED} WHERE is_first")
 def prep_kept_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.prepared(table(spark, sf, "documents")).filter("is_first").select("doc_id", "source", "split")
+    return corpus.prepared(_documents(spark, sf)).filter("is_first").select("doc_id", "source", "split")
 
 
 @query("""SELECT source, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY src_rank, doc_id) AS d FROM
 (SELECT doc_id, source, text, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS src_rank, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5) WHERE d = 1 GROUP BY source""")
 def prep_cap_then_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("src_rank", F.regexp_extract("source", r"(\d+)$", 1).cast("int"))
-    capped = corpus.capped_by_source(docs, "source", ["doc_id"], 5)
-    return corpus.first_of_each(capped, F.col("text"), ["src_rank", "doc_id"]).filter("is_first").groupBy("source").agg(F.count("*").alias("n"))
+    capped = corpus.capped_by_source(docs, "source", ["doc_id"], 5).withColumn("digest", F.sha2("text", 256)).drop("text")
+    return corpus.first_of_each(capped, "digest", ["src_rank", "doc_id"]).filter("is_first").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, sha256({_CLEAN}) AS clean_sha256, length({_CLEAN}) AS clean_chars FROM documents")
 def text_clean(spark: SparkSession, sf: str) -> DataFrame:
     clean = tx.clean(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.sha2(clean, 256).alias("clean_sha256"), F.length(clean).cast("long").alias("clean_chars"))
+    return _documents(spark, sf).select("doc_id", F.sha2(clean, 256).alias("clean_sha256"), F.length(clean).cast("long").alias("clean_chars"))
 
 
 _SPOKEN = f"regexp_replace(regexp_replace(replace({_CLEAN}, '**', ''), '{_SPACE}+', ' ', 'g'), '^ +| +$', '', 'g')"
@@ -55,7 +60,7 @@ _SPOKEN = f"regexp_replace(regexp_replace(replace({_CLEAN}, '**', ''), '{_SPACE}
 
 @query(f"SELECT doc_id, sha256({_SPOKEN}) AS spoken_sha256 FROM documents")
 def text_spoken(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.sha2(tx.spoken(F.col("text")), 256).alias("spoken_sha256"))
+    return _documents(spark, sf).select("doc_id", F.sha2(tx.spoken(F.col("text")), 256).alias("spoken_sha256"))
 
 
 _WORDS = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower({t}), '\p{{Cf}}', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}'']', ' ', 'g'), ' +'), lambda w: w <> '')"
@@ -64,7 +69,7 @@ _WORDS = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower
 @query("SELECT doc_id, CAST(len(" + _WORDS.format(t="text") + ") AS BIGINT) AS n_words, sha256(array_to_string(" + _WORDS.format(t="text") + ", ' ')) AS words_sha256 FROM documents")
 def norm_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     words = tx.spoken_words(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.sha2(F.array_join("w", " "), 256).alias("words_sha256"))
+    return _documents(spark, sf).select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.sha2(F.array_join("w", " "), 256).alias("words_sha256"))
 
 
 @query("SELECT doc_id, CAST(CAST('0x' || left(sha256('0:' || CAST(doc_id AS VARCHAR)), 12) AS BIGINT) % 1000 AS INT) AS bucket FROM documents")

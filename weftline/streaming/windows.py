@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only where
-    none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from ..sources.shared import shared_path
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
