@@ -8,22 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chatfmt, mixing, mpeg, pii, quality, secrets, sharding, simhash, substr
-from .common import table
+from .common import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    return spread(rows.select(*[c for c in ("doc_id", "text", "source") if c in rows.columns]))
 
 
 def op1_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    got = simhash.near_duplicates(documents(spark, sf_dir))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pii.spans(table(spark, sf_dir, "documents")).withColumn("sure", F.filter("spans", lambda c: c["base"]))
+    got = pii.spans(documents(spark, sf_dir)).withColumn("sure", F.filter("spans", lambda c: c["base"]))
     counts = [F.expr(f"cast(size(filter(sure, c -> c.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in pii.KINDS]
     return got.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(pii.written(F.col("sure")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mix(table(spark, sf_dir, "documents"))
+    mix = mixing.mix(documents(spark, sf_dir))
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -35,28 +40,28 @@ def op4_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = substr.deduplicate_in_batches(table(spark, sf_dir, "documents"))
+    got = substr.deduplicate_in_batches(documents(spark, sf_dir))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = bpe.tokenise(table(spark, sf_dir, "documents"))
+    got = bpe.tokenise(documents(spark, sf_dir))
     return got.select("doc_id", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_binpack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sharding.assign(table(spark, sf_dir, "documents"), 40)
+    got = sharding.assign(documents(spark, sf_dir), 40)
     return got.select("doc_id", "size", F.col("text_crc32").cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+    got = secrets.scan(documents(spark, sf_dir), secrets.fit(secrets.labelled_findings(spark)))
     spans = F.array_join(F.transform("secrets", lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string"))), ",")
     return got.select(F.col("row.doc_id").alias("doc_id"), F.size("found").cast("long").alias("n_candidates"), F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"))
 
 
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mpeg.read(mpeg.store(table(spark, sf_dir, "documents")))
+    got = mpeg.read(mpeg.store(documents(spark, sf_dir)))
     return got.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -64, 64)")).cast("long").alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
@@ -64,7 +69,7 @@ def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
