@@ -32,19 +32,50 @@ def affect_bands(spark: SparkSession, sf: str) -> DataFrame:
     return _z(spark, sf).filter("z is not null").select("event_id", ar.band(F.col("z"), 1.0).alias("band"))
 
 
-@query()
+_DRIFT = """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE value IS NOT NULL), fold AS (
+SELECT user_id, 0::BIGINT AS r, NULL::BIGINT AS event_id, NULL::DOUBLE AS z, false AS reset, []::DOUBLE[] AS past, 0 AS run FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, r, event_id, z, run2 >= 3, (list_append(CASE WHEN run2 >= 3 THEN []::DOUBLE[] ELSE past END, value))[-50:], CASE WHEN run2 >= 3 THEN 0 ELSE run2 END FROM (
+SELECT *, CASE WHEN len(past) < 5 THEN run WHEN abs(z) >= 1 THEN run + 1 ELSE 0 END AS run2 FROM (SELECT *, CASE WHEN sigma > 0 THEN greatest(-6.0::DOUBLE, least(6.0::DOUBLE, (value - centre) / sigma)) END AS z FROM (
+SELECT *, greatest(1.4826::DOUBLE * list_median(list_transform(past, lambda p: abs(p - centre))), 0.05::DOUBLE * abs(centre)) AS sigma FROM (
+SELECT e.user_id, e.r, e.event_id, e.value, past, run, list_median(past) AS centre FROM fold JOIN e ON e.user_id = fold.user_id AND e.r = fold.r + 1)))))
+SELECT event_id, round(z, 6) AS z, reset FROM fold WHERE r > 0"""
+
+
+@query(_DRIFT)
 def drift_resets(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").filter("value is not null")
     got = folds.ordered_fold(rows, ["user_id"], ["ts", "event_id"], ["value"], lambda: folds.DriftingBaseline(extreme=1.0, runs=3), "z double, reset boolean", ["event_id"])
     return got.select("event_id", F.round("z", 6).alias("z"), "reset")
 
 
-@query()
+_HYSTERESIS = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, CASE WHEN z >= 1 THEN 'higher' WHEN z <= -1 THEN 'lower' WHEN z IS NOT NULL THEN 'usual' END AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM {_Z}), fold AS (
+SELECT user_id, 0::BIGINT AS r, NULL::BIGINT AS event_id, NULL::VARCHAR AS candidate, 'usual' AS band, []::VARCHAR[] AS recent FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, r, event_id, c, CASE WHEN c IS NOT NULL AND (len(now) < 2 OR len(list_filter(now, lambda x: x = c)) >= 2) THEN c ELSE band END, now FROM (
+SELECT e.user_id, e.r, e.event_id, e.c, band, CASE WHEN e.c IS NULL THEN recent ELSE (list_append(recent, e.c))[-3:] END AS now FROM fold JOIN e ON e.user_id = fold.user_id AND e.r = fold.r + 1))
+SELECT event_id, candidate, band, coalesce(candidate = band, true) AS settled FROM fold WHERE r > 0"""
+
+
+@query(_HYSTERESIS)
 def band_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     return folds.ordered_fold(_z(spark, sf), ["user_id"], ["ts", "event_id"], ["z"], lambda: folds.BandHysteresis(1.0), "candidate string, band string, settled boolean", ["event_id"]).drop("user_id")
 
 
-@query()
+def _moved(w: str, goal: str) -> str:
+    v = f"({w} + ({goal} - {w}) * CASE WHEN {goal} > {w} THEN 1 - exp(-0.1::DOUBLE / 0.12::DOUBLE) ELSE 1 - exp(-0.1::DOUBLE / 0.30::DOUBLE) END)"
+    return f"CASE WHEN {v} >= 0.01 THEN {v} ELSE 0 END"
+
+
+#: Angry and relaxed are never asked for in this query and stay 0.
+_BLEND = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, event_id % 4 AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), fold AS (
+SELECT user_id, 0::BIGINT AS r, NULL::BIGINT AS event_id, 0::DOUBLE AS h, 0::DOUBLE AS s, 0::DOUBLE AS u, 0::DOUBLE AS age FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, r, event_id, h / greatest(1, h + s + u), s / greatest(1, h + s + u), u / greatest(1, h + s + u), age FROM (
+SELECT user_id, r, event_id, age, {_moved("h", "gh")} AS h, {_moved("s", "gs")} AS s, {_moved("u", "gu")} AS u FROM (
+SELECT *, CASE WHEN k = 0 THEN 0.8::DOUBLE ELSE 0 END AS gh, CASE WHEN k = 1 THEN 0.8::DOUBLE ELSE 0 END AS gs, CASE WHEN k <> 2 THEN 0 WHEN age > 0.9 THEN 0.8::DOUBLE * exp((0.9::DOUBLE - age) / 0.6::DOUBLE) ELSE 0.8::DOUBLE END AS gu FROM (
+SELECT e.user_id, e.r, e.event_id, e.k, h, s, u, CASE WHEN e.k = 2 THEN age + 0.1::DOUBLE ELSE 0 END AS age FROM fold JOIN e ON e.user_id = fold.user_id AND e.r = fold.r + 1))))
+SELECT event_id, round(h + s + u, 6) AS total, round(u, 6) AS surprised FROM fold WHERE r > 0"""
+
+
+@query(_BLEND)
 def expression_blend(spark: SparkSession, sf: str) -> DataFrame:
     label = F.element_at(F.array(*map(F.lit, ("happy", "sad", "surprised", "neutral"))), (F.col("event_id") % 4 + 1).cast("int"))
     rows = table(spark, sf, "events").select("user_id", "event_id", "ts", label.alias("label"), F.lit(0.8).alias("intensity"), F.lit(0.1).alias("dt"))
