@@ -12,7 +12,9 @@ from pyspark.sql.types import StringType
 #: White space as Python's str.strip and str.split see it, in Java's syntax.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 #: Code point ranges of pictographs, selectors and joiners that are not spoken.
-EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B50}\x{2B55}\x{231A}-\x{231B}\x{23E9}-\x{23FA}\x{FE0F}\x{200D}]"
+PICTURES = ((0x1F000, 0x1FAFF), (0x2600, 0x27BF), (0x2B50, 0x2B50), (0x2B55, 0x2B55), (0x231A, 0x231B), (0x23E9, 0x23FA), (0xFE0F, 0xFE0F), (0x200D, 0x200D))
+#: The same as a character class in Java's syntax (and RE2's).
+EMOJI = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in PICTURES) + "]"
 TAG_LABELS = ("happy", "angry", "sad", "relaxed", "surprised", "neutral")
 TAG = r"^<e:(happy|angry|sad|relaxed|surprised|neutral):([0-9])>"
 TAG_SHAPED = r"(?i)<\s*e\s*:[^>]*>"
