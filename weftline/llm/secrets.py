@@ -23,6 +23,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 LEAST, LABELLED, TREES, DEPTH, ACCEPT = 16, 4000, 24, 6, 0.5
 #: Fixed value: the shape of a candidate. A run starts where no character of a run is before it, and is matched
 #: without giving back, so each run is looked at once.
@@ -116,7 +118,9 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: str = "fi
 
 def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 11):
     """A random forest on the candidates of labelled texts (columns text and secret), or None without both labels."""
-    rows = candidates(labelled).select(F.explode("found").alias("c"), F.col("row.secret").cast("double").alias("label")).select("label", *[f"c.{f}" for f in FEATURES]).filter("label in (0, 1)")
+    found = candidates(labelled).select(F.explode("found").alias("c"), F.col("row.secret").cast("double").alias("label"))
+    # Training reads its rows once a level; the features are computed once.
+    rows = cut(found.select("label", *[f"c.{f}" for f in FEATURES]).filter("label in (0, 1)"))
     if rows.select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
