@@ -52,20 +52,33 @@ def accounts(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     return df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(d) for d in dims]).agg(F.grouping_id().alias("gid"), F.count("*").alias("n"))
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, source rank (the number in the name), digest of the cleaned text, split, and the flag of
-    the first copy. Texts are read and cleaned once, and only what is narrow goes on."""
+def cleaned(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, source rank (the number in the name), digest of the cleaned text, whether it is blank, and
+    split. Texts are read and cleaned here, in one projection, and only what is narrow goes on; a filter on any of these
+    columns belongs behind a shuffle or a cut, or each text is cleaned again for it."""
     text = docs.select("doc_id", "source", "lang", tx.clean(F.col("text")).alias("text"))
-    narrow = with_split(text, F.col("text")).select("doc_id", "source", "lang", F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("src_rank"), F.sha2("text", 256).alias("digest"), "split")
-    return first_of_each(cut(narrow).filter(F.col("digest") != F.sha2(F.lit(""), 256)), "digest", ["src_rank", "doc_id"])
+    rank = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    return with_split(text, F.col("text")).select("doc_id", "source", "lang", rank.alias("src_rank"), F.sha2("text", 256).alias("digest"), (F.col("text") == "").alias("blank"), "split")
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """Cleaned documents with text, and the flag of the first copy."""
+    return first_of_each(cut(cleaned(docs)).filter("not blank").drop("blank"), "digest", ["src_rank", "doc_id"])
 
 
 def prep_accounts(docs: DataFrame) -> DataFrame:
-    """Rows kept, duplicates, train and val rows by source and language."""
-    first, side = F.col("is_first"), F.col("split")
-    return prepared(docs).groupBy("source", "lang").agg(
-        F.count_if(first).alias("n"), F.count_if(~first).alias("duplicates"), F.count_if(first & (side == "train")).alias("train"), F.count_if(first & (side == "val")).alias("val")
+    """Rows kept, duplicates, train and val rows by source and language.
+
+    Copies are counted by text, source and language before texts meet, so a text of any number of copies has a row for
+    each source and language at most, and no rows are joined. Equal texts have equal splits."""
+    keys = ["source", "lang"]
+    copies = cleaned(docs).groupBy("digest", *keys).agg(
+        F.count("*").alias("rows"), F.min(F.struct("src_rank", "doc_id")).alias("place"), F.first("split").alias("split"), F.first("blank").alias("blank")
     )
+    first = F.when(F.col("place") == F.min("place").over(Window.partitionBy("digest")), 1).otherwise(0)
+    one = copies.filter("not blank").withColumn("first", first)
+    side = lambda name: F.sum(F.when(F.col("split") == name, F.col("first")).otherwise(0))
+    return one.groupBy(*keys).agg(F.sum("first").alias("n"), F.sum(F.col("rows") - F.col("first")).alias("duplicates"), side("train").alias("train"), side("val").alias("val"))
 
 
 def refusal(flags: Column) -> Column:
