@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from . import affect, corpora, dialogue, evaluation, events, extensions
+    from . import affect, assembly, corpora, dialogue, evaluation, events, extensions
 
-    return [corpora, dialogue, evaluation, events, affect, extensions]
+    return [corpora, dialogue, evaluation, events, affect, assembly, extensions]
 
 
 def queries() -> dict[str, Query]:
