@@ -34,7 +34,7 @@ from .common import map_slices, utf8
 LEAF, SEAM = 16, 2
 #: Bytes from which windows are merged with a heap; length up to which pieces are remembered,
 #: and how many in each of two generations.
-LONG, SHORT, REMEMBERED = 96, 32, 200_000
+LONG, SHORT, REMEMBERED = 96, 32, 100_000
 
 
 class Pieces(dict):
