@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import arrays, calls, labels, text
 from weftline.operators import corpus, dialogue, folds, logs, rolling, stats
+from weftline.plans import evaluation
 
 
 def one(spark, column):
@@ -50,6 +51,33 @@ def test_word_errors_equal_the_definition(spark):
     assert all(g["e"] == (levenshtein(g["r"], g["h"]) if len(g["r"]) < 100 else 3500) for g in got)
 
 
+def test_word_errors_of_any_length(spark):
+    rng = random.Random(5)
+    for n in (1, 7, 63, 64, 65, 300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(n // 2, n + 1))] for _ in range(2))
+        assert text.edit_distance(a, b) == levenshtein(a, b)
+    many = [f"w{i}" for i in range(140_000)]
+    rows = [(many, many[:70_000] + ["x"] + many[70_001:]), (None, ["a"]), ([], ["a", "b"])]
+    got = spark.createDataFrame(rows, "r array<string>, h array<string>").select(text.word_errors(F.col("r"), F.col("h")).alias("e")).collect()
+    assert [g["e"] for g in got] == [1, None, 2]
+
+
+def test_whole_texts_are_scored(spark, tmp_path):
+    rng = random.Random(6)
+    made = lambda n: [rng.choice(["a", "bb", "ccc", "dd", "e"]) for _ in range(n)]
+    same = made(20)
+    pairs = [(same + made(n), same + made(m)) for n, m in ((1, 4), (30, 0), (80, 900), (0, 0), (500, 450), (3, 60), (9, 9))]
+    spark.createDataFrame([(i, " ".join(r)) for i, (r, _) in enumerate(pairs)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, " ".join(h), f"l{i % 2}") for i, (_, h) in enumerate(pairs)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: (len(r), levenshtein(r, h)) for i, (r, h) in enumerate(pairs)}
+    assert {r["doc_id"]: (r["ref_words"], r["errors"]) for r in evaluation.wer_pairs_whole(spark, str(tmp_path)).collect()} == want
+    for r in evaluation.wer_by_group_whole(spark, str(tmp_path)).collect():
+        words, errors = (sum(v[k] for i, v in want.items() if f"l{i % 2}" == r["lang"]) for k in (0, 1))
+        assert (r["words"], r["errors"]) == (words, errors) and abs(r["wer"] - errors / words) < 1e-6
+    rates = sorted(((round(e / n, 6), -i) for i, (n, e) in want.items()), reverse=True)[:5]
+    assert [(r["rate"], -r["doc_id"]) for r in evaluation.wer_worst5_whole(spark, str(tmp_path)).collect()] == rates
+
+
 def test_corpus_rate_is_not_a_mean_of_rates(spark):
     rows = spark.createDataFrame([(1, 1), (0, 10)], "errors int, ref_words int")
     assert abs(stats.corpus_wer(rows).first()["wer"] - 1 / 11) < 1e-12

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 #: White space as Python's str.strip and str.split see it, in Java's syntax.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -58,20 +59,46 @@ def spoken_words(text: Column, composed: bool = True) -> Column:
     return tokens(F.regexp_replace(kept, r"[^\p{L}\p{M}\p{N}']", " "))
 
 
-def word_errors(reference: Column, hypothesis: Column) -> Column:
-    """Word-level edit distance of two arrays of words.
-
-    Each distinct word becomes one private code point, so that the built-in distance of strings counts
-    words; beyond the 137,000 private code points (never met by sentences) the result is null."""
-    words = F.array_distinct(F.concat(reference, hypothesis))
-
-    def symbols(a: Column) -> Column:
-        position = lambda w: F.array_position(words, w).cast("int")
-        plane = lambda p: F.when(p < 6400, F.lit(0xE000) + p).otherwise(F.lit(0xF0000 - 6400) + p)
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(plane(position(w))), 8, "0")), "UTF-32")
-        return F.array_join(F.transform(a, code), "")
-
-    return F.when(F.size(words) < 130_000, F.levenshtein(symbols(reference), symbols(hypothesis)))
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Least number of insertions, deletions and replacements between two sequences of any length: a column of the
+    table of distances is held as the bits of two integers, one step for each item of the shorter one."""
+    at, end = 0, min(len(a), len(b))
+    while at < end and a[at] == b[at]:
+        at += 1
+    back = 0
+    while back < end - at and a[-1 - back] == b[-1 - back]:
+        back += 1
+    a, b = sorted((a[at : len(a) - back], b[at : len(b) - back]), key=len)
+    if not a:
+        return len(b)
+    where: dict = {}
+    for i, x in enumerate(b):
+        where.setdefault(x, []).append(i)
+    bits = {}
+    for x in set(a) & where.keys():
+        row = bytearray(len(b) // 8 + 1)
+        for i in where[x]:
+            row[i >> 3] |= 1 << (i & 7)
+        bits[x] = int.from_bytes(row, "little")
+    whole, last = (1 << len(b)) - 1, 1 << (len(b) - 1)
+    up, down, distance = whole, 0, len(b)
+    for x in a:
+        equal = bits.get(x, 0)
+        level = (((equal & up) + up) ^ up) | equal
+        more, less = down | (whole & ~(level | up)), up & level
+        distance += bool(more & last) - bool(less & last)
+        more, less, equal = (more << 1 | 1) & whole, (less << 1) & whole, equal | down
+        up, down = less | (whole & ~(equal | more)), more & equal
+    return distance
+
+
+@F.arrow_udf(IntegerType())
+def word_errors(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """Word-level edit distance of two arrays of words, of any length; null only against a null array. Spark's own
+    distance of strings takes the product of both lengths, and has symbols for some 137,000 distinct words only."""
+    # One pair at a time becomes Python objects.
+    pairs = ((r.as_py(), h.as_py()) for r, h in zip(reference, hypothesis))
+    return pa.array([None if r is None or h is None else edit_distance(r, h) for r, h in pairs], pa.int32())
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:

@@ -12,20 +12,21 @@ from .base import registry, table
 
 QUERIES, SQL, query = registry()
 
-#: Pairs of a document and a benchmark item by number, the first words of each.
+#: The first words of each text that the SQL of wer_pairs, wer_by_group and wer_worst5 scores.
 _PAIR_WORDS = 20
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, lang, reference, hypothesis): items against the documents of the same number."""
-    words = lambda c: F.slice(tx.spoken_words(F.col(c)), 1, _PAIR_WORDS)
+def _pairs(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
+    """(doc_id, lang, reference, hypothesis): items against the documents of the same number; whole texts, or the
+    first words of each."""
+    words = lambda c: tx.spoken_words(F.col(c)) if most is None else F.slice(tx.spoken_words(F.col(c)), 1, most)
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("reference"))
     pairs = table(spark, sf, "documents").select("doc_id", "lang", "text").join(items, "doc_id")
     return pairs.select("doc_id", "lang", words("reference").alias("reference"), words("text").alias("hypothesis"))
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf).select("doc_id", "lang", F.size("reference").alias("ref_words"), tx.word_errors(F.col("reference"), F.col("hypothesis")).alias("errors"))
+def _scored(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
+    return _pairs(spark, sf, most).select("doc_id", "lang", F.size("reference").alias("ref_words"), tx.word_errors(F.col("reference"), F.col("hypothesis")).alias("errors"))
 
 
 _WORDS = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower({t}), '\p{{Cf}}', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}'']', ' ', 'g'), ' +'), lambda w: w <> '')[1:20]"
@@ -36,16 +37,31 @@ FROM (SELECT *, list_distinct(list_concat(r, h)) AS u FROM (SELECT d.doc_id, d.l
 
 @query(f"SELECT doc_id, CAST(ref_words AS INT) AS ref_words, CAST(errors AS INT) AS errors FROM {_LEV}")
 def wer_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).select("doc_id", "ref_words", "errors")
+    return _scored(spark, sf, _PAIR_WORDS).select("doc_id", "ref_words", "errors")
 
 
 @query(f"SELECT lang, count(*) AS n, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(ref_words) AS BIGINT) AS words, round(sum(errors) / sum(ref_words), 6) AS wer FROM {_LEV} GROUP BY lang")
 def wer_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.corpus_wer(_scored(spark, sf), ["lang"]).withColumn("wer", F.round("wer", 6))
+    return stats.corpus_wer(_scored(spark, sf, _PAIR_WORDS), ["lang"]).withColumn("wer", F.round("wer", 6))
 
 
 @query(f"SELECT doc_id, round(errors / greatest(1, ref_words), 6) AS rate FROM {_LEV} ORDER BY 2 DESC, 1 LIMIT 5")
 def wer_worst5(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.worst(_scored(spark, sf, _PAIR_WORDS), "doc_id").select("doc_id", F.round("rate", 6).alias("rate"))
+
+
+@query()
+def wer_pairs_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("doc_id", "ref_words", "errors")
+
+
+@query()
+def wer_by_group_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.corpus_wer(_scored(spark, sf), ["lang"]).withColumn("wer", F.round("wer", 6))
+
+
+@query()
+def wer_worst5_whole(spark: SparkSession, sf: str) -> DataFrame:
     return stats.worst(_scored(spark, sf), "doc_id").select("doc_id", F.round("rate", 6).alias("rate"))
 
 
