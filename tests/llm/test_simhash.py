@@ -70,6 +70,29 @@ def test_all_bucket_sizes_find_every_link(spark, bucket):
         assert {got.get(m, m) for m in members} == {min(members)}
 
 
+@pytest.mark.parametrize("bits,bucket", [(3, 40), (4, 6), (7, 4096), (7, 40), (10, 60)])
+def test_any_number_of_bits_finds_every_link(spark, monkeypatch, bits, bucket):
+    fps = near_fingerprints(200, 100 + bits)
+    signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, bucket, bits)).collect()}
+    monkeypatch.setattr(simhash, "BITS", bits)
+    groups = {}
+    for f, r in zip(signed, brute_components(fps)):
+        groups.setdefault(r, set()).add(f)
+    for members in groups.values():
+        assert {got.get(m, m) for m in members} == {min(members)}
+
+
+def test_words_and_bits_of_the_stage_can_be_given(spark):
+    body = [f"word{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(body)), (2, " ".join(body + ["and", "more"]))], "doc_id long, text string")
+    a, b = (simhash.fingerprint(" ".join(t), 5) for t in (body, body + ["and", "more"]))
+    apart = (a ^ b).bit_count()
+    assert apart > 2
+    assert simhash.keep_one(docs, 5, apart).count() == 1 and simhash.keep_one(docs, 5, apart - 1).count() == 2
+
+
 def test_documents_with_nulls_ties_and_clashing_columns(spark):
     body = " ".join(f"word{i}" for i in range(200))
     rows = [(5, body, "x", 1), (3, body.upper(), "x", 1), (9, body + " more", "x", 1), (1, None, "x", 1), (2, "", "x", 1), (2, "", "x", 1), (None, body, "x", 1), (7, "something else altogether here now", "x", 1)]

@@ -1,8 +1,8 @@
 """SimHash near-duplicate classes with pigeonring filtering.
 
-The 64 bits of a fingerprint are SEGMENTS segments on a ring. If two fingerprints differ in at most
-BITS bits, there is a segment from which every chain of l = 1, 2, ... consecutive segments differs in at
-most l * BITS / SEGMENTS bits in all (rounded down: 0, 1, 2, 3, 4). Fingerprints are dealt by that first
+The 64 bits of a fingerprint are bits + 1 segments on a ring. If two fingerprints differ in at most
+bits bits, there is a segment from which every chain of l = 1, 2, ... consecutive segments differs in at
+most l * bits / (bits + 1) bits in all (rounded down; for BITS: 0, 1, 2, 3, 4). Fingerprints are dealt by that first
 segment, which must be equal; inside such a bucket the chain is followed segment by segment and a pair
 is dropped at the first budget it exceeds, so that few pairs see the last link, the full distance.
 
@@ -21,6 +21,7 @@ never a component_id while the group has another; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,18 @@ from .components import components
 
 #: Words of a shingle, seed of XXH64, bits that near duplicates may differ in.
 WORDS, SEED, BITS = 4, 42, 4
-SEGMENTS = 5
-#: First bit and width of each segment.
-RING = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 BUCKET = 4096
 CHUNK = 1 << 16
 
+
+def ring(bits: int) -> tuple[tuple[int, int], ...]:
+    """First bit and width of each of the bits + 1 segments."""
+    if not 2 <= bits < 32:
+        raise ValueError("bits must be from 2 to 31")
+    widths = [64 // (bits + 1) + (i < 64 % (bits + 1)) for i in range(bits + 1)]
+    return tuple((sum(widths[:i]), w) for i, w in enumerate(widths))
+
+
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = (np.arange(8) * 256)[None, :]
 
@@ -64,17 +71,17 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(set_bits, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row."""
 
     def rows(got: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": got["doc_id"], "fp": np.array([fingerprint(t) for t in got["text"]], np.uint64).view(np.int64)}
+        return {"doc_id": got["doc_id"], "fp": np.array([fingerprint(t, words) for t in got["text"]], np.uint64).view(np.int64)}
 
     return map_slices(docs.select("doc_id", "text"), rows, "doc_id long, fp long")
 
 
-def _segment(fp: Column, i: int) -> Column:
-    start, width = RING[i % SEGMENTS]
+def _segment(fp: Column, i: int, bits: int) -> Column:
+    start, width = ring(bits)[i % (bits + 1)]
     return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
 
 
@@ -82,20 +89,20 @@ def _code(level: int, i: int, bits: Column) -> Column:
     return F.lit((level << 60) | (i << 50)).bitwiseOR(bits)
 
 
-def _first_links(nodes: DataFrame) -> DataFrame:
+def _first_links(nodes: DataFrame, bits: int) -> DataFrame:
     """(k, fp): every fingerprint under each segment as the start of a chain."""
     fp = F.col("fp")
-    return nodes.select("fp", F.explode(F.array(*[_code(1, i, _segment(fp, i)) for i in range(SEGMENTS)])).alias("k"))
+    return nodes.select("fp", F.explode(F.array(*[_code(1, i, _segment(fp, i, bits)) for i in range(bits + 1)])).alias("k"))
 
 
-def _second_links(rows: DataFrame) -> DataFrame:
+def _second_links(rows: DataFrame, bits: int) -> DataFrame:
     """(k, fp, probe) of rows (k, fp) of large buckets: two links of the chain."""
     fp, out = F.col("fp"), []
-    for i in range(SEGMENTS):
-        a, b, (_, width) = _segment(fp, i), _segment(fp, i + 1), RING[(i + 1) % SEGMENTS]
-        exact = F.struct(_code(2, i, F.shiftleft(a, 13).bitwiseOR(b)).alias("k"), F.lit(False).alias("probe"))
-        probes = [F.when(b.bitwiseAND(F.lit(1 << j)) == 0, F.struct(_code(2, i, F.shiftleft(a, 13).bitwiseOR(b.bitwiseOR(F.lit(1 << j)))).alias("k"), F.lit(True).alias("probe"))) for j in range(width)]
-        mine = rows.filter(F.shiftrightunsigned("k", 50).bitwiseAND(F.lit(7)) == i)
+    for i in range(bits + 1):
+        a, b, (_, width) = _segment(fp, i, bits), _segment(fp, i + 1, bits), ring(bits)[(i + 1) % (bits + 1)]
+        exact = F.struct(_code(2, i, F.shiftleft(a, width).bitwiseOR(b)).alias("k"), F.lit(False).alias("probe"))
+        probes = [F.when(b.bitwiseAND(F.lit(1 << j)) == 0, F.struct(_code(2, i, F.shiftleft(a, width).bitwiseOR(b.bitwiseOR(F.lit(1 << j)))).alias("k"), F.lit(True).alias("probe"))) for j in range(width)]
+        mine = rows.filter(F.shiftrightunsigned("k", 50).bitwiseAND(F.lit(31)) == i)
         out.append(mine.select("fp", F.inline(F.filter(F.array(exact, *probes), lambda x: x.isNotNull()))))
     done = out[0]
     for part in out[1:]:
@@ -114,22 +121,22 @@ def _blocks(rows: DataFrame, counts: DataFrame, bucket: int) -> DataFrame:
 def chains(x: np.ndarray, start: int, bits: int = BITS) -> np.ndarray:
     """Positions in x (differences of pairs, equal in the segment start) of those within all budgets of the chain."""
     alive, spent = np.arange(len(x)), np.zeros(len(x), np.int64)
-    for link in range(1, SEGMENTS):
-        at, width = RING[(start + link) % SEGMENTS]
+    for link in range(1, bits + 1):
+        at, width = ring(bits)[(start + link) % (bits + 1)]
         spent = spent + np.bitwise_count(x & np.uint64(((1 << width) - 1) << at))
-        keep = spent <= (link + 1) * bits // SEGMENTS
+        keep = spent <= (link + 1) * bits // (bits + 1)
         alive, x, spent = alive[keep], x[keep], spent[keep]
     return alive
 
 
-def star(fps: np.ndarray, probe: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+def star(fps: np.ndarray, probe: np.ndarray, start: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Members of one bucket (sorted) that are connected with a smaller one, and the least such member."""
     n, root = len(fps), np.arange(len(fps))
     step = max(1, (1 << 20) // n)
     for at in range(0, n - 1, step):
         rows = np.arange(at, min(n, at + step))
         r, c = np.nonzero((rows[:, None] < np.arange(n)[None, :]) & (root[rows][:, None] != root[None, :]) & ~(probe[rows][:, None] & probe[None, :]))
-        hit = chains(fps[rows[r]] ^ fps[c], start)
+        hit = chains(fps[rows[r]] ^ fps[c], start, bits)
         a, b = root[rows[r[hit]]], root[c[hit]]
         if len(a):
             parent: dict[int, int] = {}
@@ -152,7 +159,7 @@ def star(fps: np.ndarray, probe: np.ndarray, start: int) -> tuple[np.ndarray, np
     return fps[linked], fps[root[linked]]
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], bits: int = BITS) -> Iterator[pa.RecordBatch]:
     """Rows (k, block, fp, probe) sorted by these; a bucket may go on in the next batch."""
     rest: list[np.ndarray] | None = None
 
@@ -166,7 +173,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for i, j in zip(edges, edges[1:]):
             if j - i > 1:
-                u, v = star(fp[i:j].view(np.uint64), probe[i:j].astype(bool), int(k[i] >> 50) & 7)
+                u, v = star(fp[i:j].view(np.uint64), probe[i:j].astype(bool), int(k[i] >> 50) & 31, bits)
                 a.append(u), b.append(v)
         out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
         return out, [x[edges[-1] :] for x in columns]
@@ -182,14 +189,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(rest, True)[0]
 
 
-def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect the same fingerprints as all pairs within BITS bits; nodes: distinct fp."""
-    first = _first_links(nodes)
-    # At most SEGMENTS * 2**13 keys: small enough for any executor.
+def links(nodes: DataFrame, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
+    """Edges (a, b) that connect the same fingerprints as all pairs within bits bits; nodes: distinct fp."""
+    first = _first_links(nodes, bits)
+    # At most 5 * 2**13 keys for BITS: small enough for any executor.
     large = F.broadcast(cut(first.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > bucket)))
     rows = first.join(large.select("k"), "k", "left_anti").select("k", F.lit(0).alias("block"), "fp", F.lit(False).alias("probe"))
     if not large.isEmpty():
-        second = _second_links(first.join(large.select("k"), "k", "left_semi"))
+        second = _second_links(first.join(large.select("k"), "k", "left_semi"), bits)
         counts = second.groupBy("k").agg(F.count("*").alias("n"), F.min("probe").alias("only_probes")).filter(~F.col("only_probes"))
         fits = counts.filter(F.col("n") <= bucket).select("k")
         beyond = cut(counts.filter(F.col("n") > bucket).select("k", "n"))
@@ -197,22 +204,22 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
         if not beyond.isEmpty():
             rows = rows.union(_blocks(second, beyond, bucket))
     dealt = rows.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "block").sortWithinPartitions("k", "block", "fp")
-    return dealt.mapInArrow(_stars, "a long, b long")
+    return dealt.mapInArrow(partial(_stars, bits=bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, bucket: int = BUCKET, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id of all linked documents) of every row of docs."""
-    fps = cut(fingerprints(docs))
+    fps = cut(fingerprints(docs, words))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    member = cut(components(links(nodes.select("fp"), bucket)).withColumnRenamed("node", "fp"))
+    member = cut(components(links(nodes.select("fp"), bucket, bits)).withColumnRenamed("node", "fp"))
     least = nodes.join(member, "fp").groupBy("root").agg(F.min("first").alias("least"))
     known = nodes.join(member.join(least, "root").select("fp", "least"), "fp", "left")
     return fps.join(known.select("fp", F.coalesce("least", "first").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """The rows of docs of the least doc_id of each group of near duplicates, all columns as they are; of
     repeated rows of that doc_id, one. A group without any doc_id keeps one row."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = near_duplicates(docs, words=words, bits=bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
