@@ -107,6 +107,18 @@ def test_documents_with_nulls_ties_and_clashing_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 7]
 
 
+def test_null_and_repeated_ids_keep_a_row_of_each_group(spark):
+    prose = lambda seed: " ".join(str(random.Random(seed).random()) for _ in range(60)) + " " + " ".join(f"{seed}x{i}" for i in range(60))
+    a, b, c, d, e, f = map(prose, range(6))
+    rows = [(None, a), (None, a), (None, b), (None, c), (1, c.upper()), (2, c), (2, d), (2, d), (3, e), (3, f), (4, f), (None, f)]
+    assert len(set(brute_components([brute_fingerprint(t) for _, t in rows]))) == 6
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, row_key int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    assert got == sorted([(0, a), (0, b), (1, c.upper()), (2, d), (3, e), (3, f)])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0

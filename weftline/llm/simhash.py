@@ -218,8 +218,20 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET, words: int = WORDS, b
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """The rows of docs of the least doc_id of each group of near duplicates, all columns as they are; of
-    repeated rows of that doc_id, one. A group without any doc_id keeps one row."""
-    kept = near_duplicates(docs, words=words, bits=bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs of each group of near duplicates, all columns as they are: that of the least doc_id, a null
+    one after all others; of several texts under that doc_id, the one of the least digest; of repeated rows,
+    one. Rows go by a key of doc_id and text, so neither null nor repeated doc_ids join what is not alike."""
+    key = "row_key"
+    while key in (c.lower() for c in docs.columns):
+        key += "_"
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
+    keyed = docs.withColumn(key, F.unhex(digest))
+
+    def rows(got: dict[str, list]) -> dict[str, list]:
+        return {"doc_id": got["doc_id"], "k": got[key], "fp": np.array([fingerprint(t, words) for t in got["text"]], np.uint64).view(np.int64)}
+
+    fps = map_slices(keyed.select("doc_id", "text", key), rows, "doc_id long, k binary, fp long")
+    nodes = cut(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")))
+    member = cut(components(links(nodes.select("fp"), bits=bits)).withColumnRenamed("node", "fp"))
+    kept = nodes.join(member, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return keyed.join(kept.select(F.col("first.k").alias(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
