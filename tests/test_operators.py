@@ -3,13 +3,14 @@
 import math
 import random
 import statistics
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import arrays, calls, labels, text
 from weftline.operators import corpus, dialogue, folds, logs, rolling, stats
-from weftline.plans import evaluation
+from weftline.plans import corpora, evaluation
 
 
 def one(spark, column):
@@ -34,6 +35,19 @@ def test_spoken_and_words(spark):
     assert row["a"] == row["b"]
 
 
+def test_decomposed_texts_are_composed_for_scoring(spark, tmp_path):
+    texts = ["caf\u00e9 na\u00efve", "Vi\u1ec7t ng\u1eef", "\u0915\u093c \u0928\u0947", "plain", None]
+    apart = [t and unicodedata.normalize("NFD", t) for t in texts]
+    assert apart[:2] != texts[:2]
+    for name, made in (("nfc", texts), ("nfd", apart)):
+        spark.createDataFrame([(i, t, "s", "l") for i, t in enumerate(made)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    counts = [sorted(tuple(r) for r in corpora.norm_token_counts(spark, f"{tmp_path}/{n}").collect()) for n in ("nfc", "nfd")]
+    assert counts[0] == counts[1]
+    for query in (evaluation.wer_pairs, evaluation.wer_pairs_whole):
+        assert [r["errors"] for r in query(spark, f"{tmp_path}/nfd").filter("doc_id < 4").collect()] == [0] * 4
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

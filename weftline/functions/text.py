@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from unicodedata import normalize
 
 import pandas as pd
 import pyarrow as pa
@@ -49,12 +50,12 @@ def tokens(text: Column) -> Column:
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition, for which Spark has no expression."""
-    return text.str.normalize("NFC")
+    return text.map(lambda t: normalize("NFC", t), na_action="ignore")
 
 
-def spoken_words(text: Column, composed: bool = True) -> Column:
-    """Lower-case words of letters, marks, digits and apostrophes, for scoring. composed: the text is in NFC
-    already, so that the expression stays in the JVM; else it goes through nfc."""
+def spoken_words(text: Column, composed: bool = False) -> Column:
+    """Lower-case words of letters, marks, digits and apostrophes, for scoring, of the text in NFC. composed: it is
+    in NFC already, so that the expression stays in the JVM."""
     kept = F.regexp_replace(F.lower(text if composed else nfc(text)), r"\p{Cf}", "")
     return tokens(F.regexp_replace(kept, r"[^\p{L}\p{M}\p{N}']", " "))
 
