@@ -88,3 +88,47 @@ def test_redaction_keeps_columns_and_counts_anew(spark):
     assert got[2]["text"] is None and got[3]["text"] == "clean" and got[3]["spans"] == "z"
     assert pii.redact(docs).columns == docs.columns
     assert pii.redact(docs.limit(0)).count() == 0
+
+
+def test_spans_and_redaction_of_long_texts_with_many_candidates(spark):
+    # More than one block of matches and chunks of characters, touching and overlapping spans, wide characters.
+    rng = np.random.default_rng(8)
+    parts = ["a@b.org", "x y", "1.2.3.4", "é😀", "+1 (743) 555-3824", "_d@e.fr", "4111 1111 1111 1111", "(743) 555-3824", "é" * 500, " "]
+    texts = ["".join(parts[int(i)] for i in rng.integers(0, len(parts), 3000)) for _ in range(3)] + [" ".join(f"p{i}@ex{i}.org," for i in range(700))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r for r in pii.spans(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for i, text in enumerate(texts):
+        spans = got[i]["spans"]
+        assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["base"]] == brute(text)
+        sure = [(s["start"], s["end"]) for s in spans if s["base"]]
+        assert all(e <= s["start"] or s["end"] <= a for s in spans if not s["base"] for a, e in sure)
+        out, at = "", 0
+        for s in spans:
+            if s["start"] >= at:
+                out += text[at : s["start"]] + f"[{s['kind'].upper()}]"
+            at = max(at, s["end"])
+        assert clean[i] == out + text[at:]
+
+
+def test_time_of_a_long_text_is_in_proportion(spark):
+    from time import monotonic
+
+    text = " ".join(f"person{i}@mail{i}.org and more" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begun = monotonic()
+    assert len(pii.redact(docs, {}).first()["text"]) == 40_000 * len("[EMAIL] and more ") - 1
+    assert monotonic() - begun < 60
+
+
+def test_context_reaches_over_neighbouring_matches(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.llm.places import found, places_of
+
+    texts = ["", "ab12cd", "12", "1 22  333" + "x" * 50 + "4", "1a" * 700, "é1😀2"]
+    matches, gaps = found(F.col("text"), "[0-9]+", F.lit(True))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", matches.alias("m")).select("text", "m", gaps(F.col("m")).alias("g"))
+    for r in rows.select("text", places_of(F.col("m"), F.col("g"), 7).alias("p")).collect():
+        want = [(m.start(), m.end(), m[0], r["text"][max(0, m.start() - 7) : m.start()], r["text"][m.end() : m.end() + 7]) for m in re.finditer("[0-9]+", r["text"])]
+        assert [tuple(p) for p in r["p"]] == want

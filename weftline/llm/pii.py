@@ -12,7 +12,8 @@ are added from ``ACCEPT`` on where they overlap no base span.
 The patterns are written so that Java's matcher needs no recursion and no second start in a run: groups are
 possessive, and a match may start only where a run of its characters starts (or the last match ended).
 
-Defined results: a null text is empty; offsets are code points, end exclusive; spans are in the order of
+Defined results: a null text is empty; a very long text with many candidates takes time in proportion to its length
+(see ``places``); offsets are code points, end exclusive; spans are in the order of
 start, then kind; rows are judged one by one, so ties, repeats and extra columns change nothing; an empty
 table trains on nothing and returns nothing.
 """
@@ -23,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .places import apart, chunked, found, places_of, replaced
+
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
 LABELERS = ("shape", "check", "gazetteer", "context", "border")
@@ -56,16 +59,6 @@ CUES = {
 AGAINST = r"(version|\bv\.?$|isbn|issn|order|invoice|sku|serial|\bref|\bid\b|no\.|section|token|hash)"
 
 
-def _spans(matches: str, gaps: str) -> str:
-    """Where the matches are, from them and the text between them."""
-    at, end = f"acc.at + length(x.{gaps})", f"acc.at + length(x.{gaps}) + length(x.{matches})"
-    item = f"named_struct('start', {at}, 'end', {end}, 's', x.{matches})"
-    return (
-        f"coalesce(aggregate(slice(arrays_zip({gaps}, {matches}), 1, size({matches})), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,s:string>>)), "
-        f"(acc, x) -> named_struct('at', {end}, 'out', array_append(acc.out, {item})), acc -> acc.out), cast(array() as array<struct<start:int,end:int,s:string>>))"
-    )
-
-
 #: name: (kind, pattern, what a text must have for it to be tried)
 SOURCES = {
     "email": ("email", EMAIL, "instr(text, '@') > 0"),
@@ -103,8 +96,7 @@ def _candidate(name: str) -> str:
     """All that is known of one candidate x of a source: base or not, five votes and two shape classes."""
     kind = SOURCES[name][0]
     strict, loose_ip = name in KINDS, name == "ipv6"
-    before, after = "lower(substring(text, greatest(1, x.start - 39), least(40, x.start)))", "substring(text, x.end + 1, 1)"
-    last = "case when x.start = 0 then '' else substring(text, x.start, 1) end"
+    before, after, last = "lower(x.before)", "left(x.after, 1)", "right(x.before, 1)"
     base = BASE[name]
     check = {"email": "x.s rlike '[A-Za-z]{2,}$'", "ip": "true" if loose_ip else base, "card": base if strict else "false", "phone": f"length({_DIGITS}) between 10 and 15"}[kind]
     gazetteer = "x.s rlike '[0-9A-Fa-f]'" if loose_ip else "x.s rlike '" + GAZETTEER[kind].replace("\\", "\\\\") + "'"
@@ -130,23 +122,23 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     flags = text.withColumn("has_digit", F.expr("text rlike '[0-9]'"))
     wanted = flags.select("*", *[F.expr(need).alias(f"{name}_if") for name, (_, _, need) in SOURCES.items()])
-    none = F.expr("cast(array() as array<string>)")
-    matched = wanted.select(
-        "row", "text",
-        *[F.when(F.col(f"{name}_if"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"{name}_m") for name, (_, pattern, _) in SOURCES.items()],
-    )
-    parted = matched.select("*", *[F.when(F.size(f"{name}_m") > 0, F.split("text", pattern, -1)).otherwise(none).alias(f"{name}_g") for name, (_, pattern, _) in SOURCES.items()])
-    placed = parted.select("row", "text", *[F.expr(_spans(f"{name}_m", f"{name}_g")).alias(f"{name}_at") for name in SOURCES])
+    pairs = {name: found(F.col("text"), pattern, F.col(f"{name}_if")) for name, (_, pattern, _) in SOURCES.items()}
+    matched = wanted.select("row", "text", *[matches.alias(f"{name}_m") for name, (matches, _) in pairs.items()])
+    parted = matched.select("*", *[gaps(F.col(f"{name}_m")).alias(f"{name}_g") for name, (_, gaps) in pairs.items()])
+    # One expression for all patterns: analysing it takes a second.
+    each = F.transform(F.array(*[F.struct(F.col(f"{name}_m").alias("m"), F.col(f"{name}_g").alias("g")) for name in SOURCES]), lambda x: places_of(x["m"], x["g"]))
+    placed = parted.select("row", "text", each.alias("each")).select("row", "text", *[F.get("each", F.lit(i)).alias(f"{name}_at") for i, name in enumerate(SOURCES)])
     return placed.select("row", "text", F.concat(*[F.expr(_candidate(name)) for name in SOURCES]).alias("found"))
 
 
 FEATURES = (*LABELERS, "length", "marks")
 
 
-def patterns(found: DataFrame) -> list[dict]:
-    """How often each pattern of kind, votes and shape occurs in all documents: at most PATTERNS rows."""
-    rows = found.select(F.explode("found").alias("c")).groupBy("c.kind", *[f"c.{f}" for f in FEATURES]).agg(F.count("*").alias("n"))
-    return [r.asDict() for r in rows.collect()]
+def patterns(judged: DataFrame) -> list[dict]:
+    """How often each pattern of kind, votes and shape occurs in all documents: at most PATTERNS rows. The outer form of
+    explode keeps Spark from deriving a filter of all patterns, which would run them a second time."""
+    rows = judged.select(F.explode_outer("found").alias("c")).groupBy("c.kind", *[f"c.{f}" for f in FEATURES]).agg(F.count("*").alias("n"))
+    return [r.asDict() for r in rows.collect() if r["kind"] is not None]
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +190,9 @@ def train(rows: list[dict]) -> dict[str, list[float]]:
 
 def spans(docs: DataFrame, weights: dict[str, list[float]] | None = None) -> DataFrame:
     """row, text and spans: an array of (kind, rank, start, end, base) in order of start and rank."""
-    found = candidates(docs)
+    judged = candidates(docs)
     if weights is None:
-        weights = train(patterns(found))
+        weights = train(patterns(judged))
 
     def score(c: Column) -> Column:
         out = F.lit(-30.0)
@@ -214,9 +206,9 @@ def spans(docs: DataFrame, weights: dict[str, list[float]] | None = None) -> Dat
     least = float(np.log(ACCEPT / (1 - ACCEPT)))
     base = F.filter("found", lambda c: c["base"])
     more = F.filter("found", lambda c: ~c["base"] & (score(c) >= least))
-    split = found.select("row", "text", base.alias("sure"), more.alias("more"))
-    apart = F.filter("more", lambda c: ~F.exists("sure", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    slim = F.transform(F.concat("sure", apart), lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base")))
+    split = judged.select("row", "text", base.alias("sure"), more.alias("more"))
+    added = F.when((F.size("more") > 0) & (F.size("sure") > 0), apart(F.col("more"), F.col("sure"))).otherwise(F.col("more"))
+    slim = F.transform(F.concat("sure", added), lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["kind"].alias("kind"), c["end"].alias("end"), c["base"].alias("base")))
     return split.select("row", "text", F.array_sort(slim).alias("spans"))
 
 
@@ -228,11 +220,8 @@ def written(items: Column) -> Column:
 def redact(docs: DataFrame, weights: dict[str, list[float]] | None = None) -> DataFrame:
     """docs with each span of text replaced by its kind in brackets, and n_chars counted anew where there is
     such a column. Overlapping spans are replaced together, under the kind of the first."""
-    step = (
-        "aggregate(spans, named_struct('at', 0, 'out', ''), (acc, c) -> case when c.end <= acc.at then acc when c.start < acc.at then named_struct('at', c.end, 'out', acc.out) "
-        "else named_struct('at', c.end, 'out', concat(acc.out, substring(text, acc.at + 1, c.start - acc.at), '[', upper(c.kind), ']')) end, acc -> concat(acc.out, substring(text, acc.at + 1)))"
-    )
-    clean = spans(docs, weights).withColumn("clean", F.when(F.size("spans") > 0, F.expr(step)).otherwise(F.col("row.text")))
+    cut = spans(docs, weights).withColumn("chunks", F.when(F.size("spans") > 0, chunked(F.col("text"))))
+    clean = cut.withColumn("clean", F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("chunks"), F.col("spans"))).otherwise(F.col("row.text")))
     out = []
     for name, kind in docs.dtypes:
         column = F.col("row").getField(name)
