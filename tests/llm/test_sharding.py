@@ -85,3 +85,17 @@ def test_small_tables(spark, tmp_path, rows):
     for r in got:
         by[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_law_holds_where_doc_ids_are_null_repeated_or_extreme(spark):
+    same = "copy " * 80
+    rows = [(None, same, "s")] * 400 + [(7, same, "s")] * 200 + [((1 << 63) - 1, f"t{i}" * 50, "s") for i in range(40)] + [(-(1 << 63), None, "s")] * 5
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, shard string"), 4).collect()
+    assert len(got) == len(rows)
+    sizes, slots = {}, {}
+    for r in got:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append((r["slot"], r["doc_id"] is not None, r["doc_id"] or 0))
+    assert set(sizes) == {0, 1, 2, 3}
+    assert max(sizes.values()) <= 1.05 * sum(sizes.values()) / 4
+    assert all(sorted(s for s, _, _ in x) == list(range(len(x))) for x in slots.values())

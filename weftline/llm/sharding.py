@@ -10,11 +10,13 @@ Best fit: items by falling size enter the open shard with the least remaining ca
 holds them, found by bisection in a height-balanced search tree. The capacity is the smallest for
 which the given number of shards suffices, so the shards end up near equal; items larger than an
 even share get shards of their own, and the rest is shared evenly by the others. A group larger than
-a shard is cut by a hash of doc_id into pieces of at most a shard.
+a shard is cut by a hash of doc_id and row number into pieces of at most a shard.
 
 Defined results: a null text has size OVERHEAD and forms a group with other null texts (not with empty
-ones); a null doc_id is hashed like any value; rows that are equal in all columns get different slots
-of one shard; an empty table gives no rows.
+ones); rows are told apart by a number of their own, so rows of equal or null doc_id, or equal in all
+columns, are dealt and numbered like any others (those of a group larger than a shard over several shards);
+slots follow doc_id (null first), size, checksum and row number; a text of any length counts by its bytes
+only; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -131,19 +133,21 @@ def _bundle(h: Column) -> Column:
     return F.when(at < FINE_SPAN, fine).otherwise(F.concat(F.lit("c"), F.floor(at / COARSE_STEP).cast("string")))
 
 
-def _piece(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id, F.lit("piece")), F.lit(PIECES)).cast("int")
+def _piece() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "nth", F.lit("piece")), F.lit(PIECES)).cast("int")
 
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of docs (columns doc_id and text)."""
     spark = docs.sparkSession
-    rows = docs.select(
+    # Written once, row numbers with it, so that they are the same whenever a task is run again.
+    rows = cut(docs.select(
         F.col("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))).alias("text_crc32"),
         F.coalesce(F.md5("text"), F.lit("0" * 32)).alias("h"),
-    )
+        F.monotonically_increasing_id().alias("nth"),
+    ))
     groups = cut(rows.groupBy("h").agg(F.sum("size").alias("bytes")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     even = max(1, total // shards)
@@ -155,7 +159,7 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     huge = sorted(name for name, size in items if len(name) == 32 and size > even)
     parts: dict[tuple[str, int], str] = {}
     if huge:
-        counted = rows.filter(F.col("h").isin(huge)).groupBy("h", _piece(F.col("doc_id")).alias("p")).agg(F.sum("size").alias("bytes"))
+        counted = rows.filter(F.col("h").isin(huge)).groupBy("h", _piece().alias("p")).agg(F.sum("size").alias("bytes"))
         items = [x for x in items if x[0] not in set(huge)]
         filled: dict[str, list[int]] = {}
         for r in sorted(counted.collect(), key=lambda r: (r["h"], r["p"])):
@@ -171,24 +175,24 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     schema = T.StructType([T.StructField("item", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType())])
     places = spark.createDataFrame(lookup, schema)
     big = F.broadcast(large.select(F.col("h").alias("big")))
-    part = F.when(F.col("h").isin(huge), _piece(F.col("doc_id"))).otherwise(F.lit(-1)) if huge else F.lit(-1)
+    part = F.when(F.col("h").isin(huge), _piece()).otherwise(F.lit(-1)) if huge else F.lit(-1)
     placed = (
         rows.join(big, F.col("h") == F.col("big"), "left")
         .withColumns({"item": F.when(F.col("big").isNotNull(), F.col("h")).otherwise(_bundle(F.col("h"))), "part": part})
         .join(F.broadcast(places), ["item", "part"], "left")
-        .select("doc_id", "size", "text_crc32", "shard")
+        .select("doc_id", "size", "text_crc32", "nth", "shard")
     )
-    return number(cut(placed), ["shard"], "doc_id")
+    return number(cut(placed), ["shard"], ["doc_id", "size", "text_crc32", "nth"]).drop("nth")
 
 
-def number(df: DataFrame, by: list[str], key: str, parts: int = SLOT_PARTS) -> DataFrame:
+def number(df: DataFrame, by: list[str], keys: list[str], parts: int = SLOT_PARTS) -> DataFrame:
     """df with ``slot``: 0, 1, ... without gaps in every group of ``by``. Each group is numbered in parts (by
-    a hash of key), and the counts before a part are added; no task holds a whole group."""
-    dealt = df.withColumn("slot_part", F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(parts)))
+    a hash of the keys, which tell rows apart), and the counts before a part are added; no task holds a group."""
+    dealt = df.withColumn("slot_part", F.pmod(F.xxhash64(*keys, F.lit("slot")), F.lit(parts)))
     counts = dealt.groupBy(*by, "slot_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy(*by).orderBy("slot_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "slot_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*by, "slot_part").orderBy(key)
+    inside = Window.partitionBy(*by, "slot_part").orderBy(*keys)
     return (
         dealt.withColumn("inside", F.row_number().over(inside))
         .join(offsets, [*by, "slot_part"])
