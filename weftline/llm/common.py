@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -85,6 +86,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver's JVM collect what no one refers to any more; Spark's cleaner then deletes the shuffle files and
+    checkpoints of such plans, which in a job of many steps would stay to its end."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows up to which a side table, counted first, is broadcast; a larger one is joined by shuffle.
 SMALL = 200_000
 
