@@ -57,3 +57,32 @@ def test_query(spark, tmp_path):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert bpe.tokenise(docs.limit(0)).count() == 0
+
+
+def test_most_tokens_come_through_joins():
+    words = "internationalisation encodings neighbouring boundary windows stabilise reduction Donaudampfschifffahrt".split()
+    seen = []
+    ours, join = bpe.Bpe(PATH, public.PATTERN), bpe.Bpe.join
+    ours.join = lambda left, right: seen.append((left, right)) or join(ours, left, right)
+    for w in words:
+        data = w.encode()
+        whole = ours.piece(data)
+        assert whole == ours.merge(data)
+        if data not in ours.ranks:
+            assert seen and len(b"".join(seen[-1][0] + seen[-1][1])) == len(data)
+
+
+def test_decoding_goes_level_by_level():
+    import numpy as np
+
+    for n in (0, 1, 2, 3, 7, 64, 1001):
+        picked = np.random.default_rng(n).integers(0, len(OURS.tokens), n)
+        picked = np.array([i for i in picked if OURS.tokens[i] is not None], "<u4")
+        assert OURS.decode(picked) == b"".join(OURS.tokens[i] for i in picked)
+
+
+def test_empty_tables_ties_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x y", "a", 1), (1, "x y", "b", 2), (None, None, "c", 3)], "doc_id long, text string, decoded string, n_tokens int")
+    got = bpe.tokenise(docs).collect()
+    assert sorted(str((r["doc_id"], r["decoded"])) for r in got) == sorted(str(x) for x in [(1, bytearray(b"x y")), (1, bytearray(b"x y")), (None, bytearray(b""))])
+    assert bpe.encode(docs.limit(0)).count() == bpe.tokenise(docs.limit(0)).count() == 0

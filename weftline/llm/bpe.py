@@ -12,10 +12,11 @@ window until the two pairs there encode to themselves. With the window grown to
 a plain encoding, so it ends. As in the library whose ids are matched, a piece that is a token as a
 whole is that token, whatever the merges give.
 
-Decoding is the same reduction with concatenation of bytes as the join.
+Decoding is the same reduction with concatenation of bytes as the join, level by level from single tokens.
 
 Defined results: a null or empty text has no tokens; text of any length is encoded whole; a lone
-surrogate can't occur in a Spark string; equal rows give equal rows.
+surrogate can't occur in a Spark string; equal rows give equal rows, and rows are encoded one by one, so ties change
+nothing; an empty table gives no rows; columns that are not carried are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame
 
 from .common import map_slices, utf8
 
-#: Bytes of a leaf of the tree, tokens on each side of a seam in the first window.
-LEAF, SEAM = 16, 2
+#: Bytes of a leaf of the tree, which one look-up encodes; tokens on each side of a seam in the first window.
+LEAF, SEAM = 2, 2
+#: Bytes up to which subtrees are remembered, and how many of them.
+TWIG, TWIGS = 8, 1 << 16
 #: Bytes from which windows are merged with a heap; length up to which pieces are remembered,
 #: and how many in each of two generations.
-LONG, SHORT, REMEMBERED = 96, 32, 100_000
+LONG, SHORT, REMEMBERED = 96, 32, 80_000
 
 
 class Pieces(dict):
@@ -71,7 +74,8 @@ class Bpe:
         self.pieces = regex.compile(pattern).findall
         self.packed = {token: struct.pack("<I", rank) for token, rank in self.ranks.items()}
         self.known = Pieces(self)
-        self.pair_stays = lru_cache(200_000)(self._pair_stays)
+        self.pair_stays = lru_cache(TWIGS)(self._pair_stays)
+        self.twig = lru_cache(TWIGS)(self._branch)
 
     def merge(self, data: bytes) -> list[bytes]:
         """Merges the neighbours of least rank, leftmost first, until none can be merged."""
@@ -129,7 +133,10 @@ class Bpe:
 
     def tree(self, data: bytes) -> list[bytes]:
         if len(data) <= LEAF:
-            return self.merge(data)
+            return [data] if data in self.ranks else [data[i : i + 1] for i in range(len(data))]
+        return self.twig(data) if len(data) <= TWIG else self._branch(data)
+
+    def _branch(self, data: bytes) -> list[bytes]:
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
@@ -141,11 +148,12 @@ class Bpe:
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """Concatenates up the tree, in halves down to runs that one join takes."""
-        if len(ids) <= 1 << 16:
-            return b"".join(self.tokens[ids].tolist())
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        """Concatenates neighbours, level by level, until one is left."""
+        level = self.tokens[ids]
+        while len(level) > 1:
+            even = len(level) // 2 * 2
+            level = np.concatenate([level[0:even:2] + level[1:even:2], level[even:]])
+        return level[0] if len(level) else b""
 
 
 @lru_cache(4)
@@ -187,5 +195,10 @@ def decode(encoded: DataFrame, carried: list[str] | None = None, path: str | Non
 
 
 def tokenise(docs: DataFrame, carried: list[str] | None = None, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """encode, then decode."""
-    return decode(encode(docs, carried, path, pattern), carried, path, pattern)
+    """encode, then decode, in one pass: the carried columns, ids and decoded."""
+
+    def both(bpe: Bpe, text: str | None) -> tuple[bytes, bytes]:
+        ids = bpe.encode_bytes(text) if text else b""
+        return ids, bpe.decode(np.frombuffer(ids, "<u4"))
+
+    return _mapped(docs, carried or ["doc_id"], "text", path, pattern, both, {"ids": "binary", "decoded": "binary"})
