@@ -44,8 +44,7 @@ def test_decomposed_texts_are_composed_for_scoring(spark, tmp_path):
         spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
     counts = [sorted(tuple(r) for r in corpora.norm_token_counts(spark, f"{tmp_path}/{n}").collect()) for n in ("nfc", "nfd")]
     assert counts[0] == counts[1]
-    for query in (evaluation.wer_pairs, evaluation.wer_pairs_whole):
-        assert [r["errors"] for r in query(spark, f"{tmp_path}/nfd").filter("doc_id < 4").collect()] == [0] * 4
+    assert [r["errors"] for r in evaluation.wer_pairs(spark, f"{tmp_path}/nfd").filter("doc_id < 4").collect()] == [0] * 4
 
 
 def levenshtein(a, b):
@@ -84,12 +83,12 @@ def test_whole_texts_are_scored(spark, tmp_path):
     spark.createDataFrame([(i, " ".join(r)) for i, (r, _) in enumerate(pairs)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, " ".join(h), f"l{i % 2}") for i, (_, h) in enumerate(pairs)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {i: (len(r), levenshtein(r, h)) for i, (r, h) in enumerate(pairs)}
-    assert {r["doc_id"]: (r["ref_words"], r["errors"]) for r in evaluation.wer_pairs_whole(spark, str(tmp_path)).collect()} == want
-    for r in evaluation.wer_by_group_whole(spark, str(tmp_path)).collect():
+    assert {r["doc_id"]: (r["ref_words"], r["errors"]) for r in evaluation.wer_pairs(spark, str(tmp_path)).collect()} == want
+    for r in evaluation.wer_by_group(spark, str(tmp_path)).collect():
         words, errors = (sum(v[k] for i, v in want.items() if f"l{i % 2}" == r["lang"]) for k in (0, 1))
         assert (r["words"], r["errors"]) == (words, errors) and abs(r["wer"] - errors / words) < 1e-6
     rates = sorted(((round(e / n, 6), -i) for i, (n, e) in want.items()), reverse=True)[:5]
-    assert [(r["rate"], -r["doc_id"]) for r in evaluation.wer_worst5_whole(spark, str(tmp_path)).collect()] == rates
+    assert [(r["rate"], -r["doc_id"]) for r in evaluation.wer_worst5(spark, str(tmp_path)).collect()] == rates
 
 
 def test_corpus_rate_is_not_a_mean_of_rates(spark):
@@ -267,3 +266,25 @@ def test_canonical_key_ignores_source(spark):
     rows = spark.createDataFrame([("a", [("user", "x")], None), ("b", [("user", "x")], None)], "source string, messages array<struct<role:string,content:string>>, tools string")
     keys = rows.select(corpus.canonical(F.col("messages"), F.col("tools")).alias("k")).distinct()
     assert keys.count() == 1
+
+
+def test_ranks_over_ranges_equal_plain_ones(spark):
+    from weftline.operators import ranks
+
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.5, 2.0, 7.25, -3.0, 11.0]), i) for i in range(400)] + [("c", None, 900)]
+    df = spark.createDataFrame(rows, "g string, v double, i int")
+    got = {(r["g"], r["i"]): r["n"] for r in ranks.numbered(df, ["g"], ["i"], "n").collect()}
+    for g in ("a", "b", "c", None):
+        assert [got[g, i] for i in sorted(i for k, _, i in rows if k == g)] == list(range(sum(k == g for k, _, _ in rows)))
+    for r in ranks.nearest_ranks(df, ["g"], "v", {"p50": 0.5, "p95": 0.95, "top": 1.0}).collect():
+        own = sorted(v for k, v, _ in rows if k == r["g"] and v is not None)
+        assert r["n"] == len(own) and [r["p50"], r["p95"], r["top"]] == [own[-(-int(q * 100) * len(own) // 100) - 1] for q in (0.5, 0.95, 1.0)]
+    whole = sorted(v for _, v, _ in rows if v is not None)
+    assert ranks.nearest_ranks(df, [], "v", {"p": 0.5}).first()["p"] == whole[len(whole) // 2 - 1]
+
+
+def test_caps_leave_other_sources_whole(spark):
+    df = spark.createDataFrame([(s, i) for s in ("a", "b", None) for i in range(9)], "source string, i int")
+    got = sorted((r["source"] or "", r["i"]) for r in corpus.capped_by_source(df, "source", ["i"], {"a": 2, "x": 5}).collect())
+    assert got == sorted([("a", 0), ("a", 1), *[(s, i) for s in ("b", "") for i in range(9)]])

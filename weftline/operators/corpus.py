@@ -27,10 +27,15 @@ def capped_by_source(df: DataFrame, source: str, order: Sequence[str], caps: dic
     rank = F.row_number().over(Window.partitionBy(source).orderBy(*order))
     if isinstance(caps, int):
         return df.withColumn("_r", rank).filter(F.col("_r") <= caps).drop("_r")
-    limit = F.lit(None).cast("int")
+    if not caps:
+        return df
+    limit = F.lit(0)
     for name, n in caps.items():
         limit = F.when(F.col(source) == name, n).otherwise(limit)
-    return df.withColumn("_r", rank).filter(limit.isNull() | (F.col("_r") <= limit)).drop("_r")
+    # Only sources with a cap are ranked, and no more of each than the largest cap.
+    with_cap = F.coalesce(F.col(source).isin(*caps), F.lit(False))
+    first = df.filter(with_cap).withColumn("_r", rank).filter(F.col("_r") <= max(caps.values())).filter(F.col("_r") <= limit).drop("_r")
+    return first.unionByName(df.filter(~with_cap))
 
 
 def first_of_each(df: DataFrame, digest: str, order: Sequence[str], flag: str = "is_first") -> DataFrame:

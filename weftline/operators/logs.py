@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import numbered
+
 #: Stages of a turn in order; outcomes that close an attempt.
 STAGES = ("endpoint", "stt_start", "stt_done", "emotion_resolved", "tts_first_chunk", "sink_first_sent", "sink_played", "turn_done")
 OUTCOMES = ("succeeded", "failed", "denied", "rate_limited")
@@ -49,5 +51,5 @@ def numbered_calls(df: DataFrame, turn: str, order: Sequence[str]) -> DataFrame:
 
 def rotated(df: DataFrame, kind: str, order: Sequence[str], lines: Sequence[str]) -> DataFrame:
     """The line for each row: the n-th occurrence of a kind takes the n-th line, around and around."""
-    n = F.row_number().over(Window.partitionBy(kind).orderBy(*order)) - 1
-    return df.withColumn("line", F.element_at(F.array(*map(F.lit, lines)), (n % len(lines) + 1).cast("int")))
+    counted = numbered(df, [kind], order, "_n")
+    return counted.withColumn("line", F.element_at(F.array(*map(F.lit, lines)), (F.col("_n") % len(lines) + 1).cast("int"))).drop("_n")

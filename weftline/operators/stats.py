@@ -8,7 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import nearest_ranks, total_before
 
 #: Gates.
 AUC_GATE, AUC_LEAST, TAG_GATE, FLAT = 0.80, 6, 0.98, 0.8
@@ -17,22 +18,23 @@ TAG_VERDICTS = ("ok", "missing", "malformed", "misplaced")
 
 
 def nearest_rank(values: str, q: float) -> Column:
-    """The value at rank ceil(q n) of the sorted values, never one between two."""
+    """The value at rank ceil(q n) of the sorted values, never one between two. The distinct values of a group are held in
+    one task: for few (clause lengths, whole milliseconds); ``ranks.nearest_ranks`` takes any number."""
     return F.expr(f"percentile_disc({q}D) WITHIN GROUP (ORDER BY {values})")
 
 
 def latency(df: DataFrame, by: Sequence[str] = (), value: str = "latency_ms") -> DataFrame:
     """n, p50, p95 and worst; a mean is left out on purpose."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), nearest_rank(value, 0.5).alias("p50"), nearest_rank(value, 0.95).alias("p95"), F.max(value).alias("worst"))
+    return nearest_ranks(df, by, value, {"p50": 0.5, "p95": 0.95, "worst": 1.0})
 
 
 def auc(df: DataFrame, score: str, positive: str, by: Sequence[str] = (), least: int = 2) -> DataFrame:
     """Area under the curve from average ranks, per group: NaN with one class only.
 
-    Rows are first counted by distinct score, so the window that ranks runs over scores, not rows."""
+    Rows are first counted by distinct score, and scores are ranked by ranges of them, so that neither the rows nor
+    the scores of a group meet in one task."""
     counts = df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("int")).alias("p"))
-    before = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    ranked = total_before(counts, by, [score], F.col("n"), "before").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
     total = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("n_pos"), F.sum(F.col("rank") * F.col("p")).alias("r"))
     neg = F.col("n") - F.col("n_pos")
     area = (F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / F.nullif(F.col("n_pos") * neg, F.lit(0))
@@ -118,5 +120,7 @@ def longest_within(clauses: DataFrame, budget_ms: float, by: Sequence[str] = ())
 
 def call_rates(checks: DataFrame, check: str = "check") -> DataFrame:
     """Shares of well-formed and of known calls, and the first three replies that were not well-formed."""
-    bad = F.when(~F.col(f"{check}.well_formed"), F.col("reply"))
-    return checks.agg(F.avg(F.col(f"{check}.well_formed").cast("int")).alias("well_formed"), F.avg(F.col(f"{check}.known").cast("int")).alias("known"), F.slice(F.array_sort(F.collect_set(bad)), 1, 3).alias("examples"))
+    rates = checks.agg(F.avg(F.col(f"{check}.well_formed").cast("int")).alias("well_formed"), F.avg(F.col(f"{check}.known").cast("int")).alias("known"))
+    first = checks.filter(~F.col(f"{check}.well_formed") & F.col("reply").isNotNull()).select("reply").distinct().orderBy("reply").limit(3)
+    # One row and one row.
+    return rates.crossJoin(first.agg(F.array_sort(F.collect_list("reply")).alias("examples")))

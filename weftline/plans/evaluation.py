@@ -7,61 +7,46 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions import text as tx
-from ..operators import stats
+from ..operators import ranks, stats
 from .base import registry, table
 
 QUERIES, SQL, query = registry()
 
-#: The first words of each text that the SQL of wer_pairs, wer_by_group and wer_worst5 scores.
-_PAIR_WORDS = 20
-
-
-def _pairs(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
-    """(doc_id, lang, reference, hypothesis): items against the documents of the same number; whole texts, or the
-    first words of each."""
-    words = lambda c: tx.spoken_words(F.col(c)) if most is None else F.slice(tx.spoken_words(F.col(c)), 1, most)
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, lang, reference, hypothesis): the words of items against those of the documents of the same number."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("reference"))
     pairs = table(spark, sf, "documents").select("doc_id", "lang", "text").join(items, "doc_id")
-    return pairs.select("doc_id", "lang", words("reference").alias("reference"), words("text").alias("hypothesis"))
+    return pairs.select("doc_id", "lang", tx.spoken_words(F.col("reference")).alias("reference"), tx.spoken_words(F.col("text")).alias("hypothesis"))
 
 
-def _scored(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
-    return _pairs(spark, sf, most).select("doc_id", "lang", F.size("reference").alias("ref_words"), tx.word_errors(F.col("reference"), F.col("hypothesis")).alias("errors"))
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf).select("doc_id", "lang", F.size("reference").alias("ref_words"), tx.word_errors(F.col("reference"), F.col("hypothesis")).alias("errors"))
 
 
-_WORDS = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower({t}), '\p{{Cf}}', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}'']', ' ', 'g'), ' +'), lambda w: w <> '')[1:20]"
-_LEV = f"""(SELECT doc_id, lang, len(r) AS ref_words, levenshtein(list_reduce(list_prepend('', list_transform(r, lambda w: chr(CAST(40 + list_position(u, w) AS INT)))), lambda a, b: a || b),
-list_reduce(list_prepend('', list_transform(h, lambda w: chr(CAST(40 + list_position(u, w) AS INT)))), lambda a, b: a || b)) AS errors
-FROM (SELECT *, list_distinct(list_concat(r, h)) AS u FROM (SELECT d.doc_id, d.lang, {_WORDS.format(t='b.text')} AS r, {_WORDS.format(t='d.text')} AS h FROM documents d JOIN benchmark b ON d.doc_id = b.item_id)))"""
+_WORDS = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(nfc_normalize({t})), '\p{{Cf}}', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}'']', ' ', 'g'), ' +'), lambda w: w <> '')"
+#: The table of distances, one reference word at a time: a running minimum stands for the insertions.
+_LEV = f"""(WITH RECURSIVE p AS MATERIALIZED (SELECT d.doc_id, d.lang, {_WORDS.format(t='b.text')} AS r, {_WORDS.format(t='d.text')} AS h FROM documents d JOIN benchmark b ON d.doc_id = b.item_id),
+h AS MATERIALIZED (SELECT doc_id, j, CASE WHEN j > 0 THEN h[j] END AS w FROM p, unnest(range(0, len(h) + 1)) AS u(j)),
+dp AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, j, j AS d FROM h
+UNION ALL SELECT doc_id, i, j, j + min(c - j) OVER (PARTITION BY doc_id ORDER BY j) FROM (
+SELECT dp.doc_id, dp.i + 1 AS i, dp.j, coalesce(least(dp.d + 1, lag(dp.d) OVER (PARTITION BY dp.doc_id ORDER BY dp.j) + CASE WHEN h.w = p.r[dp.i + 1] THEN 0 ELSE 1 END), dp.d + 1) AS c
+FROM dp JOIN p ON p.doc_id = dp.doc_id AND dp.i < len(p.r) JOIN h ON h.doc_id = dp.doc_id AND h.j = dp.j))
+SELECT p.doc_id, p.lang, len(p.r) AS ref_words, dp.d AS errors FROM p JOIN dp ON p.doc_id = dp.doc_id AND dp.i = len(p.r) AND dp.j = len(p.h))"""
 
 
 @query(f"SELECT doc_id, CAST(ref_words AS INT) AS ref_words, CAST(errors AS INT) AS errors FROM {_LEV}")
 def wer_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf, _PAIR_WORDS).select("doc_id", "ref_words", "errors")
+    return _scored(spark, sf).select("doc_id", "ref_words", "errors")
 
 
-@query(f"SELECT lang, count(*) AS n, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(ref_words) AS BIGINT) AS words, round(sum(errors) / sum(ref_words), 6) AS wer FROM {_LEV} GROUP BY lang")
+@query(f"SELECT coalesce(lang, '(unlabelled)') AS lang, count(*) AS n, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(ref_words) AS BIGINT) AS words, round(sum(errors) / sum(ref_words), 6) AS wer FROM {_LEV} GROUP BY 1")
 def wer_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.corpus_wer(_scored(spark, sf, _PAIR_WORDS), ["lang"]).withColumn("wer", F.round("wer", 6))
+    rows = _scored(spark, sf).withColumn("lang", F.coalesce("lang", F.lit("(unlabelled)")))
+    return stats.corpus_wer(rows, ["lang"]).withColumn("wer", F.round("wer", 6))
 
 
 @query(f"SELECT doc_id, round(errors / greatest(1, ref_words), 6) AS rate FROM {_LEV} ORDER BY 2 DESC, 1 LIMIT 5")
 def wer_worst5(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.worst(_scored(spark, sf, _PAIR_WORDS), "doc_id").select("doc_id", F.round("rate", 6).alias("rate"))
-
-
-@query()
-def wer_pairs_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).select("doc_id", "ref_words", "errors")
-
-
-@query()
-def wer_by_group_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.corpus_wer(_scored(spark, sf), ["lang"]).withColumn("wer", F.round("wer", 6))
-
-
-@query()
-def wer_worst5_whole(spark: SparkSession, sf: str) -> DataFrame:
     return stats.worst(_scored(spark, sf), "doc_id").select("doc_id", F.round("rate", 6).alias("rate"))
 
 
@@ -106,7 +91,7 @@ def ccc_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 1.0) AS p100 FROM events GROUP BY 1")
 def pct_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(*[stats.nearest_rank("value", q).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.95, 1.0)])
+    return ranks.nearest_ranks(table(spark, sf, "events"), ["event_type"], "value", {f"p{round(q * 100)}": q for q in (0.5, 0.9, 0.95, 1.0)}).drop("n")
 
 
 @query("SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS worst FROM events WHERE value IS NOT NULL GROUP BY 1")
