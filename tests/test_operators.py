@@ -288,3 +288,16 @@ def test_caps_leave_other_sources_whole(spark):
     df = spark.createDataFrame([(s, i) for s in ("a", "b", None) for i in range(9)], "source string, i int")
     got = sorted((r["source"] or "", r["i"]) for r in corpus.capped_by_source(df, "source", ["i"], {"a": 2, "x": 5}).collect())
     assert got == sorted([("a", 0), ("a", 1), *[(s, i) for s in ("b", "") for i in range(9)]])
+
+
+def test_parts_of_transcripts():
+    assert list(calls.objects('a {"x": "}{", "y": {"z": 1}} b {} \\" {"q": "\\"}"}')) == ['{"x": "}{", "y": {"z": 1}}', "{}", '{"q": "\\"}"}']
+    with pytest.raises(ValueError):
+        list(calls.objects('{"x": {}'))
+    assert calls.parts("a<t> 1 </t>b<t>\\n2\\n</t>", "t") == ("ab", ["1", "2"])
+    with pytest.raises(ValueError):
+        calls.parts("a<t>1", "t")
+    for text in ('{"name": "g", "arguments": {"a": 1}}', '{"name": "g", "arguments": "{\\"a\\": 1}"}', "{\"name\": \"g\", \"arguments\": '{\"a\": 1}'}"):
+        assert calls.written_call(text) == ("g", {"a": 1})
+    said = [calls.Said("user", "u"), calls.Said("tool", results=("r",))]
+    assert calls.messages_of(said) is None and not calls.results_follow_calls(said)
