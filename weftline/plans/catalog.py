@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from . import affect, assembly, corpora, dialogue, evaluation, events, extensions
+    from . import affect, assembly, corpora, dialogue, evaluation, events, extensions, machines, readers
 
-    return [corpora, dialogue, evaluation, events, affect, assembly, extensions]
+    return [corpora, dialogue, evaluation, events, affect, assembly, extensions, readers, machines]
 
 
 def queries() -> dict[str, Query]:

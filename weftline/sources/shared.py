@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir or the context's checkpoint folder; a temporary one only where neither is set."""
+    """spark.checkpoint.dir or the context's checkpoint folder; only where neither is set and the master is this machine
+    (tests), a temporary one. On a cluster executors would not see that."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
         import tempfile
 
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
@@ -28,3 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and read back from the shared folder; it survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a path below shared_dir through Hadoop, wherever it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
