@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.base import spread, table
+from ..sources.shared import cut, drop_path, shared_dir, shared_path
+
+__all__ = ["SLICE", "SMALL", "cut", "drop_path", "map_slices", "release", "shared_dir", "shared_path", "small", "spread", "table", "utf8", "word_count"]
+
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 #: bytes.split() without arguments splits UTF-8 at exactly these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,17 +23,6 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SLICE = 512
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores where its files have fewer row groups than there are cores; such an input is small,
-    and a large one is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
-
-
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
@@ -55,37 +48,6 @@ def map_slices(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]]
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of
-    this context; only where neither is set (tests, one machine), a temporary folder."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        import tempfile
-
-        where = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path below shared_dir."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a path below shared_dir through Hadoop, wherever it is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets the driver's JVM collect what no one refers to any more; Spark's cleaner then deletes the shuffle files and
     checkpoints of such plans, which in a job of many steps would stay to its end."""
