@@ -30,7 +30,7 @@ def test_held_out_findings(spark, model):
 def test_expression_equals_the_model(spark, model):
     from pyspark.ml.feature import VectorAssembler
 
-    held = secrets.labelled_findings(spark, 300, "other")
+    held = secrets.labelled_findings(spark, 400, "other")
     score = secrets.probability(model)
     rows = secrets.candidates(held).select(F.explode("found").alias("c")).select("c", score(F.col("c")).alias("p"), *[f"c.{f}" for f in secrets.FEATURES])
     out = model.transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(rows)).select("p", "probability").collect()
@@ -44,3 +44,43 @@ def test_edge_tables(spark, model):
     assert secrets.fit(secrets.labelled_findings(spark).filter("secret = 1")) is None
     one = spark.createDataFrame([("x 0123456789abcdefg",)], "text string")
     assert len(secrets.scan(one, None).first()["secrets"]) == 1
+
+
+def test_recall_and_precision_on_kinds_that_training_has_not_seen(spark, model):
+    held = secrets.labelled_findings(spark, 1600, "unseen", unseen=True)
+    got = secrets.scan(held, model).select("row.secret", (F.size("secrets") > 0).cast("int").alias("said")).groupBy("secret", "said").count().collect()
+    n = {(r["secret"], r["said"]): r["count"] for r in got}
+    hit = n.get((1, 1), 0)
+    assert hit / (hit + n.get((1, 0), 0)) > 0.9 and hit / (hit + n.get((0, 1), 0)) > 0.9
+
+
+def test_assigned_values_urls_and_private_keys_are_candidates(spark):
+    texts = ["password=hunter2!x", 'Secret: "correct horse"', "ftp://joe:pass.word@host/x", "a\n-----BEGIN EC PRIVATE KEY-----\nb", "password is long", "http://host:8080/path", 'token = "0123456789abcdef0123"']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["row"]["doc_id"]: [texts[r["row"]["doc_id"]][c["start"] : c["end"]] for c in r["found"]] for r in secrets.candidates(docs).collect()}
+    assert [got[i] for i in range(7)] == [["hunter2!x"], ["correct"], ["pass.word"], ["-----BEGIN EC PRIVATE KEY-----"], [], [], ["0123456789abcdef0123"]]
+
+
+def test_query_scores_whole_texts_as_the_trees_do(spark, model, tmp_path):
+    from weftline.llm import queries
+
+    rows = [r["text"] for r in secrets.labelled_findings(spark, 60, "query").collect()] + [None, "", "word " * 300]
+    long = " ".join(rows[:60])
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate([*rows, long])], "doc_id long, text string, found string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_forest_secrets(spark, str(tmp_path)).collect()}
+
+    def walk(node, values):
+        while node.subtreeDepth() > 0:
+            split = node.split()
+            node = node.leftChild() if values[split.featureIndex()] <= split.threshold() else node.rightChild()
+        stats = list(node.impurityStats().stats())
+        return stats[1] / max(sum(stats), 1e-9)
+
+    roots = [t._java_obj.rootNode() for t in model.trees]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*rows[:20], None])], "doc_id long, text string")
+    for r in secrets.candidates(docs).collect():
+        scores = [(c["start"], c["end"], sum(walk(n, [c[f] for f in secrets.FEATURES]) for n in roots) / len(roots)) for c in r["found"]]
+        said = [f"{a}:{b}" for a, b, p in scores if p >= secrets.ACCEPT]
+        mine = got[r["row"]["doc_id"]]
+        assert (mine["n_candidates"], mine["spans"]) == (len(scores), ",".join(said))
+    assert got[63]["n_candidates"] >= 40 and got[62]["n_candidates"] == 0

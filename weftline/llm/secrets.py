@@ -1,17 +1,20 @@
 """Secret scans with a random forest against false positives, in DataFrame and SQL functions only.
 
-Candidates are runs of at least ``LEAST`` characters of which one is a digit, as keys and tokens have; paths,
-hashes, identifiers and numbers are candidates too. What tells them apart is learnt: a random forest on the
-length, the share of changes of character class, the share covered by dictionary words, the place in a
-path, and the neighbouring words, trained by Spark ML on labelled findings and written out as nested CASE
+Candidates are runs of at least ``LEAST`` characters of which one is a digit, as keys and tokens have, and, where a text has such
+a cue, whatever is assigned to a name like password or secret, the password in a URL, and heads of private keys. Paths, hashes,
+identifiers and numbers are candidates too. What tells them apart is learnt: a random forest on the
+length, the shares of each change of character class, the share covered by dictionary words and by common pairs of letters, the
+place in a path, and the words before and after, trained by Spark ML on labelled findings and written out as nested CASE
 expressions, so that scoring is an expression over the array of candidates of a row, without a shuffle.
 
-The tables have no labelled findings, so ``labelled_findings`` makes a fixed set of ``LABELLED`` rows, from
-hashes of a row number in typical surroundings; ``fit`` takes any other set with the same columns.
+The tables have no labelled findings, so ``labelled_findings`` makes a fixed set of ``LABELLED`` rows: values from
+hashes of a row number, of many kinds, each in a carrier (code, shell, prose, headers) drawn apart from its kind; ``fit``
+takes any other set with the same columns. ``unseen`` kinds are never trained on and measure what is learnt.
 
 Defined results: a null text is empty; offsets are code points, end exclusive; rows are judged one by one, so
-ties, repeats and extra columns change nothing; an empty table gives no rows; without both labels in the
-findings nothing is removed.
+ties, repeats and extra columns change nothing; a very long text with many candidates takes time in proportion to its
+length (see ``places``); an empty table gives no rows; without both labels in the findings nothing is removed. A run
+without a digit and without a cue is no candidate.
 """
 
 from __future__ import annotations
@@ -24,11 +27,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
+from .places import PLACE, apart, found, places_of
 
-LEAST, LABELLED, TREES, DEPTH, ACCEPT = 16, 4000, 24, 6, 0.5
+LEAST, LABELLED, TREES, DEPTH, ACCEPT = 16, 6000, 24, 8, 0.5
 #: Fixed value: the shape of a candidate. A run starts where no character of a run is before it, and is matched
 #: without giving back, so each run is looked at once.
 CANDIDATE = rf"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{{{LEAST},}}+"
+#: What is assigned to a name that says secret, the password of a URL, the head of a private key; and what
+#: a text must have for each to be tried.
+ASSIGNED = r"(?i)(?<=(?:password|passwd|passphrase|pwd|secret|token|api[_-]key|apikey|access[_-]key)[\"']{0,1}[\x20]{0,1}[:=]{1,2}[\x20]{0,1}[\"']{0,1})[^\s\"'`,;:=<>(){}\[\]][^\s\"'`,;<>(){}\[\]]{5,}+"
+IN_URL = r"(?<=://[A-Za-z0-9._-]{1,40}:)[^\s:/@]{4,}+(?=@)"
+PRIVATE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+CUED = r"(?i)(password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]key)[\"']?\x20?[:=]"
+#: Frequent pairs of letters of English words, what stands for a value in examples.
+PAIRS = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur".split()
+PLACEHOLDERS = r"(example|sample|dummy|changeme|change_me|your|placeholder|xxxx|0000|1234|redacted|\*\*\*|\$\{|required|optional|string|none|null|true|false)"
 #: Dictionary words that names, paths and examples are made of.
 DICTIONARY = (
     "account admin agent alpha android apple application array asset auth backup base batch beta block board bucket build bundle byte cache case center chart check class client cloud code column comment "
@@ -44,83 +57,111 @@ DICTIONARY = (
 SECRET_CUES = r"(token|secret|passw|pwd|api[_ -]?key|apikey|access[_ -]?key|private|auth|bearer|credential)"
 OTHER_CUES = r"(commit|sha-?[0-9]|md5|checksum|digest|uuid|guid|order|invoice|isbn|version|revision|etag|card|phone|build|serial)"
 
-FEATURES = ("length", "changes", "dictionary", "digits", "distinct", "path", "secret_near", "other_near", "quoted", "hexadecimal")
+FEATURES = (
+    "length", "lower_upper", "upper_lower", "letter_digit", "digit_letter", "symbols", "pairs", "dictionary", "digits", "distinct", "path", "secret_near", "other_near",
+    "quoted", "hexadecimal", "dashed", "placeholder", "assigned", "closed", "data_after",
+)
 
 
 def _features() -> str:
     def text(pattern: str) -> str:
-        return "'" + pattern.replace("\\", "\\\\") + "'"
+        return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    before = "lower(substring(text, greatest(1, x.start - 39), least(40, x.start)))"
-    last = "case when x.start = 0 then '' else substring(text, x.start, 1) end"
+    before, last, after = "lower(x.before)", "right(x.before, 1)", "lower(x.after)"
     words = "(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"
-    changes = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
     yes = "cast({} as int)".format
+    share = lambda pattern: f"regexp_count(x.s, {text(pattern)}) / length(x.s)"
     fields = {
         "length": "least(length(x.s), 200)",
-        "changes": f"regexp_count(x.s, {text(changes)}) / length(x.s)",
+        "lower_upper": share("(?<=[a-z])(?=[A-Z])"), "upper_lower": share("(?<=[A-Z])(?=[a-z])"), "letter_digit": share("(?<=[A-Za-z])(?=[0-9])"), "digit_letter": share("(?<=[0-9])(?=[A-Za-z])"),
+        "symbols": share("[^A-Za-z0-9]"),
+        "pairs": f"regexp_count(lower(x.s), {text('(?=(' + '|'.join(PAIRS) + '))')}) / length(x.s)",
         "dictionary": f"1 - length(regexp_replace(lower(x.s), {text(words)}, '')) / length(x.s)",
         "digits": "1 - length(regexp_replace(x.s, '[0-9]', '')) / length(x.s)",
         "distinct": "size(array_distinct(split(x.s, ''))) / least(length(x.s), 40)",
-        "path": f"{yes('instr(x.s, \"/\") > 0')} + {yes(f'({last}) in (\".\", \"/\", \"~\")')} + {yes('substring(text, x.end + 1, 1) = \".\"')}",
+        "path": f"{yes('instr(x.s, \"/\") > 0')} + {yes(f'({last}) in (\".\", \"/\", \"~\")')} + {yes('left(x.after, 1) = \".\"')}",
         "secret_near": yes(f"{before} rlike {text(SECRET_CUES)}"),
-        "other_near": yes(f"{before} rlike {text(OTHER_CUES)}"),
+        "other_near": f"{yes(f'{before} rlike {text(OTHER_CUES)}')} + {yes(f'{after} rlike {text(OTHER_CUES)}')}",
         "quoted": yes(f"({last}) in ('\"', '=', ':') or {before} rlike {text('[=:] ?$')}"),
         "hexadecimal": yes("x.s rlike '^[0-9a-f]+$'"),
+        "dashed": yes("x.s rlike '^[0-9A-Fa-f]+(-[0-9A-Fa-f]+)+$'"),
+        "placeholder": yes(f"lower(x.s) rlike {text(PLACEHOLDERS)}"),
+        "assigned": yes(f"{before} rlike {text('(token|secret|passw|pwd|passphrase|key|credential|bearer)[a-z_]*[^a-z0-9]{0,4}$')}"),
+        "closed": yes(f"left(x.after, 1) in ('\"', {text(chr(39))})"),
+        "data_after": yes(f"{before} rlike {text('(base64,|sha[0-9]+[:-])$')}"),
     }
     return ", ".join(f"'{k}', cast({v} as double)" for k, v in fields.items())
 
 
+#: name: (pattern, what a text must have for it to be tried)
+SOURCES = {"run": (CANDIDATE, r"text rlike '[0-9]'"), "set": (ASSIGNED, "text rlike '" + CUED.replace("\\", "\\\\").replace("'", "\\'") + "'"), "url": (IN_URL, "instr(text, '://') > 0"), "pem": (PRIVATE, "instr(text, '-----BEGIN') > 0")}
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """row (a struct of all columns of docs), text and found: an array of (start, end, FEATURES)."""
-    none = F.expr("cast(array() as array<string>)")
+    """row (a struct of all columns of docs), text and found: an array of (start, end, FEATURES), in order. A candidate of a
+    later source that overlaps one before is left out."""
     whole = docs.select(F.struct("*").alias("row"), F.coalesce(text, F.lit("")).alias("text"))
-    matched = whole.select("row", "text", F.when(F.expr("text rlike '[0-9]'"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(none).alias("m"))
-    parted = matched.select("*", F.when(F.size("m") > 0, F.split("text", CANDIDATE, -1)).otherwise(none).alias("g"))
-    placed = parted.select("row", "text", F.expr(
-        "coalesce(aggregate(slice(arrays_zip(g, m), 1, size(m)), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,s:string>>)), (acc, x) -> named_struct("
-        "'at', acc.at + length(x.g) + length(x.m), 'out', array_append(acc.out, named_struct('start', acc.at + length(x.g), 'end', acc.at + length(x.g) + length(x.m), 's', x.m))), acc -> acc.out), "
-        "cast(array() as array<struct<start:int,end:int,s:string>>))"
-    ).alias("at"))
-    return placed.select("row", "text", F.expr(f"transform(at, x -> named_struct('start', x.start, 'end', x.end, {_features()}))").alias("found"))
-
-
-def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: str = "findings") -> DataFrame:
-    """text with one finding each, and secret (1 or 0)."""
+    wanted = whole.select("*", *[F.expr(need).alias(f"{name}_if") for name, (_, need) in SOURCES.items()])
+    pairs = {name: found(F.col("text"), pattern, F.col(f"{name}_if")) for name, (pattern, _) in SOURCES.items()}
+    matched = wanted.select("row", "text", *[matches.alias(f"{name}_m") for name, (matches, _) in pairs.items()])
+    parted = matched.select("row", "text", F.array(*[F.struct(F.col(f"{name}_m").alias("m"), gaps(F.col(f"{name}_m")).alias("g")) for name, (_, gaps) in pairs.items()]).alias("each"))
+    placed = parted.select("row", "text", F.transform("each", lambda x: places_of(x["m"], x["g"])).alias("each"))
+    free = F.array().cast(f"array<{PLACE}>")
+    both = F.aggregate("each", free, lambda done, more: F.when(F.size(more) == 0, done).when(F.size(done) == 0, more).otherwise(F.concat(done, apart(more, done))))
+    ordered = placed.select("row", "text", F.array_sort(both).alias("at"))
+    return ordered.select("row", "text", F.expr(f"transform(at, x -> named_struct('start', x.start, 'end', x.end, {_features()}))").alias("found"))
+
+
+def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: str = "findings", unseen: bool = False) -> DataFrame:
+    """text with one finding each, and secret (1 or 0); of the kinds that training sees, or of others."""
     h = F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256)
     b64 = F.translate(F.base64(F.unhex(h)), "=", "")
     mixed = F.translate(b64, "+/", "x9")
-    number = F.translate(F.substring(h, 1, 16), "abcdef", "123456")
-    word = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.conv(F.substring(h, 50, 3), 16, 10).cast("int") % len(DICTIONARY)) + 1)
-    other = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.conv(F.substring(h, 55, 3), 16, 10).cast("int") % len(DICTIONARY)) + 1)
-    two = F.substring(number, 1, 2)
-    kinds = [
-        (F.concat(F.lit('token = "'), F.substring(h, 1, 40), F.lit('"')), 1),
-        (F.concat(F.lit("api_key: "), F.lit("k1"), F.substring(mixed, 1, 32)), 1),
-        (F.concat(F.lit("password="), F.lit("7"), F.substring(mixed, 1, 20)), 1),
-        (F.concat(F.lit('aws_access_key_id = "AKIA'), F.upper(F.substring(h, 1, 16)), F.lit('"')), 1),
-        (F.concat(F.lit("Authorization: Bearer 9"), b64), 1),
-        (F.concat(F.lit("secret: '"), F.substring(h, 1, 32), F.lit("'")), 1),
-        (F.concat(F.lit("commit "), F.substring(h, 1, 40)), 0),
-        (F.concat_ws("-", F.concat(F.lit("uuid "), F.substring(h, 1, 8)), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), 0),
-        (F.concat(F.lit("see /usr/share/"), word, F.lit("/"), other, two, F.lit("/index.html")), 0),
-        (F.concat(F.lit("calls test_"), word, F.lit("_"), other, F.lit("_handler_v"), two), 0),
-        (F.concat(F.lit("of "), number, F.lit(" items")), 0),
-        (F.concat(F.lit("sha256: "), h), 0),
-        (F.concat(F.lit("the token file is /etc/"), word, F.lit("/"), other, F.lit("_token_"), two, F.lit(".json")), 0),
-    ]
-    text, secret = F.lit(""), F.lit(0)
-    for i, (made, label) in enumerate(kinds):
+    number = F.translate(F.substring(h, 1, 20), "abcdef", "123456")
+    pick = lambda values, at: F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (F.conv(F.substring(h, at, 4), 16, 10).cast("int") % len(values)) + 1)
+    word, other, two = pick(DICTIONARY, 49), pick(DICTIONARY, 53), F.substring(number, 1, 2)
+    cat = lambda *x: F.concat(*[v if isinstance(v, Column) else F.lit(v) for v in x])
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    name = pick(["password", "secret", "token", "api_key", "API_KEY", "apiKey", "client_secret", "auth_token", "access_key", "private_key", "DB_PASSWORD", "credential"], 45)
+    open_, close = pick(["=", ": ", ' = "', ": '", "='", '": "', " = "], 41), pick(['"', "'", "", ";", "", " "], 41)
+    carried = lambda value: cat(name, open_, value, close)
+    aside = lambda value, *leads: cat(pick(list(leads), 37), value)
+    if not unseen:
+        secret = [
+            carried(F.substring(h, 1, 40)), carried(F.substring(h, 1, 32)), carried(cat("k1", F.substring(mixed, 1, 32))), carried(cat("7", F.substring(mixed, 1, 20))), carried(cat("9", b64)), carried(cat("a8", F.substring(mixed, 1, 26), "_", two)),
+            cat(pick(["key id ", "aws ", "AWS_ACCESS_KEY_ID=", "credentials ", ""], 33), "AKIA", F.upper(F.translate(F.substring(mixed, 1, 16), "abc", "XQ7"))), cat(pick(["use ", "token ", "export GH=", "with ", ""], 33), "ghp_", F.substring(mixed, 1, 34), "4z"),
+            cat("Authorization: Bearer 9", b64), carried(cat(F.substring(mixed, 1, 5), pick(["!", "#", "%", "&", "$"], 33), F.substring(mixed, 9, 4), two)), cat("postgres://", word, ":", F.substring(mixed, 1, 12), "@db.", other, ".net/x"), cat("-----BEGIN RSA PRIVATE KEY-----"),
+            cat(pick(["", "paste ", "my key is ", "it says "], 33), "rk_", pick(["live", "prod"], 29), "_", F.substring(mixed, 1, 28), "6"),
+        ]
+        plain = [
+            aside(F.substring(h, 1, 40), "commit ", "merge ", "at revision ", "see ", "parent "), aside(uuid, "uuid ", "id ", "request ", "session id: ", "order token id ", "trace="), cat(pick(["see ", "in ", "at ", "from "], 33), "/usr/share/", word, "/", other, two, "/index.html"),
+            cat("calls test_", word, "_", other, "_handler_v", two), aside(F.substring(number, 1, 18), "of ", "account ", "tracking ", "order "), aside(h, "sha256: ", "sha256:", "checksum ", "digest: "), cat("the token file is /etc/", word, "/", other, "_token_", two, ".json"),
+            aside(F.substring(h, 1, 32), "md5 ", "ETag: ", "hash of the file ", "cache/"), cat(name, open_, pick(["changeme", "your_password_1", "example-token-1234", "required", "optional", "${SECRET_VALUE}", "xxxxxxxxxxxx", "string or none"], 33), close), cat("data:image/png;base64,", b64),
+            cat(word, F.initcap(other), F.initcap(word), two, "Configuration"), cat("version ", two, "-", word, "-", other, "-20240101"), cat(name, " = get_", word, "_", other, "(", two, ")"),
+        ]
+    else:
+        secret = [
+            cat(pick(["", "slack ", "use "], 33), "xoxb-", F.substring(number, 1, 12), "-", F.substring(mixed, 1, 24)), cat(pick(["", "key: ", "stripe = '"], 33), "sk_test_", F.substring(mixed, 3, 24)), cat(pick(["", "maps ", "key="], 33), "AIza", F.substring(mixed, 2, 35)), cat("glpat-", F.substring(mixed, 4, 20)),
+            cat("AccountKey=", b64, "=="), cat("passphrase: ", F.substring(mixed, 5, 9), "~", two), cat("mysql://root:", F.substring(h, 3, 10), "@", word, ":3306"), cat("npm_", F.substring(mixed, 1, 36)),
+        ]
+        plain = [
+            cat("image@sha256:", h), cat("Message-ID: <", F.substring(number, 1, 16), ".", two, "@mail>"), cat("build-", F.substring(h, 1, 24)), cat("parcel 1Z", F.substring(number, 1, 16)), cat("https://cdn.net/", word, "/", other, "-", two, "-800x600.jpg"),
+            cat("password: must_", word, "_first"), cat("X-Request-Id: ", uuid), cat(F.upper(word), "_", F.upper(other), "_MAX_SIZE_", two),
+        ]
+    kinds = [(x, 1) for x in secret] + [(x, 0) for x in plain]
+    text, label = F.lit(""), F.lit(0)
+    for i, (made, y) in enumerate(kinds):
         hit = F.col("id") % len(kinds) == i
-        text, secret = F.when(hit, made).otherwise(text), F.when(hit, F.lit(label)).otherwise(secret)
-    return spark.range(0, rows, 1, 1).select(F.concat(word, F.lit(" and "), other, F.lit(" "), text, F.lit(" then "), word).alias("text"), secret.alias("secret"))
+        text, label = F.when(hit, made).otherwise(text), F.when(hit, F.lit(y)).otherwise(label)
+    lead, trail = pick(["", "and ", "then we have ", "# ", "note: ", "  "], 25), pick(["", " then ", "\n", " # ok", ", ", " and more of the "], 21)
+    return spark.range(0, rows, 1, 1).select(F.concat(word, F.lit(" "), lead, text, trail, other).alias("text"), label.alias("secret"))
 
 
 def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 11):
     """A random forest on the candidates of labelled texts (columns text and secret), or None without both labels."""
-    found = candidates(labelled).select(F.explode("found").alias("c"), F.col("row.secret").cast("double").alias("label"))
+    rows = candidates(labelled).select(F.explode_outer("found").alias("c"), F.col("row.secret").cast("double").alias("label"))
     # Training reads its rows once a level; the features are computed once.
-    rows = cut(found.select("label", *[f"c.{f}" for f in FEATURES]).filter("label in (0, 1)"))
+    rows = cut(rows.filter("c is not null").select("label", *[f"c.{f}" for f in FEATURES]).filter("label in (0, 1)"))
     if rows.select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
@@ -148,7 +189,7 @@ def probability(model) -> Callable[[Column], Column]:
 
 def scan(docs: DataFrame, model, accept: float = ACCEPT) -> DataFrame:
     """row, text, found (all candidates with score) and secrets: those with a score of accept or more."""
-    found = candidates(docs)
+    judged = candidates(docs)
     score = probability(model) if model is not None else lambda c: F.lit(1.0)
-    scored = found.select("row", "text", F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), score(c).alias("score"))).alias("found"))
+    scored = judged.select("row", "text", F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), score(c).alias("score"))).alias("found"))
     return scored.withColumn("secrets", F.filter("found", lambda c: c["score"] >= accept))
