@@ -77,7 +77,7 @@ def test_query_scores_whole_texts_as_the_trees_do(spark, model, tmp_path):
         return stats[1] / max(sum(stats), 1e-9)
 
     roots = [t._java_obj.rootNode() for t in model.trees]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*rows[:20], None])], "doc_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(rows[:20])), "doc_id long, text string")
     for r in secrets.candidates(docs).collect():
         scores = [(c["start"], c["end"], sum(walk(n, [c[f] for f in secrets.FEATURES]) for n in roots) / len(roots)) for c in r["found"]]
         said = [f"{a}:{b}" for a, b, p in scores if p >= secrets.ACCEPT]

@@ -94,7 +94,7 @@ def _features() -> str:
 
 
 #: name: (pattern, what a text must have for it to be tried)
-SOURCES = {"run": (CANDIDATE, r"text rlike '[0-9]'"), "set": (ASSIGNED, "text rlike '" + CUED.replace("\\", "\\\\").replace("'", "\\'") + "'"), "url": (IN_URL, "instr(text, '://') > 0"), "pem": (PRIVATE, "instr(text, '-----BEGIN') > 0")}
+SOURCES = {"set": (ASSIGNED, "text rlike '" + CUED.replace("\\", "\\\\").replace("'", "\\'") + "'"), "url": (IN_URL, "instr(text, '://') > 0"), "pem": (PRIVATE, "instr(text, '-----BEGIN') > 0"), "run": (CANDIDATE, r"text rlike '[0-9]'")}
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
