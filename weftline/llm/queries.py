@@ -1,14 +1,14 @@
-"""The queries op1_ to op10_ and their DuckDB SQL, where SQL can express them."""
+"""The queries op1_ to op13_ and their DuckDB SQL, where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chatfmt, mixing, mpeg, pii, quality, secrets, sharding, simhash, substr
-from .common import spread, table
+from . import bpe, chatfmt, exact, mixing, mpeg, pii, quality, resample, runs, secrets, sharding, simhash, substr
+from .common import WORD, spread, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +73,42 @@ def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_salted_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = exact.deduplicate(documents(spark, sf_dir))
+    return got.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, those whose doc_id has a CRC-32 divisible by ten (a null doc_id counts as the name null), repeat
+    themselves from a word on; their words are joined by one space."""
+    h = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "utf-8"))
+    g = F.floor(h / 10)
+
+    def repeating(words: Column) -> Column:
+        n = F.size(words)
+        start = F.pmod(g, n)
+        period = 1 + F.floor((n - start) / (3 + F.pmod(g, F.lit(8))))
+        place = lambda i: F.when(i < start, i).otherwise(start + F.pmod(i - start, period)).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")
+
+    # The words are bound to a name inside transform, so that they are split once a row.
+    words = F.array(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+    planted = F.transform(words, lambda w: F.when(F.size(w) > 0, repeating(w)))[0]
+    got = runs.periodic(documents(spark, sf_dir).withColumn("text", F.when(h % 10 == 0, planted).otherwise(F.col("text"))))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return got.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resample.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pigeonring_simhash, op2_weak_pii, op3_pareto_mix, op4_chat_round_trip, op5_fingerprint_index, op6_tree_bpe, op7_binpack_shards, op8_forest_secrets, op9_mpeg_audio, op10_boosted_quality)}
+    return {f.__name__: f for f in (op1_pigeonring_simhash, op2_weak_pii, op3_pareto_mix, op4_chat_round_trip, op5_fingerprint_index, op6_tree_bpe, op7_binpack_shards, op8_forest_secrets, op9_mpeg_audio, op10_boosted_quality, op11_salted_exact_dedup, op12_periodic_runs, op13_importance_resampling)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -118,7 +152,12 @@ kept AS (SELECT k, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS text FROM wor
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (k)"""
 
 
+_EXACT = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express over whole tables. XXH64, byte pairs, MPEG, trees and packing
     are beyond it; tests/llm holds those queries against brute force."""
-    return {"op3_pareto_mix": _MIX, "op4_chat_round_trip": _CHAT, "op5_fingerprint_index": _SUBSTRINGS}
+    return {"op3_pareto_mix": _MIX, "op4_chat_round_trip": _CHAT, "op5_fingerprint_index": _SUBSTRINGS, "op11_salted_exact_dedup": _EXACT}
