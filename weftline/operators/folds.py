@@ -2,22 +2,25 @@
 
 A fold whose next state depends on its own last decision has no window expression. ``ordered_fold`` deals rows
 by key, sorts inside the partitions, and streams them through a machine that is made anew for each key; it
-holds one machine and one slice of rows, so a key of any number of rows passes through. The same
-machines run under Structured Streaming (weftline.streaming)."""
+holds one machine and one slice of rows, so a key of any number of rows passes through, in one task. ``ranged`` gives the
+rows of a key to all tasks, for machines that can be summed up over a range. The same machines run under Structured Streaming (weftline.streaming)."""
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import insort
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from . import ranged
+
 SLICE = 2048
 _TAG = re.compile(r"^<e:(happy|angry|sad|relaxed|surprised|neutral):([0-9])>\s*", re.IGNORECASE)
 
@@ -50,57 +53,60 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     return dealt.select(*names).mapInArrow(run, out)
 
 
-def _median(values: list[float]) -> float:
-    s, n = sorted(values), len(values)
-    return s[n // 2] if n % 2 else (s[n // 2 - 1] + s[n // 2]) / 2
-
-
 class DriftingBaseline:
-    """Robust z-scores of a value against the last ``window`` ones, and a reset after ``runs`` extreme ones in a row.
+    """Robust z-scores of a value against those before it (the last ``window``), which start anew after ``runs`` extreme ones in a
+    row. feed(value) -> (z or None, reset).
 
-    feed(value) -> (z or None, reset): z is taken before the value joins the history."""
+    A value is extreme only against a history of ``warm_up`` values or more. The history is kept twice, as it came and
+    sorted, so that a median is a look-up and not a sort."""
 
     def __init__(self, window: int = 50, warm_up: int = 5, extreme: float = 4.0, runs: int = 8) -> None:
-        self.past: deque[float] = deque(maxlen=window)
-        self.warm_up, self.extreme, self.runs, self.run = warm_up, extreme, runs, 0
+        self.window, self.warm_up, self.extreme, self.needed = window, warm_up, extreme, runs
+        self.past: list[float] = []
+        self.ranked: list[float] = []
+        self.in_a_row = 0
 
     def z(self, value: float) -> float | None:
-        if not self.past:
+        n = len(self.ranked)
+        if n == 0:
             return None
-        past = list(self.past)
-        centre = _median(past)
-        sigma = max(1.4826 * _median([abs(p - centre) for p in past]), 0.05 * abs(centre))
-        return max(-6.0, min(6.0, (value - centre) / sigma)) if sigma > 0 else None
+        centre = (self.ranked[(n - 1) // 2] + self.ranked[n // 2]) / 2
+        spread = sorted(abs(p - centre) for p in self.ranked)
+        scale = max(1.4826 * (spread[(n - 1) // 2] + spread[n // 2]) / 2, 0.05 * abs(centre))
+        return min(6.0, max(-6.0, (value - centre) / scale)) if scale > 0 else None
 
     def feed(self, value: float | None) -> tuple[float | None, bool]:
         if value is None:
             return None, False
-        z, reset = self.z(value), False
+        z = self.z(value)
         if len(self.past) >= self.warm_up:
-            self.run = self.run + 1 if z is not None and abs(z) >= self.extreme else 0
-            if self.run >= self.runs:
-                self.past.clear()
-                self.run, reset = 0, True
+            self.in_a_row = (self.in_a_row + 1) * (z is not None and abs(z) >= self.extreme)
+        drifted = self.in_a_row >= self.needed
+        kept = [] if drifted else self.past[-(self.window - 1) :] if self.window > 1 else []
+        if len(kept) < len(self.past):
+            self.in_a_row = 0 if drifted else self.in_a_row
+            self.past, self.ranked = kept, sorted(kept)
         self.past.append(value)
-        return z, reset
+        insort(self.ranked, value)
+        return z, drifted
 
 
-class BandHysteresis:
-    """The band moves to a candidate that is most of the last three readings, or right away at the start.
+class Fed:
+    """A machine of ``ranged`` that is fed row by row."""
 
-    feed(z) -> (candidate, band, settled)."""
+    def __init__(self, machine: object) -> None:
+        self.machine, self.state = machine, machine.start
+
+    def feed(self, *row: object) -> tuple:
+        self.state, (made,) = self.machine.run(self.state, [[x] for x in row])
+        return made
 
-    def __init__(self, dead_band: float = 2.0, window: int = 3, agree: int = 2) -> None:
-        self.dead, self.agree, self.recent, self.band = dead_band, agree, deque(maxlen=window), "usual"
 
-    def feed(self, z: float | None) -> tuple[str | None, str, bool]:
-        if z is None:
-            return None, self.band, True
-        candidate = "higher" if z >= self.dead else "lower" if z <= -self.dead else "usual"
-        self.recent.append(candidate)
-        if len(self.recent) < self.agree or self.recent.count(candidate) >= self.agree:
-            self.band = candidate
-        return candidate, self.band, self.band == candidate
+class BandHysteresis(Fed):
+    """feed(z) -> (candidate, band, settled), see ``ranged.band_hysteresis``."""
+
+    def __init__(self, dead_band: float = 2.0, window: int = 3, agree: int = 2) -> None:
+        super().__init__(ranged.band_hysteresis(dead_band, window, agree))
 
 
 class RateLimit:
@@ -118,37 +124,24 @@ class RateLimit:
         return (admitted,)
 
 
-class Refractory:
-    """Events within ``seconds`` after the last one that passed do not pass. feed(at) -> (passes,)."""
+class Refractory(Fed):
+    """feed(at) -> (passes,), see ``ranged.Gaps``."""
 
     def __init__(self, seconds: float = 2.0) -> None:
-        self.seconds, self.last = seconds, None
-
-    def feed(self, at: float) -> tuple[bool]:
-        passes = self.last is None or at - self.last >= self.seconds
-        if passes:
-            self.last = at
-        return (passes,)
+        super().__init__(ranged.Gaps(seconds))
 
 
-class SpeechGate:
-    """Starts after enough time at or above a threshold, stops after more time below. feed(p) -> (transition,)."""
+class SpeechGate(Fed):
+    """feed(p) -> (change,), see ``ranged.speech_gate``."""
 
     def __init__(self, threshold: float = 0.5, frame_ms: float = 32.0, start_ms: float = 96.0, stop_ms: float = 200.0) -> None:
-        self.threshold, self.frame, self.start, self.stop = threshold, frame_ms, start_ms, stop_ms
-        self.speaking, self.side, self.run = False, None, 0.0
+        super().__init__(ranged.speech_gate(threshold, frame_ms, start_ms, stop_ms))
+        self.speaking = False
 
     def feed(self, p: float) -> tuple[str | None]:
-        side = p >= self.threshold
-        self.run = self.run + self.frame if side == self.side else self.frame
-        self.side = side
-        if side and not self.speaking and self.run >= self.start:
-            self.speaking = True
-            return ("started",)
-        if not side and self.speaking and self.run >= self.stop:
-            self.speaking = False
-            return ("stopped",)
-        return (None,)
+        made = super().feed(p)
+        self.speaking = made[0] == "started" or (self.speaking and made[0] is None)
+        return made
 
 
 class Listener:
@@ -169,29 +162,25 @@ class Listener:
         return event, length
 
 
-class BargeIn:
-    """After a dead zone of playing, enough time in a row at or above p. feed(p) -> (interrupts,)."""
+class BargeIn(Fed):
+    """feed(p) -> (interrupts,), see ``ranged.barge_in``."""
 
     def __init__(self, frame_ms: float = 32.0, dead_ms: float = 200.0, hold_ms: float = 250.0, p: float = 0.85) -> None:
-        self.frame, self.dead, self.hold, self.p, self.playing, self.speech = frame_ms, dead_ms, hold_ms, p, 0.0, 0.0
+        super().__init__(ranged.barge_in(frame_ms, dead_ms, hold_ms, p))
 
-    def feed(self, p: float) -> tuple[bool]:
-        self.playing += self.frame
-        self.speech = self.speech + self.frame if self.playing >= self.dead and p >= self.p else 0.0
-        return (self.speech >= self.hold,)
 
-
-class Streak:
-    """Signed run length of successes and failures, and whether the place is in use: taken up after ``promote``
-    successes in a row, left at the first ``demote`` failures. feed(ok) -> (streak, used)."""
+class Streak(Fed):
+    """feed(ok) -> (streak, used), see ``ranged.Streaks``."""
 
     def __init__(self, promote: int = 3, demote: int = 1) -> None:
-        self.promote, self.demote, self.streak, self.used = promote, demote, 0, False
+        super().__init__(ranged.Streaks(promote, demote))
+
 
-    def feed(self, ok: bool) -> tuple[int, bool]:
-        self.streak = max(0, self.streak) + 1 if ok else min(0, self.streak) - 1
-        self.used = self.streak >= self.promote or (self.used and self.streak > -self.demote)
-        return self.streak, self.used
+class RunLength(Fed):
+    """feed(counts, at) -> (length, since), see ``ranged.Lengths``."""
+
+    def __init__(self) -> None:
+        super().__init__(ranged.Lengths())
 
 
 class GreedyCap:
@@ -207,29 +196,29 @@ class GreedyCap:
 
 
 class Blender:
-    """Weights of expressions that move to their targets, up faster than down; surprise fades by itself, the sum is
-    bounded, the last rest drops to 0. feed(label, intensity, seconds) -> (weights,): a map."""
+    """Weights of expressions on their way to a target: the named one at its intensity, all others at nothing.
+    feed(label, intensity, seconds) -> (weights,): a map.
+
+    All are one vector. A step of time covers 1 - exp(-seconds / tau) of the way, tau being shorter upwards; what is below a
+    floor is nothing, and a sum above a bound is scaled down to it. Surprise has a target that fades by itself once
+    it has been held for a while."""
 
     LABELS = ("happy", "angry", "sad", "relaxed", "surprised")
 
     def __init__(self, rise: float = 0.12, fall: float = 0.30, hold: float = 0.9, decay: float = 0.6, most: float = 1.0, least: float = 0.01) -> None:
-        self.rise, self.fall, self.hold, self.decay, self.most, self.least = rise, fall, hold, decay, most, least
-        self.weights, self.age = dict.fromkeys(self.LABELS, 0.0), 0.0
+        self.taus, self.fade, self.bounds = (fall, rise), (hold, decay), (least, most)
+        self.now, self.held = np.zeros(len(self.LABELS)), 0.0
 
     def feed(self, label: str, intensity: float, seconds: float) -> tuple[dict[str, float]]:
         if seconds > 0:
-            goal = {x: max(0.0, min(1.0, intensity)) if x == label else 0.0 for x in self.LABELS}
-            self.age = self.age + seconds if goal["surprised"] > 0 else 0.0
-            if self.age > self.hold:
-                goal["surprised"] *= math.exp((self.hold - self.age) / self.decay)
-            for x, now in self.weights.items():
-                near = 1.0 - math.exp(-seconds / (self.rise if goal[x] > now else self.fall))
-                value = now + (goal[x] - now) * near
-                self.weights[x] = value if value >= self.least else 0.0
-            total = sum(self.weights.values())
-            if total > self.most:
-                self.weights = {x: v * self.most / total for x, v in self.weights.items()}
-        return (dict(self.weights),)
+            target = np.array([name == label for name in self.LABELS]) * np.clip(intensity, 0.0, 1.0)
+            self.held = (self.held + seconds) * (target[-1] > 0)
+            target[-1] *= math.exp(min(0.0, (self.fade[0] - self.held) / self.fade[1]))
+            tau = np.choose(target > self.now, self.taus)
+            moved = self.now + (target - self.now) * -np.expm1(-seconds / tau)
+            moved[moved < self.bounds[0]] = 0.0
+            self.now = moved * min(1.0, self.bounds[1] / max(moved.sum(), self.bounds[1]))
+        return (dict(zip(self.LABELS, self.now.tolist())),)
 
 
 class Chunker:
@@ -269,24 +258,26 @@ class Chunker:
 class TagParser:
     """The tag at the start of a reply that arrives in parts, and what is spoken of it. Without a tag after
     ``patience`` characters (or at the end) the reply is neutral. feed(text, end) -> (label, intensity, spoken):
-    label and intensity once, on the part that settles them."""
+    label and intensity once, on the part that settles them.
+
+    What is spoken is a function of all that has arrived: everything behind the tag and the white space after it. A part
+    speaks what that has grown by."""
 
     def __init__(self, patience: int = 32) -> None:
-        self.patience, self.rest, self.settled, self.hungry = patience, "", False, False
+        self.patience, self.reply, self.spoken, self.settled = patience, "", 0, False
 
     def feed(self, text: str | None, end: bool = False) -> tuple[str | None, float | None, str]:
-        text = text or ""
-        if self.settled:
-            spoken = text.lstrip() if self.hungry else text
-            self.hungry = self.hungry and not spoken
-            return None, None, spoken
-        self.rest += text
-        found = _TAG.match(self.rest)
-        if found is None and not end and len(self.rest) < self.patience:
+        self.reply += text or ""
+        tag = _TAG.match(self.reply)
+        first = not self.settled and (tag is not None or end or len(self.reply) >= self.patience)
+        self.settled = self.settled or first
+        if not self.settled:
             return None, None, ""
-        self.settled, spoken, self.rest = True, self.rest[found.end() :] if found else self.rest, ""
-        self.hungry = found is not None and not spoken
-        return (found[1].lower(), int(found[2]) / 9, spoken) if found else ("neutral", 0.5, spoken)
+        behind = self.reply[tag.end() if tag else 0 :]
+        new, self.spoken = behind[self.spoken :], len(behind)
+        if not first:
+            return None, None, new
+        return (tag[1].lower(), int(tag[2]) / 9, new) if tag else ("neutral", 0.5, new)
 
 
 class Gate:
@@ -308,18 +299,6 @@ class Gate:
         return ("denied",) if needs_confirm and not confirmed else ("allowed",)
 
 
-class RunLength:
-    """Length of the run of frames that count, and when it began. feed(counts, at) -> (length, since)."""
-
-    def __init__(self) -> None:
-        self.length, self.since = 0, None
-
-    def feed(self, counts: bool, at: float) -> tuple[int, float | None]:
-        self.since = (self.since if self.length else at) if counts else None
-        self.length = self.length + 1 if counts else 0
-        return self.length, self.since
-
-
 class TwoPhase:
     """Values are staged and join the history only on commit, the last one of each; discard drops it.
     feed(action, value) -> (history size, mean)."""
@@ -335,14 +314,3 @@ class TwoPhase:
                 self.past.append(self.staged)
             self.staged = None
         return len(self.past), sum(self.past) / len(self.past) if self.past else None
-
-
-def capped(df: DataFrame, amount: str, budget: float, keys: Sequence[str] = (), seed: int = 0, identity: Sequence[str] = ()) -> DataFrame:
-    """The rows of df that a greedy budget admits in the order of a seeded hash of their identity; with keys, each
-    key has the budget for itself. One budget is one sequence of decisions, so a budget is one task that
-    streams (identity, amount) only."""
-    rows = df.withColumns({"_one": F.lit(0), "_order": F.sha2(F.concat_ws("|", F.lit(str(seed)), *identity), 256)})
-    by = list(keys) or ["_one"]
-    marks = ordered_fold(rows.select(*dict.fromkeys([*by, "_order", *identity, amount])), by, ["_order", *identity], [amount], lambda: GreedyCap(budget), "admitted boolean", carried=identity)
-    taken = marks.filter("admitted").select(*identity).distinct()
-    return df.join(taken, list(identity), "left_semi")

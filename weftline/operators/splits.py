@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from .folds import capped
+from .budgets import capped
 
 
 def speaker(corpus: Column, name: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays as ar
-from ..operators import folds, rolling
+from ..operators import folds, ranged, rolling
 from .base import registry, table
 
 QUERIES, SQL, query = registry()
@@ -57,7 +57,7 @@ SELECT event_id, candidate, band, coalesce(candidate = band, true) AS settled FR
 
 @query(_HYSTERESIS)
 def band_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.ordered_fold(_z(spark, sf), ["user_id"], ["ts", "event_id"], ["z"], lambda: folds.BandHysteresis(1.0), "candidate string, band string, settled boolean", ["event_id"]).drop("user_id")
+    return ranged.fold(_z(spark, sf), ["user_id"], ["ts", "event_id"], ["z"], ranged.band_hysteresis(1.0), "candidate string, band string, settled boolean", ["event_id"]).drop("user_id")
 
 
 def _moved(w: str, goal: str) -> str:

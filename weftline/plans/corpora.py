@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import corpus, folds, splits
+from ..operators import budgets, corpus, splits
 from .base import registry, spread, table
 
 QUERIES, SQL, query = registry()
@@ -120,10 +120,28 @@ FROM fold JOIN o ON o.c_mktsegment = fold.c_mktsegment AND o.r = fold.r + 1)
 SELECT c_mktsegment, max(kept) AS kept, round(max(spent), 2) AS seconds FROM fold GROUP BY 1""")
 def hours_cap_by_segment(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("o_totalprice").alias("seconds"), "c_mktsegment")
-    kept = folds.capped(rows, "seconds", 3_600_000.0, ["c_mktsegment"], 0, ["o_orderkey"])
+    kept = budgets.capped(rows, "seconds", 3_600_000.0, ["c_mktsegment"], 0, ["o_orderkey"])
     return kept.groupBy("c_mktsegment").agg(F.count("*").alias("kept"), F.round(F.sum("seconds"), 2).alias("seconds"))
 
 
+_BY_SOURCE = "(SELECT doc_id, coalesce(source, '-') AS source, n_chars, row_number() OVER (PARTITION BY coalesce(source, '-') ORDER BY sha256('3|' || doc_id), doc_id) AS r FROM documents)"
+_SHARES = "(SELECT source, CAST(floor(1000000.0::DOUBLE * (total / 4.0::DOUBLE) * (1.0::DOUBLE / k)) AS BIGINT) / 1000000.0::DOUBLE AS budget FROM (SELECT DISTINCT coalesce(source, '-') AS source FROM documents), (SELECT sum(n_chars) AS total, count(DISTINCT coalesce(source, '-')) AS k FROM documents))"
+
+
+@query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT b.source, b.r, b.n_chars, budget FROM {_BY_SOURCE} AS b JOIN {_SHARES} AS s ON b.source = s.source), fold AS (
+SELECT source, 0::BIGINT AS r, 0::HUGEINT AS spent, 0::BIGINT AS kept FROM (SELECT DISTINCT source FROM o)
+UNION ALL SELECT o.source, o.r, CASE WHEN spent + n_chars <= budget THEN spent + n_chars ELSE spent END, kept + CASE WHEN spent + n_chars <= budget THEN 1 ELSE 0 END
+FROM fold JOIN o ON o.source = fold.source AND o.r = fold.r + 1)
+SELECT source, max(kept) AS kept, CAST(max(spent) AS BIGINT) AS n_chars FROM fold GROUP BY 1""")
+def budget_shared_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """A quarter of all characters, shared evenly by the sources."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("-")).alias("source"), "n_chars")
+    names = [r["source"] for r in docs.select("source").distinct().collect()]
+    total = docs.agg(F.sum("n_chars")).first()[0] or 0
+    kept = budgets.shared_out(docs, "n_chars", total / 4.0, {name: 1.0 / len(names) for name in names}, "source", 3, ["doc_id"])
+    return kept.groupBy("source").agg(F.count("*").alias("kept"), F.sum("n_chars").alias("n_chars"))
+
+
 @query("""SELECT source, lang, CAST(grouping_id(source, lang) AS BIGINT) AS gid, count(*) AS n FROM documents GROUP BY GROUPING SETS ((source), (lang), ())""")
 def grouping_sets_totals(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.accounts(table(spark, sf, "documents"), ["source", "lang"]).select("source", "lang", F.col("gid").cast("long").alias("gid"), "n")

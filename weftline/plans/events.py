@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dialogue, folds, logs
+from ..operators import folds, logs, ranged
 from .base import registry, table
 
 QUERIES, SQL, query = registry()
@@ -60,8 +60,8 @@ _LOUD = "(SELECT *, value IS NOT NULL AND value >= 20 AS loud FROM events)"
 lag(loud) OVER (PARTITION BY user_id ORDER BY ts, event_id) AND row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1 THEN 0 ELSE 1 END AS chg FROM {_LOUD})) WHERE loud GROUP BY 1, 2 HAVING count(*) >= 3""")
 def speech_gate_sessions(spark: SparkSession, sf: str) -> DataFrame:
     loud = table(spark, sf, "events").withColumn("loud", F.coalesce(F.col("value") >= 20, F.lit(False)))
-    rows = dialogue.runs(loud, ["user_id"], ["ts", "event_id"], "loud").filter("loud")
-    return rows.groupBy("user_id", F.col("run").cast("long").alias("run")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).filter("n >= 3")
+    rows = ranged.fold(loud, ["user_id"], ["ts", "event_id"], ["loud"], ranged.Changes(), "run long", ["event_id", "loud"]).filter("loud")
+    return rows.groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).filter("n >= 3")
 
 
 def _ordered(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +86,7 @@ SELECT user_id, 0::BIGINT AS r, NULL::BIGINT AS event_id, false AS passes, NULL:
 UNION ALL SELECT e.user_id, e.r, e.event_id, last IS NULL OR e.at - last >= 86400, CASE WHEN last IS NULL OR e.at - last >= 86400 THEN e.at ELSE last END FROM fold JOIN e ON e.user_id = fold.user_id AND e.r = fold.r + 1)
 SELECT event_id, passes FROM fold WHERE r > 0""")
 def refractory_events(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.ordered_fold(_ordered(spark, sf), ["user_id"], ["ts", "event_id"], ["at"], lambda: folds.Refractory(_DAY), "passes boolean", ["event_id"]).select("event_id", "passes")
+    return ranged.fold(_ordered(spark, sf), ["user_id"], ["ts", "event_id"], ["at"], ranged.Gaps(_DAY), "passes boolean", ["event_id"]).select("event_id", "passes")
 
 
 @query("""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), fold AS (
@@ -95,7 +95,7 @@ UNION ALL SELECT e.user_id, e.r, e.event_id, CASE WHEN ok THEN greatest(0, strea
 SELECT event_id, streak, used FROM fold WHERE r > 0""")
 def tier_streaks(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").withColumn("ok", F.col("event_type") != "error")
-    return folds.ordered_fold(rows, ["user_id"], ["ts", "event_id"], ["ok"], lambda: folds.Streak(), "streak long, used boolean", ["event_id"]).select("event_id", "streak", "used")
+    return ranged.fold(rows, ["user_id"], ["ts", "event_id"], ["ok"], ranged.Streaks(), "streak long, used boolean", ["event_id"]).select("event_id", "streak", "used")
 
 
 @query("SELECT event_id, CASE WHEN json_type(props) = 'OBJECT' THEN CAST(len(json_keys(props)) AS BIGINT) END AS n_keys FROM events")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import assemble, folds, stats
+from ..operators import assemble, ranged, stats
 from .base import registry, table
 
 QUERIES, SQL, query = registry()
@@ -25,7 +25,7 @@ FROM (SELECT e.user_id, e.r, e.event_id, e.loud, CASE WHEN e.loud IS NOT DISTINC
 SELECT event_id, change FROM fold WHERE r > 0""")
 def speech_gate_changes(spark: SparkSession, sf: str) -> DataFrame:
     rows = _events(spark, sf).withColumn("p", F.when(F.col("value") >= 10, 0.9).otherwise(0.1))
-    return folds.ordered_fold(rows, ["user_id"], ["ts", "event_id"], ["p"], folds.SpeechGate, "change string", ["event_id"]).select("event_id", "change")
+    return ranged.fold(rows, ["user_id"], ["ts", "event_id"], ["p"], ranged.speech_gate(), "change string", ["event_id"]).select("event_id", "change")
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, r, value >= 20 AS loud FROM {_EVENTS}), fold AS (
@@ -34,7 +34,14 @@ UNION ALL SELECT e.user_id, e.r, e.event_id, CASE WHEN e.r * 32 >= 200 AND e.lou
 SELECT event_id, speech >= 250 AS interrupts FROM fold WHERE r > 0""")
 def barge_in(spark: SparkSession, sf: str) -> DataFrame:
     rows = _events(spark, sf).withColumn("p", F.when(F.col("value") >= 20, 0.9).otherwise(0.1))
-    return folds.ordered_fold(rows, ["user_id"], ["ts", "event_id"], ["p"], folds.BargeIn, "interrupts boolean", ["event_id"]).select("event_id", "interrupts")
+    return ranged.fold(rows, ["user_id"], ["ts", "event_id"], ["p"], ranged.barge_in(), "interrupts boolean", ["event_id"]).select("event_id", "interrupts")
+
+
+@query(f"""SELECT event_id, CAST(sum(CASE WHEN event_type IS NOT DISTINCT FROM before AND r > 1 THEN 0 ELSE 1 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run
+FROM (SELECT event_id, ts, event_type, lag(event_type) OVER (ORDER BY ts, event_id) AS before, row_number() OVER (ORDER BY ts, event_id) AS r FROM events)""")
+def runs_of_all_events(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as one sequence, over all tasks."""
+    return ranged.fold(table(spark, sf, "events"), [], ["ts", "event_id"], ["event_type"], ranged.Changes(), "run long", ["event_id"]).select("event_id", "run")
 
 
 @query("SELECT doc_id, string_agg(CASE WHEN m <> 0 THEN i ELSE -100 END, ',' ORDER BY k) AS masked FROM (SELECT doc_id, k, (doc_id + k) % 97 AS i, k % 3 AS m FROM documents, range(7) AS r(k)) GROUP BY doc_id")

@@ -17,10 +17,13 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..operators.corpus import skip_reasons
 from ..operators.splits import speaker
+from . import scans
 from .tables import shards
 
 #: Reasons for a row to be left out, in the order in which they are looked at.
 REASONS = ("missing_column", "no_duration", "empty_text", "annotator_tag", "too_long", "too_short")
+#: The reason of a shard that cannot be read at all.
+UNUSABLE = "unusable_shard"
 LONGEST, SHORTEST = 30.0, 0.3
 
 
@@ -84,12 +87,13 @@ def _durations(df: DataFrame, audio: str) -> DataFrame:
 
 def index(spark: SparkSession, corpus: Corpus, root: str, shortest: float = SHORTEST, longest: float = LONGEST) -> DataFrame:
     """corpus, shard, row_index, speaker, seconds, text, declared_split and skip_reason (null: usable) of every row.
-    Only the named columns are read; a shard that lacks one gives rows with the reason missing_column."""
-    out = None
-    for path in shards(spark, root):
-        raw = spark.read.parquet(path)
-        have = set(raw.columns)
-        col = lambda c: F.col(c) if c in have else F.lit(None)  # noqa: E731, B023
+    Only the named columns are read, in one scan for all shards that agree in them; a shard that lacks one gives rows with the
+    reason missing_column, a shard whose footer cannot be read one row with the reason unusable_shard (rows of one that
+    breaks off behind its footer are counted by ``scans.unread``)."""
+    relevant = {corpus.text, *corpus.fallbacks, corpus.speaker, corpus.audio, *([corpus.duration] if corpus.duration else [])}
+
+    def shaped(raw: DataFrame, have: set[str]) -> DataFrame:
+        col = lambda c: F.col(c) if c in have else F.lit(None)
         texts = [F.col(c).cast("string") for c in (corpus.text, *corpus.fallbacks) if c in have]
         named = [col(corpus.speaker).cast("string").alias("_speaker"), (tx.first_text(texts) if texts else F.lit("")).alias("text")]
         place = [F.lit(corpus.name).alias("corpus"), F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row_index")]
@@ -99,16 +103,22 @@ def index(spark: SparkSession, corpus: Corpus, root: str, shortest: float = SHOR
             part = _durations(raw.select(*place, *named, F.lit(True).alias("_timed"), F.col(corpus.audio)), corpus.audio)
         else:
             part = raw.select(*place, *named, F.lit(None).cast("double").alias("seconds"), F.lit(False).alias("_timed"))
-        part = part.select("corpus", "shard", "row_index", "_speaker", "text", "seconds", "_timed")
-        out = part if out is None else out.union(part)
+        return part.select("corpus", "shard", "row_index", "_speaker", "text", "seconds", "_timed")
+
+    out, told = scans.scan(spark, shards(spark, root), relevant, shaped)
+    broken = told.filter("reason is not null").select(
+        F.lit(corpus.name).alias("corpus"), F.element_at(F.split("path", "/"), -1).alias("shard"), *[F.lit(None).cast(t).alias(c) for c, t in (("row_index", "long"), ("speaker", "string"), ("seconds", "double"), ("text", "string"))],
+        F.lit(None).cast("string").alias("declared_split"), F.lit(UNUSABLE).alias("skip_reason"),
+    )
     if out is None:
-        return spark.createDataFrame([], "corpus string, shard string, row_index long, speaker string, seconds double, text string, declared_split string, skip_reason string")
+        return broken
     rules = [
         ("missing_column", F.col("_speaker").isNull() | ~F.col("_timed")), ("no_duration", F.col("seconds").isNull()), ("empty_text", F.col("text") == ""),
         ("annotator_tag", tx.annotator_tag(F.col("text"))), ("too_long", F.col("seconds") > longest), ("too_short", F.col("seconds") < shortest),
     ]
     split = F.split_part(F.regexp_replace("shard", r"\.parquet$", ""), F.lit("-"), F.lit(1))
-    return skip_reasons(out, rules).select("corpus", "shard", "row_index", speaker(F.col("corpus"), F.col("_speaker")).alias("speaker"), "seconds", "text", split.alias("declared_split"), "skip_reason")
+    found = skip_reasons(out, rules).select("corpus", "shard", "row_index", speaker(F.col("corpus"), F.col("_speaker")).alias("speaker"), "seconds", "text", split.alias("declared_split"), "skip_reason")
+    return found.unionByName(broken)
 
 
 def clips(spark: SparkSession, root: str, chosen: DataFrame, audio: str = "audio") -> DataFrame:

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import fnmatch
-import io
-import tarfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import ranges, scans
+
 FORMATS = {"parquet": ("parquet", {}), "jsonl": ("json", {}), "jsonl.gz": ("json", {}), "csv": ("csv", {"header": True, "multiLine": True, "escape": '"'}), "json": ("json", {"multiLine": True})}
 
 
@@ -65,15 +64,9 @@ def read_tables(spark: SparkSession, directory: str, schema: StructType | str, p
 
 def drifting(spark: SparkSession, paths: Sequence[str], wanted: dict[str, Sequence[str]], limit: int | None = None) -> DataFrame:
     """Shards of differing schemas: each wanted column is the first of its candidates that a shard has (null
-    otherwise). Only these columns are read."""
-    out = None
-    for path in paths:
-        shard = spark.read.parquet(path)
-        have = {name: next((c for c in candidates if c in shard.columns), None) for name, candidates in wanted.items()}
-        part = shard.select(*[(F.col(c).cast("string") if c else F.lit(None).cast("string")).alias(name) for name, c in have.items()])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], ", ".join(f"{name} string" for name in wanted))
+    otherwise). Only these columns are read, in one scan for each schema; a shard that cannot be read gives no rows
+    (scans.first_columns names it and its reason)."""
+    out, _ = scans.first_columns(spark, paths, wanted)
     return out.limit(limit) if limit is not None else out
 
 
@@ -94,7 +87,8 @@ def located(df: DataFrame) -> DataFrame:
 
 
 def resumed(df: DataFrame, order: Sequence[str], done: int) -> DataFrame:
-    """df without its first rows in order, ordered."""
+    """df without its first rows in order, ordered: for tables that have an order but no lines; ranges.resumed_lines starts in the
+    middle of files of lines."""
     return df.orderBy(*order).offset(done)
 
 
@@ -108,31 +102,20 @@ MEDIA = (".wav", ".flac", ".mp3")
 
 def media_names(spark: SparkSession, root: str) -> DataFrame:
     """path and name of every media file below root that is not empty; where there are none, of the members of the archives there
-    (path: archive::member), which are listed on the executors."""
-    listing = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    name = F.element_at(F.split("path", "/"), -1)
-    files = listing("*.{wav,flac,mp3}").select("path").withColumn("name", name)
+    (path: archive::member), which are read as a stream on the executors."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{wav,flac,mp3}").load(root)
+    files = listing.select("path").withColumn("name", F.element_at(F.split("path", "/"), -1))
     if not files.isEmpty():
         return files
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, names = [], []
-            for row in batch.to_pylist():
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(row["content"]), mode="r:gz") as tar:
-                        inside = [m for m in tar.getnames() if m.lower().endswith(MEDIA)]
-                except (tarfile.TarError, OSError, EOFError):
-                    inside = []
-                paths += [f"{row['path']}::{m}" for m in inside]
-                names += [m.rsplit("/", 1)[-1] for m in inside]
-            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "name": pa.array(names, pa.string())})
-
-    return listing("*.tar.gz").select("path", "content").mapInArrow(members, "path string, name string")
+    inside = ranges.member_names(spark, root)
+    return inside.filter(F.lower("name").rlike("[.](" + "|".join(m[1:] for m in MEDIA) + ")$"))
 
 
 def digests(spark: SparkSession, root: str) -> DataFrame:
-    """path, name, bytes and SHA-256 of every file below root."""
+    """path, name, bytes and SHA-256 of every file below root, of any size; where only Spark opens the store, files are
+    read whole, which ends at 2 GB."""
+    if ranges.reachable(root):
+        return ranges.file_digests(spark, root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
