@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import ranges, scans
+from . import ranges, scans, versions
 
 FORMATS = {"parquet": ("parquet", {}), "jsonl": ("json", {}), "jsonl.gz": ("json", {}), "csv": ("csv", {"header": True, "multiLine": True, "escape": '"'}), "json": ("json", {"multiLine": True})}
 
@@ -138,16 +138,10 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def snapshot(df: DataFrame, path: str, version: int) -> None:
-    """State with its version; read_snapshot gives it back only under that version."""
-    df.withColumn("_version", F.lit(version)).write.mode("overwrite").parquet(path)
+    """State with its version; read_snapshot gives it back only under that version. It is committed at once: a crash leaves
+    the state before."""
+    versions.replace(df, path, version)
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: StructType | str, version: int) -> DataFrame:
-    shape = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], shape)
-    found = spark.read.parquet(path)
-    if "_version" not in found.columns or found.filter(F.col("_version") != version).limit(1).count():
-        return spark.createDataFrame([], shape)
-    return found.select(*shape.fieldNames())
+    return versions.read(spark, path, schema, version)
