@@ -26,17 +26,20 @@ def targets(sizes, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0):
 
 
 def mix(docs, seed="mix", long=1024, most=2.0):
-    """{(doc_id, source, size): copies} of docs [(doc_id, source, text)], by the definition of the operator."""
-    rows = [(i, s, len(words(t))) for i, s, t in docs]
-    sizes = {}
-    for _, s, n in rows:
+    """Copies of each of docs [(doc_id, source, text)], by the definition of the operator."""
+    rows, seen = [], {}
+    for at, (i, s, t) in enumerate(docs):
+        copy = seen[i, s, t or ""] = seen.get((i, s, t or ""), -1) + 1
+        rows.append((at, s, len(words(t)), i, hashlib.md5((t or "").encode()).hexdigest(), copy))
+    sizes, out = {}, [0] * len(rows)
+    for _, s, n, *_ in rows:
         sizes[s] = sizes.get(s, 0) + n
-    goal, out = targets(sizes), {}
+    goal = targets(sizes)
     klass = lambda n: max(0, math.floor(math.log2(max(n, 1) / long)))
     for source, target in goal.items():
         own = [r for r in rows if r[1] == source]
         by = {}
-        for _, _, n in own:
+        for _, _, n, *_ in own:
             by[klass(n)] = by.get(klass(n), 0) + n
         ks, expected, used = sorted(by), {}, 0.0
         for j, k in enumerate(ks):
@@ -52,21 +55,21 @@ def mix(docs, seed="mix", long=1024, most=2.0):
         sure = {k: int(e) for k, e in expected.items()}
         missing = target - sum(by[k] * sure[k] for k in ks)
         ranked = []
-        for i, s, n in own:
+        for at, _, n, i, digest, copy in own:
             p = expected[klass(n)] - sure[klass(n)]
-            out[i, s, n] = sure[klass(n)]
+            out[at] = sure[klass(n)]
             if p > 0:
-                u = (int(hashlib.md5(f"{'null' if i is None else i}:{seed}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
-                ranked.append(((u / (1 - u)) / (p / (1 - p)), i, n))
-        ranked.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+                name = f"{'null' if i is None else i}:{seed}:{digest}:{copy}"
+                u = (int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+                ranked.append(((u / (1 - u)) / (p / (1 - p)), i is not None, i or 0, n, digest, copy, at))
+        ranked.sort()
         reach, cut = 0, 0
-        while cut < len(ranked) and reach + ranked[cut][2] <= missing:
-            reach += ranked[cut][2]
-            out[ranked[cut][1], source, ranked[cut][2]] += 1
+        while cut < len(ranked) and reach + ranked[cut][3] <= missing:
+            reach += ranked[cut][3]
+            out[ranked[cut][-1]] += 1
             cut += 1
         gap = missing - reach
-        later = [(abs(n - gap), q, i, n) for q, i, n in ranked[cut:] if abs(n - gap) < gap]
+        later = [(abs(r[3] - gap), r) for r in ranked[cut:] if abs(r[3] - gap) < gap]
         if later:
-            _, _, i, n = min(later)
-            out[i, source, n] += 1
+            out[min(later)[1][-1]] += 1
     return out

@@ -3,16 +3,18 @@
 Every document has an expected number of copies: its source's target spread over its documents by a
 weight that falls with the size class (documents beyond ``LONG`` words count less, so that no few
 giants make up a source), at most ``MOST`` each. The whole part is taken for certain. The rest is an
-inclusion probability p, and the documents of a source are ranked by (u/(1-u)) / (p/(1-p)) with u a
-hash of doc_id in (0, 1); the first in that order are taken until the words still missing are
+inclusion probability p, and the documents of a source are ranked by (u/(1-u)) / (p/(1-p)) with u in (0, 1) a
+hash of doc_id, text and, where a source has both more than once, the number of the copy, so that null or repeated ids are
+ranked each by itself; the first in that order are taken until the words still missing are
 reached, to the nearest document, and where that leaves a gap, one more document of the source closes
 it: of those ranked after, the one whose size is nearest to the gap. So the sample has a fixed size in words, reruns agree, and no
 source is ranked in one task: ranks are dealt into ``BUCKETS`` intervals, words are summed by interval,
 and only the interval in which the target falls is looked at document by document.
 
 Defined results: a null text has size 0; sources sort by code point, null last; documents of size 0 are
-taken 0 words; rows with one doc_id and size rank equal and are told apart arbitrarily but alike; an
-empty table gives no rows; weights cycle over the sources.
+taken 0 words; rows of null or equal doc_id are ranked by their texts, too, and rows equal in source, doc_id and text by a
+number of their own, so that of such rows as many are taken as the target asks for (which ones is not told); a text of any
+length is counted whole; an empty table gives no rows; weights cycle over the sources; other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, small, word_count
+from .sharding import number
 
 #: Fixed values of the mix: the cycle of weights, the share of all words, the most copies of a document.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 LONG = 1024
 #: Intervals of the rank; the odds ratio q is mapped to (0, 1) by q / (1 + q).
 BUCKETS = 4096
+#: The order in which the documents of a source are taken.
+KEY = ("mix_q", "doc_id", "mix_size", "mix_digest", "mix_copy")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -54,10 +59,34 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     )
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) from 52 bits of a hash of doc_id, the same on any engine."""
-    digits = F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 13), 16, 10)
-    return (digits.cast("long") + 0.5) / float(16**13)
+def uniform(doc_id: Column, seed: str, digest: Column, copy: Column) -> Column:
+    """A number in (0, 1) from 52 bits of a hash of doc_id, the digest of the text and the number of the copy, the same on any
+    engine."""
+    name = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(seed), digest, copy.cast("string"))
+    return (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") + 0.5) / float(16**13)
+
+
+def _digest() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+#: What tells the rows of a source apart, beside the number of the copy.
+_SELF = ["source", "doc_id", "mix_digest"]
+
+
+def _copies(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """rows with mix_copy: 0 where no other row is equal in _SELF, else 0, 1, ... in each such group. A group is numbered in
+    parts, so it may hold any share of the rows."""
+    if repeated is None:
+        return rows.withColumn("mix_copy", F.lit(0).cast("long"))
+    named = repeated.select(*[F.col(c).alias(f"r_{i}") for i, c in enumerate(_SELF)], F.lit(True).alias("r_many"))
+    at = _same(F.col("source"), F.col("r_0")) & _same(F.col("doc_id"), F.col("r_1")) & (F.col("mix_digest") == F.col("r_2"))
+    joined = rows.join(named, at, "left").drop("r_0", "r_1", "r_2")
+    group = F.concat_ws(":", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "mix_digest")
+    # The rows of such groups are written once and told apart by where they are in that table.
+    many = cut(joined.filter("r_many").drop("r_many").withColumns({"mix_group": group, "mix_row": F.monotonically_increasing_id()}))
+    many = number(many, ["mix_group"], ["mix_row"]).withColumnRenamed("slot", "mix_copy").drop("mix_group", "mix_row")
+    return many.unionByName(joined.filter("r_many is null").drop("r_many").withColumn("mix_copy", F.lit(0).cast("long")))
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -69,7 +98,9 @@ def mix(docs: DataFrame, seed: str = "mix", most: float = MOST, buckets: int = B
     most) for every row of docs."""
     # Long documents count less, by half steps of the size class.
     klass = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col("mix_size"), F.lit(1)) / float(LONG)))).cast("int")
-    narrow = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_size")))
+    narrow = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_size"), _digest().alias("mix_digest")))
+    repeated = small(narrow.groupBy(*_SELF).agg(F.count("*").alias("n")).filter("n > 1"))
+    repeated = None if repeated.isEmpty() else repeated
     classes = small(narrow.groupBy("source", klass.alias("klass")).agg(F.sum("mix_size").alias("words")))
     targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), most=most)
     # Expected copies of a class: min(most, alpha * weight), with alpha such that the words add up to the target.
@@ -90,7 +121,7 @@ def mix(docs: DataFrame, seed: str = "mix", most: float = MOST, buckets: int = B
     )
 
     def ranked(df: DataFrame) -> DataFrame:
-        u = uniform(F.col("doc_id"), seed)
+        u = uniform(F.col("doc_id"), seed, F.col("mix_digest"), F.col("mix_copy"))
         odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
         return (
             df.withColumn("mix_klass", klass)
@@ -100,7 +131,7 @@ def mix(docs: DataFrame, seed: str = "mix", most: float = MOST, buckets: int = B
         )
 
     # Where the missing words run out: first by interval, then by document inside that interval.
-    light = ranked(narrow).filter("p > 0")
+    light = cut(ranked(_copies(narrow, repeated)).filter("p > 0").select("doc_id", "source", "mix_size", "mix_digest", "mix_copy", "mix_q", "mix_bucket", "missing"))
     by_bucket = light.groupBy("source", "mix_bucket").agg(F.sum("mix_size").alias("words"), F.min("missing").alias("missing"))
     run = Window.partitionBy("source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     edge = small(
@@ -110,8 +141,8 @@ def mix(docs: DataFrame, seed: str = "mix", most: float = MOST, buckets: int = B
         .select(F.col("source").alias("e_source"), F.col("e.mix_bucket").alias("e_bucket"), F.col("e.start").alias("e_start"), F.col("e.missing").alias("e_missing"))
     )
     at = _same(F.col("source"), F.col("e_source")) & (F.col("mix_bucket") == F.col("e_bucket"))
-    inside = Window.partitionBy("source").orderBy("mix_q", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    key = F.struct("mix_q", "doc_id", "mix_size")
+    inside = Window.partitionBy("source").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = F.struct(*KEY)
     reached = light.join(edge, at).withColumn("reach", F.col("e_start") + F.sum("mix_size").over(inside))
     # The last document of the prefix that stays below the missing words.
     last = (
@@ -133,8 +164,8 @@ def mix(docs: DataFrame, seed: str = "mix", most: float = MOST, buckets: int = B
     # Without an edge all that is ranked is needed, if any words are missing.
     chosen = F.when(F.col("e_bucket").isNull(), F.col("missing") > 0).otherwise(~later | F.coalesce(key == F.col("c"), F.lit(False)))
     extra = F.when(F.col("p") > 0, chosen)
-    whole = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("mix_size"))
-    out = ranked(whole).join(ends, _same(F.col("source"), F.col("e_source")), "left")
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("mix_size"), _digest().alias("mix_digest"))
+    out = ranked(_copies(whole, repeated)).join(ends, _same(F.col("source"), F.col("e_source")), "left")
     copies = F.coalesce(F.col("sure"), F.lit(0)) + F.coalesce(extra.cast("int"), F.lit(0))
     return out.select("row", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), copies.alias("copies"))
 

@@ -114,7 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 #: The mix without intervals: one running sum a source.
-_MIX = f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+_MIX = f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest, row_number() OVER (PARTITION BY source, doc_id, coalesce(text, '')) - 1 AS copy FROM documents),
 k AS (SELECT *, greatest(0, CAST(floor(log2(greatest(size, 1) / 1024.0::DOUBLE)) AS INT)) AS klass FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
@@ -128,12 +128,12 @@ a AS (SELECT t.*, c.klass, c.words, c.f, (target - 2.0::DOUBLE * coalesce(sum(wo
 e AS (SELECT *, coalesce(alpha * f >= 2, false) OR target >= 2.0::DOUBLE * source_size AS whole FROM a),
 x AS (SELECT *, CASE WHEN whole THEN 2.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(2.0::DOUBLE, coalesce(first_value(CASE WHEN NOT whole THEN alpha END IGNORE NULLS) OVER (PARTITION BY source ORDER BY klass ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) * f)) END AS expected FROM e),
 p AS (SELECT *, CAST(floor(expected) AS INT) AS sure, expected - floor(expected) AS p, target - sum(words * CAST(floor(expected) AS INT)) OVER (PARTITION BY source) AS missing FROM x),
-u AS (SELECT doc_id, (CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix'), 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM (SELECT DISTINCT doc_id FROM d)),
-q AS (SELECT k.doc_id, k.source, k.size, source_size, target, sure, p, missing, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source AND k.klass = p.klass JOIN u ON k.doc_id IS NOT DISTINCT FROM u.doc_id),
-o AS (SELECT *, CASE WHEN p > 0 THEN sum(size) OVER (PARTITION BY source, p > 0 ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS reach FROM q),
+u AS (SELECT *, (CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix:' || digest || ':' || copy), 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM k),
+q AS (SELECT u.doc_id, u.source, u.size, digest, copy, source_size, target, sure, p, missing, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source AND u.klass = p.klass),
+o AS (SELECT *, CASE WHEN p > 0 THEN sum(size) OVER (PARTITION BY source, p > 0 ORDER BY q, doc_id NULLS FIRST, size, digest, copy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS reach FROM q),
 g AS (SELECT source, any_value(missing) - coalesce(max(reach) FILTER (reach <= missing), 0) AS gap FROM o GROUP BY source),
-m AS (SELECT o.source, min(struct_pack(off := abs(size - gap), q := q, doc_id := doc_id)) AS c FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source WHERE p > 0 AND reach > missing AND abs(size - gap) < gap GROUP BY o.source)
-SELECT o.doc_id, size, source_size, target, CAST(size * (sure + CASE WHEN p > 0 AND (reach <= missing OR (q = m.c.q AND o.doc_id IS NOT DISTINCT FROM m.c.doc_id)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+m AS (SELECT o.source, min(struct_pack(off := abs(size - gap), q := q, doc_id := doc_id, digest := digest, copy := copy)) AS c FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source WHERE p > 0 AND reach > missing AND abs(size - gap) < gap GROUP BY o.source)
+SELECT o.doc_id, size, source_size, target, CAST(size * (sure + CASE WHEN p > 0 AND (reach <= missing OR (q = m.c.q AND o.doc_id IS NOT DISTINCT FROM m.c.doc_id AND o.digest = m.c.digest AND o.copy = m.c.copy)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM o LEFT JOIN m ON o.source IS NOT DISTINCT FROM m.source"""
 
 _CHAT = r"""WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
