@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 from test_bpe import THEIRS, ids  # noqa: E402
 from test_pii import brute as spans  # noqa: E402
-from test_simhash import brute_components, brute_fingerprint  # noqa: E402
+from test_simhash import brute_similar  # noqa: E402
 
 
 def redacted(text):
@@ -44,7 +44,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     model = quality.fit(docs, labels)
     kept = [r for r, ok in zip(rows, quality.verdicts(model, [r[1] for r in rows])[2]) if ok]
     assert {r[0] % 6 for r in kept} == {0, 1, 2, 3, 5}
-    root = brute_components([brute_fingerprint(r[1]) for r in kept])
+    root = brute_similar([r[1] for r in kept])
     firsts = [r for i, r in enumerate(kept) if root[i] == i]
     assert len(firsts) < len(kept)
     clean = [(r[0], r[3], redacted(r[1])) for r in firsts]

@@ -123,3 +123,63 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
     assert simhash.keep_one(docs).count() == 0
+
+
+def shingle_set(text, words=5):
+    split = (text or "").translate({c: c + 32 for c in range(65, 91)}).split()
+    return {tuple(split[i : i + words]) for i in range(max(1, len(split) - words + 1))} if split else set()
+
+
+def brute_similar(texts, least=0.8):
+    """The least position of each text's group: all pairs of similar sets of shingles."""
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (len(a & b) >= least * len(a | b)) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+def test_similar_texts_are_found_and_others_left_alone(spark):
+    """Pairs at similarities from 0.5 to 0.97: recall from 0.8 on, none below 0.7."""
+    rng, rows, pairs = random.Random(11), [], []
+    for i in range(400):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([60, 120, 300, 900]))]
+        other = changed(rng, base, max(1, int(len(base) * rng.choice([0.004, 0.01, 0.02, 0.03, 0.05, 0.09]))))
+        a, b = shingle_set(" ".join(base)), shingle_set(" ".join(other))
+        pairs.append((2 * i, len(a & b) / len(a | b)))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, "  ".join(other))]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, row_key string").repartition(5)
+    out = simhash.keep_one_similar(docs)
+    assert out.columns == docs.columns
+    kept = {r["doc_id"] for r in out.collect()}
+    assert all(i in kept for i, _ in pairs)
+    near = [i + 1 not in kept for i, s in pairs if s >= 0.8]
+    assert len(near) > 150 and sum(near) >= 0.95 * len(near)
+    assert all(i + 1 in kept for i, s in pairs if s < 0.7)
+
+
+def test_large_groups_and_odd_rows(spark):
+    """A group of near copies larger than a bucket, copies in other case and spacing, nulls, repeated rows and ids."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(changed(rng, base, 2))) for i in range(300)] + [(1000, "A b C"), (1001, "a  B c"), (1002, "a b d"), (1003, None), (1004, " "), (None, "a b c"), (None, "lone text of some words here"), (7, "another text under an old name"), (7, "another text under an old name")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = sorted({(rows[j][0], rows[j][1]) for j in set(brute_similar([t for _, t in rows]))} - {(1, "")}, key=str)
+    got = sorted((tuple(r) for r in simhash.keep_one_similar(docs, bucket=32).collect()), key=str)
+    assert got == want
+    assert simhash.keep_one_similar(docs.limit(0)).count() == 0

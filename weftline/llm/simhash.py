@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices, utf8
+from .common import cut, map_slices, small, utf8
 from .components import components
 
 #: Words of a shingle, seed of XXH64, bits that near duplicates may differ in.
@@ -235,3 +235,189 @@ def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame
     member = cut(components(links(nodes.select("fp"), bits=bits)).withColumnRenamed("node", "fp"))
     kept = nodes.join(member, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     return keyed.join(kept.select(F.col("first.k").alias(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+
+
+# Near duplicates by the similarity of their shingles.
+#
+# Fingerprints alone find pairs of similarity 0.8 only at 16 differing bits of 64, where segments are too short to tell fingerprints
+# apart. So candidates come from shingles: nodes that agree in all of ROWS least hashes of one of BANDS bands meet in a bucket. There the
+# pigeonring chain and the full distance prune them, and what is left is verified by the shingles themselves.
+
+#: Words of a shingle, similarity that makes near duplicates, bits that fingerprints of such pairs differ in at most.
+SIMILAR_WORDS, SIMILARITY, SIMILAR_BITS = 5, 0.8, 18
+BANDS, ROWS = 14, 5
+#: Least hashes by which a pair is verified; texts of fewer shingles are compared whole. Of an estimate the standard error is allowed for.
+SKETCH, ERROR = 256, 0.025
+_ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * j + 1, 1 << 64) for j in range(max(16, BANDS * ROWS))], np.uint64)
+
+
+def shingles(text: str | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted: words in lower case (A-Z), fewer words than a shingle are one."""
+    from .substr import _codes, _edges
+
+    data = np.frombuffer(utf8(text).lower(), np.uint8)
+    starts, ends = _edges(data)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    codes, k = _codes(data, starts, ends, 0), min(words, len(starts))
+    h = np.zeros(len(codes) - k + 1, np.uint64)
+    for j in range(k):
+        h += codes[j : j + len(h)] * _ODD[j]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h ^ (h >> np.uint64(32)))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of distinct shingles."""
+    if not len(hashes):
+        return 0
+    counts = np.zeros((8, 8), np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        lanes = hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8) + _LANES
+        counts += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE
+    return int.from_bytes(np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").tobytes(), "little")
+
+
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its ROWS least hashes, each under a factor of its own."""
+    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(hashes), CHUNK // 4):
+        part = hashes[at : at + CHUNK // 4]
+        for j in range(len(least)):
+            mixed = part * _ODD[j]
+            least[j] = min(least[j], (mixed ^ (mixed >> np.uint64(31))).min())
+    rows = least.reshape(BANDS, ROWS) * _ODD[None, :ROWS]
+    return (rows.sum(axis=1, dtype=np.uint64) ^ _ODD[:BANDS]) & np.uint64(0x7FFFFFFFFFFFFFFF)
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, sketch: int = SKETCH) -> bool:
+    """Whether two sets have a Jaccard similarity of least or more, by their least hashes (sorted, at most sketch of each)."""
+    both, whole = np.union1d(a, b), len(a) < sketch and len(b) < sketch
+    both = both if whole else both[:sketch]
+    if not len(both):
+        return True
+    shared = np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum()
+    return shared / len(both) >= (least if whole else least - ERROR)
+
+
+def leaders(fps: np.ndarray, bits: int = SIMILAR_BITS) -> np.ndarray:
+    """For each member of a bucket the position of its leader: the first member within bits that leads itself. The chain of
+    segments is followed from every place of the ring before the full distance counts."""
+    n, own = len(fps), np.full(len(fps), -1)
+    for i in range(n):
+        if own[i] >= 0:
+            continue
+        own[i] = i
+        free = np.flatnonzero(own < 0)
+        x = fps[free] ^ fps[i]
+        passed = np.zeros(len(free), bool)
+        for start in range(bits + 1):
+            at, width = ring(bits)[start]
+            begins = np.flatnonzero(~passed & ((x & np.uint64(((1 << width) - 1) << at)) == 0))
+            passed[begins[chains(x[begins], start, bits)]] = True
+        own[free[passed & (np.bitwise_count(x) <= bits)]] = i
+    return own
+
+
+def _led(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, k) from rows (k, part, node, fp) sorted by these: each member with its leader; leaders with themselves."""
+    rest: list[np.ndarray] | None = None
+
+    def found(columns: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        k, part, node, fp = columns
+        new = np.flatnonzero((k[1:] != k[:-1]) | (part[1:] != part[:-1])) + 1
+        edges = [0, *new.tolist(), *([len(k)] if last else [])]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for i, j in zip(edges, edges[1:]):
+            own = leaders(fp[i:j].view(np.uint64), bits) if j - i > 1 else np.zeros(1, np.int64)
+            for values, value in zip(out, (node[i:j], node[i:j][own], k[i:j], fp[i:j])):
+                values.append(value)
+        made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["a", "b", "k", "fp"])
+        return made, [x[edges[-1] :] for x in columns]
+
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            columns = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns)]
+            made, rest = found(columns, False)
+            yield made
+    if rest is not None and len(rest[0]):
+        yield found(rest, True)[0]
+
+
+def candidates(dealt: DataFrame, bucket: int = BUCKET, bits: int = SIMILAR_BITS) -> DataFrame:
+    """Distinct pairs (a, b) of nodes: members of a bucket with their leader. dealt: k, node, fp. A bucket of more than
+    ``bucket`` members is led in parts, and the leaders of the parts once more, until a part holds them."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found, rows = [], dealt
+    while True:
+        large = small(rows.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > bucket))
+        part = F.pmod(F.xxhash64("node", F.lit(len(found))), F.coalesce(F.ceil(F.col("n") / bucket), F.lit(1))).cast("int").alias("part")
+        keyed = rows.join(large, "k", "left").select("k", part, "node", "fp")
+        led = cut(keyed.repartition(parts, "k", "part").sortWithinPartitions("k", "part", "node").mapInArrow(partial(_led, bits=bits), "a long, b long, k long, fp long"))
+        found.append(led.filter("a <> b").select("a", "b"))
+        if large.isEmpty():
+            break
+        rows, before = cut(led.filter("a = b").join(large.select("k"), "k").select("k", F.col("a").alias("node"), "fp")), rows.join(large.select("k"), "k", "left_semi")
+        if rows.count() == before.count():
+            break  # all lead themselves: nothing more is near
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs whose shingles are similar enough. The sketches (node, sketch) of both come by join, salted, as a leader may have
+    any number of members."""
+    salted = pairs.withColumn("s", F.pmod(F.xxhash64("a"), F.lit(16)).cast("int"))
+    of_b = salted.select("b", "s").distinct().join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("of_b")), "b")
+    both = salted.join(of_b, ["b", "s"]).join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("of_a")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[np.frombuffer(x, np.uint32) for x in batch.column(i).to_pylist()] for i in (2, 3)]
+            yield batch.select(["a", "b"]).filter(pa.array([similar(x, y, least) for x, y in zip(*sets)], pa.bool_()))
+
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def keep_one_similar(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILARITY, bits: int = SIMILAR_BITS, bucket: int = BUCKET) -> DataFrame:
+    """One row of docs of each group of texts whose sets of shingles have a similarity of ``least`` or more, all columns as
+    they are: that of the least doc_id, a null one after all others; of several texts under that doc_id, the one of the
+    least digest; of repeated rows, one.
+
+    Texts of equal shingles are one node; texts without words are one, too. Nodes of ``SKETCH`` shingles and more are compared by the
+    least of them, which estimates the similarity (standard error ``ERROR`` at 0.8, allowed for). A text of any length counts
+    whole; an empty table gives no rows."""
+    from xxhash import xxh64_intdigest
+
+    key = "row_key"
+    while key in (c.lower() for c in docs.columns):
+        key += "_"
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
+    keyed = docs.withColumn(key, F.unhex(digest))
+
+    def rows(got: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"doc_id": got["doc_id"], "k": got[key], "node": [], "fp": [], "bands": [], "sketch": []}
+        told = set()  # copies in a slice are told once
+        for text in got["text"]:
+            hashes = shingles(text, words)
+            node = int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+            out["node"].append(node)
+            new = node not in told
+            told.add(node)
+            out["fp"].append(int(np.uint64(bits_of(hashes)).view(np.int64)) if new else None)
+            out["bands"].append(bands_of(hashes).view(np.int64).tolist() if new else None)
+            out["sketch"].append((hashes[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() if new else None)
+        return out
+
+    marked = cut(map_slices(keyed.select("doc_id", "text", key), rows, "doc_id long, k binary, node long, fp long, bands array<long>, sketch binary"))
+    nodes = marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first"))
+    told = marked.filter("fp is not null")
+    pairs = cut(candidates(told.select(F.explode("bands").alias("k"), "node", "fp").distinct(), bucket, bits))
+    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sketches = cut(told.select("node", "sketch").join(paired, "node", "left_semi").dropDuplicates(["node"]))
+    member = cut(components(_verified(pairs, sketches, least)).withColumnRenamed("node", "at"))
+    kept = nodes.join(member, F.col("node") == F.col("at"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    return keyed.join(kept.select(F.col("first.k").alias(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
