@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import budgets, corpus, splits
+from ..operators import budgets, corpus, prep, splits
+from ..sources.shared import drop_path, shared_path
 from .base import registry, spread, table
 
 QUERIES, SQL, query = registry()
@@ -173,6 +174,28 @@ def filter_publishable(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.publishable(table(spark, sf, "documents").select("source"), _licences(spark)).groupBy("source").agg(F.count("*").alias("n"))
 
 
+#: The same table as a manifest, in the order of priority and name: src3, src0, src2, src4; src1 is refused.
+_PRIORITY = "CASE source WHEN 'src3' THEN 0 WHEN 'src0' THEN 1 WHEN 'src2' THEN 2 WHEN 'src4' THEN 3 END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, {_CLEAN} AS text, {_PRIORITY} AS p, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE source IN ('src0', 'src2', 'src3', 'src4')),
+k AS (SELECT *, CASE WHEN text = '' THEN 'blank' WHEN length(text) > 20000 THEN 'long' END AS dropped FROM d WHERE source <> 'src0' OR r <= 20),
+f AS (SELECT *, dropped IS NULL AND row_number() OVER (PARTITION BY text, dropped ORDER BY p, doc_id) = 1 AS is_first, CASE WHEN {_BUCKET} < 50 THEN 'val' ELSE 'train' END AS split FROM k)
+SELECT source, count(*) FILTER (is_first) AS n, count(*) FILTER (is_first AND split = 'train') AS train, count(*) FILTER (is_first AND split = 'val') AS val,
+count(*) FILTER (dropped IS NULL AND NOT is_first) AS duplicates, count(*) FILTER (dropped = 'blank') AS blank, count(*) FILTER (dropped = 'long') AS long FROM f GROUP BY source""")
+def prep_receipt(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole preparation, files and all; what its receipt says by source."""
+    manifest = spark.createDataFrame([(n, lic, ["NC"] if w == "no" else [], w, 1 if n == "src3" else 2) for n, lic, w in _LICENCES], "name string, license string, flags array<string>, weights_publishable string, priority int")
+    chosen = prep.plan(manifest, [n for n, _, _ in _LICENCES], F.lit(True))
+    out = shared_path(spark, "prepared")
+    try:
+        stats = prep.prepare(_documents(spark, sf), chosen, out, ["doc_id"], {"src0": 20}, [("long", F.length("text") > 20_000)], ["en", "de", "fr", "es"])
+    finally:
+        drop_path(spark, out)
+    rows = [(name, s["n"], s["train"], s["val"], s["duplicates"], s["dropped"].get("blank", 0), s["dropped"].get("long", 0)) for name, s in stats["sources"].items() if s["n"] + s["duplicates"] + sum(s["dropped"].values())]
+    return spark.createDataFrame(rows, "source string, n long, train long, val long, duplicates long, blank long, long long")
+
+
 @query("""SELECT coalesce(CASE WHEN length(trim(text)) = 0 THEN 'empty_text' WHEN regexp_matches(text, '<[^<>]{0,40}>') THEN 'annotator_tag' WHEN n_chars > 5000 THEN 'too_long' WHEN n_chars < 100 THEN 'too_short' END, 'kept') AS reason, count(*) AS n FROM documents GROUP BY 1""")
 def skip_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
     rules = [("empty_text", F.length(F.trim("text")) == 0), ("annotator_tag", tx.annotator_tag(F.col("text"))), ("too_long", F.col("n_chars") > 5000), ("too_short", F.col("n_chars") < 100)]
