@@ -83,16 +83,23 @@ def expression_blend(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("event_id", F.round(F.aggregate(F.map_values("weights"), F.lit(0.0), lambda s, v: s + v), 6).alias("total"), F.round(F.col("weights")["surprised"], 6).alias("surprised"))
 
 
-#: Readings of two lanes: arousal, valence, confidence, or nothing.
-_READINGS = [(1, (3.0, 1.0, 0.8), (2.5, 0.5, 0.6)), (2, (3.0, 1.0, 0.8), (-2.5, 0.5, 0.6)), (3, None, (2.5, 0.5, 0.6)), (4, (3.0, 1.0, 0.8), None), (5, (0.5, 0.0, 0.9), (3.0, 1.0, 0.9)), (6, None, None), (7, (3.0, 1.0, 0.0), (2.5, 0.5, 0.6))]
+#: Two lanes for each event: one from its value, one from its number; either may be silent or unsure.
+_LANES = """(SELECT event_id, CASE WHEN event_id % 5 <> 3 THEN value / 10.0 - 3 END AS a1, CASE WHEN event_id % 5 <> 3 THEN (event_id % 7) / 7.0 END AS v1, CASE WHEN event_id % 5 <> 3 THEN (event_id % 4) / 4.0 END AS c1, 5 + event_id % 9 AS n1,
+CASE WHEN event_id % 6 <> 4 THEN (event_id % 13) / 2.0 - 3 END AS a2, CASE WHEN event_id % 6 <> 4 THEN (event_id % 3) / 3.0 END AS v2, CASE WHEN event_id % 6 <> 4 THEN (event_id % 3) / 2.0 END AS c2, 3 + event_id % 11 AS n2 FROM events WHERE value IS NOT NULL)"""
 
 
-@query("""SELECT * FROM (VALUES (1, 2.833333, 0.833333, 0.9), (2, 1.166667, 0.833333, 0.288), (3, 2.5, 0.5, 0.6), (4, 3.0, 1.0, 0.8), (5, 1.5, 0.4, 0.9), (6, NULL, NULL, NULL), (7, 2.5, 0.5, 0.6)) AS v(id, arousal, valence, confidence)""")
+@query(f"""WITH w AS (SELECT *, coalesce(c1, 0) * 0.6::DOUBLE AS w1, coalesce(c2, 0) * 0.4::DOUBLE AS w2, CASE WHEN abs(a1) < 2 THEN 0 ELSE sign(a1) END AS s1, CASE WHEN abs(a2) < 2 THEN 0 ELSE sign(a2) END AS s2 FROM {_LANES})
+SELECT event_id, round(CASE WHEN w1 > 0 AND w2 > 0 THEN (a1 * w1 + a2 * w2) / (w1 + w2) WHEN w1 > 0 THEN a1 WHEN w2 > 0 THEN a2 END, 6) AS arousal,
+round(CASE WHEN w1 > 0 AND w2 > 0 THEN (v1 * w1 + v2 * w2) / (w1 + w2) WHEN w1 > 0 THEN v1 WHEN w2 > 0 THEN v2 END, 6) AS valence,
+round(CASE WHEN w1 > 0 AND w2 > 0 THEN greatest(0, least(1, (w1 + w2) * CASE WHEN s1 = 0 OR s2 = 0 THEN 1.0::DOUBLE WHEN s1 = s2 THEN 1.25::DOUBLE ELSE 0.4::DOUBLE END)) WHEN w1 > 0 THEN c1 WHEN w2 > 0 THEN c2 END, 6) AS confidence,
+CASE WHEN w1 > 0 AND w2 > 0 THEN least(n1, n2) WHEN w1 > 0 THEN n1 WHEN w2 > 0 THEN n2 END AS baseline_n FROM w""")
 def lane_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    lane = "struct<arousal_z:double,valence_z:double,confidence:double,events:array<string>,baseline_n:int>"
-    rows = spark.createDataFrame([(i, a and (*a, ["x"], 9), b and (*b, ["y", "x"], 7)) for i, a, b in _READINGS], f"id int, a {lane}, b {lane}")
-    f = rows.select("id", ar.fuse(F.col("a"), F.col("b")).alias("f"))
-    return f.select("id", *[F.round(f"f.{c}", 6).cast(f"decimal({p},{s})").alias(n) for c, n, p, s in (("arousal_z", "arousal", 7, 6), ("valence_z", "valence", 7, 6), ("confidence", "confidence", 4, 3))])
+    e = F.col("event_id")
+    lane = lambda silent, a, v, c, n, name: F.when(~silent, F.struct(a.alias("arousal_z"), v.alias("valence_z"), c.alias("confidence"), F.array(F.lit(name)).alias("events"), n.alias("baseline_n")))
+    one = lane(e % 5 == 3, F.col("value") / 10.0 - 3, (e % 7) / 7.0, (e % 4) / 4.0, 5 + e % 9, "x")
+    two = lane(e % 6 == 4, (e % 13) / 2.0 - 3, (e % 3) / 3.0, (e % 3) / 2.0, 3 + e % 11, "y")
+    f = table(spark, sf, "events").filter("value is not null").select("event_id", one.alias("a"), two.alias("b")).select("event_id", ar.fuse(F.col("a"), F.col("b")).alias("f"))
+    return f.select("event_id", *[F.round(f"f.{c}", 6).alias(n) for c, n in (("arousal_z", "arousal"), ("valence_z", "valence"), ("confidence", "confidence"))], F.col("f.baseline_n").alias("baseline_n"))
 
 
 @query("""SELECT vec_id, CAST(n AS INT) AS n, round(s, 3) AS total FROM (SELECT vec_id, count(*) OVER w AS n, sum(e) OVER w AS s FROM (SELECT vec_id, label, list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS e FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE n = 4""")

@@ -10,40 +10,43 @@ from ..functions import text as tx
 from ..functions import validators as va
 from ..operators import assemble, stats
 from .base import registry, table
+from .corpora import _SPACE
+from .evaluation import _REPLIES_SQL, replies
 
 QUERIES, SQL, query = registry()
 
 
-def _values(rows: list[str]) -> str:
-    return "(VALUES " + ", ".join("({}, '{}')".format(i, r.replace("'", "''")) for i, r in enumerate(rows)) + ")"
-
-
 def _listed(words: tuple[str, ...]) -> str:
     return "(" + ", ".join("'{}'".format(w.replace("'", "''")) for w in words) + ")"
 
 
-#: Answers to a question, each as it may be heard.
-_SAID = ["Yes.", "yes please do", "Go ahead!", "no, don't", "Don't", "  NO ", "haan ji", "thank you", "um", "", "yes but only if it is not too late", "Never mind.", "perhaps", "kar   do"]
+#: Every phrase of the lists, as it may be heard, and whole turns of conversations.
+_PHRASES = (*va.YES, *va.NO, *va.MADE_UP, "yes but only if it is not too late", "perhaps", "")
+_PHRASE = "list_value(" + ", ".join("'{}'".format(w.replace("'", "''")) for w in _PHRASES) + f")[1 + (conv_id * 5 + turn) % {len(_PHRASES)}]"
+_SAID = f"(SELECT conv_id, turn, (conv_id % 7) / 10.0 AS no_speech, CASE turn % 4 WHEN 0 THEN upper({_PHRASE}) || '!' WHEN 1 THEN '  ' || {_PHRASE} || ' . ' WHEN 2 THEN replace({_PHRASE}, ' ', '   ') ELSE coalesce(text, '') END AS said FROM conversations)"
 _PLAIN = r"trim(regexp_replace(regexp_replace(lower(said), '[^\p{L}\p{N}\s'']', '', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"""SELECT id, no_speech, voice, coalesce(CASE id % 5 WHEN 0 THEN 'no' END, voice, 'timeout') AS decision FROM (SELECT id, no_speech, CASE WHEN p = '' OR p IN {_listed(va.MADE_UP)} OR no_speech > 0.4 OR len(string_split(p, ' ')) > 4 THEN 'ambiguous'
-WHEN p IN {_listed(va.YES)} THEN 'yes' WHEN p IN {_listed(va.NO)} THEN 'no' ELSE 'ambiguous' END AS voice FROM (SELECT id, {_PLAIN} AS p FROM {_values(_SAID)} AS v(id, said)), (SELECT unnest([0.1::DOUBLE, 0.9]) AS no_speech))""")
+@query(f"""SELECT conv_id, turn, voice, coalesce(CASE turn % 5 WHEN 0 THEN 'no' END, voice, 'timeout') AS decision FROM (SELECT conv_id, turn, CASE WHEN p = '' OR p IN {_listed(va.MADE_UP)} OR no_speech > 0.4 OR len(string_split(p, ' ')) > 4 THEN 'ambiguous'
+WHEN p IN {_listed(va.YES)} THEN 'yes' WHEN p IN {_listed(va.NO)} THEN 'no' ELSE 'ambiguous' END AS voice FROM (SELECT conv_id, turn, no_speech, {_PLAIN} AS p FROM {_SAID}))""")
 def confirm_answers(spark: SparkSession, sf: str) -> DataFrame:
-    said = spark.createDataFrame(list(enumerate(_SAID)), "id int, said string").select("*", F.explode(F.array(F.lit(0.1), F.lit(0.9))).alias("no_speech"))
-    heard = said.select("id", "no_speech", va.answer(F.col("said"), F.col("no_speech"), F.lit(-0.2)).alias("voice"))
-    return heard.withColumn("decision", va.decision(F.col("voice"), F.when(F.col("id") % 5 == 0, "no")))
+    phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (1 + (F.col("conv_id") * 5 + F.col("turn")) % len(_PHRASES)).cast("int"))
+    turn = F.col("turn") % 4
+    said = F.when(turn == 0, F.concat(F.upper(phrase), F.lit("!"))).when(turn == 1, F.concat(F.lit("  "), phrase, F.lit(" . "))).when(turn == 2, F.replace(phrase, F.lit(" "), F.lit("   "))).otherwise(F.coalesce("text", F.lit("")))
+    heard = table(spark, sf, "conversations").select("conv_id", "turn", va.answer(said, (F.col("conv_id") % 7) / 10.0, F.lit(-0.2)).alias("voice"))
+    return heard.withColumn("decision", va.decision(F.col("voice"), F.when(F.col("turn") % 5 == 0, "no")))
 
 
-#: Payloads that pass, and one for each reason why others do not.
-_PAYLOADS = ['hl.dsp.focus({workspace = 3})', 'hl.dsp.focus({title = "a b"})', "hl.dsp.move({x = 1})", "hl.dsp.focus({os.time()})", "focus 3", "  ", 'hl.dsp.focus({a = true, b = "x"})', "hl.dsp.FOCUS({a = 2})", "require('x')"]
+#: Payloads that pass and that do not, made from the columns of documents, whole texts among them.
+_PAYLOAD = r"""CASE doc_id % 10 WHEN 0 THEN concat('hl.dsp.focus({workspace = ', doc_id, '})') WHEN 1 THEN concat('hl.dsp.focus({title = "', source, '"})') WHEN 2 THEN concat('hl.dsp.move({x = ', n_chars, '})')
+WHEN 3 THEN 'hl.dsp.focus({os.time()})' WHEN 4 THEN text WHEN 5 THEN '  ' WHEN 6 THEN concat(' hl.dsp.focus({a = true, b = "', lang, '"}) ') WHEN 7 THEN concat('hl.dsp.FOCUS({a = ', doc_id, '})') WHEN 8 THEN concat('hl.dsp.focus({title = "', text, '"})') ELSE concat('require(', doc_id, ')') END"""
 _SHAPE = r"""(?i)^hl\.dsp\.([a-z_.]+)\(\{\s*(?:[a-z_]+\s*=\s*(?:\d+|true|false|"[A-Za-z0-9:_\-. ]*")\s*,?\s*)*\}\)$"""
 
 
-@query(f"""SELECT id, CASE WHEN trim(payload) = '' THEN 'empty' WHEN len(list_filter([{', '.join(f"'{w}'" for w in va.FORBIDDEN)}], lambda w: contains(lower(payload), w))) > 0 THEN 'forbidden'
-WHEN NOT regexp_matches(trim(payload), '{_SHAPE}') THEN 'shape' WHEN regexp_extract(trim(payload), '{_SHAPE}', 1) NOT IN ('focus') THEN 'dispatcher' END AS reason FROM {_values(_PAYLOADS)} AS v(id, payload)""")
+@query(f"""SELECT doc_id, CASE WHEN coalesce(trim(payload), '') = '' THEN 'empty' WHEN len(list_filter([{', '.join(f"'{w}'" for w in va.FORBIDDEN)}], lambda w: contains(lower(payload), w))) > 0 THEN 'forbidden'
+WHEN NOT regexp_matches(trim(payload), '{_SHAPE}') THEN 'shape' WHEN regexp_extract(trim(payload), '{_SHAPE}', 1) NOT IN ('focus') THEN 'dispatcher' END AS reason FROM (SELECT doc_id, {_PAYLOAD} AS payload FROM documents)""")
 def payload_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_PAYLOADS)), "id int, payload string").select("id", va.egress_reason(F.col("payload")).alias("reason"))
+    return table(spark, sf, "documents").select("doc_id", F.expr(_PAYLOAD).alias("payload")).select("doc_id", va.egress_reason(F.col("payload")).alias("reason"))
 
 
 @query("""SELECT pair, count(DISTINCT lower(trim(text))) = 2 AS differ FROM (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1)
@@ -101,14 +104,19 @@ def voice_directions(spark: SparkSession, sf: str) -> DataFrame:
     return spoken.groupBy("label", "strength").agg(F.count("*").alias("n"), F.round(F.min("x"), 9).alias("least"), F.round(F.max("x"), 9).alias("most"))
 
 
-_CORPORA = ["crema-d", "RAVDESS speech", " tess", "MSP-Podcast 1.10", "iemocap", "emonet-voice-bench", "unheard-of", "meld", "rasa"]
+#: Names of corpora as documents may carry them: every known one in some spelling, and sources that are none.
+_CORPORA = [*(n for names in lb.SPEECH_KINDS.values() for n in names), "unheard-of"]
+_CORPUS = f"list_value({', '.join(f"'{n}'" for n in _CORPORA)})[1 + doc_id % {len(_CORPORA)}]"
 _KINDS = "(VALUES " + ", ".join(f"('{n}', '{kind}')" for kind, names in lb.SPEECH_KINDS.items() for n in names) + ") AS k(name, kind)"
 
 
-@query(f"SELECT corpus, max(kind) AS kind, CASE max(kind) WHEN 'acted' THEN true WHEN 'natural' THEN false END AS acted FROM {_values(_CORPORA)} AS v(id, corpus) LEFT JOIN {_KINDS} ON starts_with(lower(trim(corpus)), name) GROUP BY corpus")
+@query(f"""WITH c AS (SELECT CASE n_chars % 3 WHEN 0 THEN upper({_CORPUS}) WHEN 1 THEN ' ' || {_CORPUS} || ' ' || source ELSE source END AS corpus FROM documents)
+SELECT corpus, kind, CASE kind WHEN 'acted' THEN true WHEN 'natural' THEN false END AS acted, count(*) AS n FROM (SELECT corpus, (SELECT max(kind) FROM {_KINDS} WHERE starts_with(lower(trim(corpus)), name)) AS kind FROM c) GROUP BY 1, 2, 3""")
 def speech_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(c,) for c in _CORPORA], "corpus string")
-    return rows.select("corpus", lb.speech_kind(F.col("corpus")).alias("kind"), lb.acted(F.col("corpus")).alias("acted"))
+    name = F.element_at(F.array(*map(F.lit, _CORPORA)), (1 + F.col("doc_id") % len(_CORPORA)).cast("int"))
+    corpus = F.when(F.col("n_chars") % 3 == 0, F.upper(name)).when(F.col("n_chars") % 3 == 1, F.concat(F.lit(" "), name, F.lit(" "), "source")).otherwise(F.col("source"))
+    rows = table(spark, sf, "documents").select(corpus.alias("corpus"))
+    return rows.select("corpus", lb.speech_kind(F.col("corpus")).alias("kind"), lb.acted(F.col("corpus")).alias("acted")).groupBy("corpus", "kind", "acted").agg(F.count("*").alias("n"))
 
 
 _H1, _TITLE = "<h1>([^<]*)</h1>", "<title>([^<]*)</title>"
@@ -120,15 +128,14 @@ def first_text_of_page(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", tx.first_text(parts).alias("name"))
 
 
-_TAGGED = ["<e:happy:9> Sure.", "<E:Sad:0>Oh", "no tag", "<e:angry:5>   well", "  <e:neutral:3> late", "<e:joyful:3> hm", ""]
 _TAGGED_AT = "(?i)" + tx.TAG
 
 
-@query(f"""SELECT id, CASE WHEN f THEN lower(regexp_extract(reply, '{_TAGGED_AT}', 1)) ELSE 'neutral' END AS label, round(CASE WHEN f THEN CAST(regexp_extract(reply, '{_TAGGED_AT}', 2) AS INT) / 9 ELSE 0.5 END, 9) AS intensity,
-CASE WHEN f THEN ltrim(regexp_replace(reply, '{_TAGGED_AT}', '')) ELSE reply END AS text FROM (SELECT CAST(id AS INT) AS id, reply, regexp_matches(reply, '{_TAGGED_AT}') AS f FROM {_values(_TAGGED)} AS v(id, reply))""".replace("CAST(regexp_extract", "TRY_CAST(regexp_extract"))
+@query(f"""SELECT conv_id, turn, CASE WHEN f THEN lower(regexp_extract(reply, '{_TAGGED_AT}', 1)) ELSE 'neutral' END AS label, round(CASE WHEN f THEN TRY_CAST(regexp_extract(reply, '{_TAGGED_AT}', 2) AS INT) / 9 ELSE 0.5 END, 9) AS intensity,
+sha256(CASE WHEN f THEN regexp_replace(regexp_replace(reply, '{_TAGGED_AT}', ''), '^{_SPACE}+', '') ELSE reply END) AS text_sha256 FROM (SELECT *, regexp_matches(reply, '{_TAGGED_AT}') AS f FROM {_REPLIES_SQL})""")
 def leading_tags(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_TAGGED)), "id int, reply string").select("id", tx.leading_tag(F.col("reply")).alias("t"))
-    return rows.select("id", "t.label", F.round("t.intensity", 9).alias("intensity"), "t.text")
+    rows = replies(spark, sf).select("conv_id", "turn", tx.leading_tag(F.col("reply")).alias("t"))
+    return rows.select("conv_id", "turn", "t.label", F.round("t.intensity", 9).alias("intensity"), F.sha2("t.text", 256).alias("text_sha256"))
 
 
 @query("SELECT source, CASE WHEN quality <> 1 AND n_chars / 2000.0 >= 0.5 THEN 8.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")

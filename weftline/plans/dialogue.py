@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dialogue
+from ..sources import records
+from ..sources.shared import cut, drop_path, named_parts, shared_path
 from .base import registry, table
 
 QUERIES, SQL, query = registry()
@@ -30,15 +32,15 @@ def exchange_history(spark: SparkSession, sf: str) -> DataFrame:
     return dialogue.last_exchanges(table(spark, sf, "conversations"), ["conv_id"], "turn", 2).select("conv_id", "turn", F.col("exchange").cast("long").alias("exchange"))
 
 
-_TURNS = [(1, 0, "user", "hi"), (1, 1, "user", "there"), (1, 2, "assistant", "hello"), (1, 3, "assistant", " "), (1, 4, "assistant", "again"), (1, 5, "user", "bye"), (2, 0, "user", "only"), (3, 0, "system", "be kind"), (3, 1, "user", "a"), (3, 2, "user", "b")]
-_TURNS_SQL = "(VALUES " + ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in _TURNS) + ") AS v(conv_id, turn, role, text)"
+#: Conversations in which some turns are blank and some follow one of their own role.
+_TURNS = "(SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'user' ELSE role END AS role, CASE WHEN (conv_id + turn) % 7 = 2 THEN ' ' ELSE text END AS text FROM conversations)"
 
 
-@query(f"""SELECT conv_id, min(turn) AS turn, role, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS turns FROM (SELECT *, sum(chg) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM
-(SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS chg FROM {_TURNS_SQL} WHERE trim(text) <> '')) GROUP BY conv_id, run, role""")
+@query(f"""SELECT conv_id, min(turn) AS turn, role, sha256(string_agg(text, ' ' ORDER BY turn)) AS text_sha256, count(*) AS turns FROM (SELECT *, sum(chg) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM
+(SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS chg FROM {_TURNS} WHERE trim(coalesce(text, '')) <> '')) GROUP BY conv_id, run, role""")
 def turn_merge(spark: SparkSession, sf: str) -> DataFrame:
-    turns = spark.createDataFrame(_TURNS, "conv_id int, turn int, role string, text string")
-    return dialogue.merge_turns(turns, ["conv_id"], "turn").drop("run")
+    turns = table(spark, sf, "conversations").selectExpr("conv_id", "turn", "if((conv_id + turn) % 3 = 0, 'user', role) as role", "if((conv_id + turn) % 7 = 2, ' ', text) as text")
+    return dialogue.merge_turns(turns, ["conv_id"], "turn").select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"), "turns")
 
 
 @query("""SELECT c.conv_id, c.turn, r.text_sha256 AS answer_sha256 FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS o FROM conversations WHERE role = 'user') c
@@ -50,14 +52,39 @@ def result_pairing(spark: SparkSession, sf: str) -> DataFrame:
     return dialogue.pair_results(calls, results, ["conv_id"], "turn").select("conv_id", "turn", F.col("result").alias("answer_sha256"))
 
 
-#: A tree of replies: id, parent, role, rank.
-_TREE = [(1, None, "user", None), (2, 1, "assistant", 0), (3, 1, "assistant", 1), (4, 2, "user", None), (5, 2, "user", None), (6, 4, "assistant", 0), (7, 5, "assistant", 1), (8, 5, "assistant", 0), (9, 3, "user", None)]
-_TREE_SQL = "(VALUES " + ", ".join(f"({i}, {p if p else 'CAST(NULL AS INT)'}, '{r}', {k if k is not None else 'CAST(NULL AS INT)'})" for i, p, r, k in _TREE) + ") AS t(id, parent, role, rank)"
-_WALK = """WITH RECURSIVE walk AS (SELECT id, CAST(id AS {string}) AS path FROM {tree} WHERE parent IS NULL
-UNION ALL SELECT t.id, concat(w.path, '/', CAST(t.id AS {string})) FROM walk w JOIN {tree} ON t.parent = w.id AND (t.role = 'user' OR t.rank = 0))
-SELECT path FROM walk WHERE id NOT IN (SELECT parent FROM {tree} WHERE parent IS NOT NULL AND (role = 'user' OR rank = 0))"""
+#: The documents as trees of replies, eight to a tree: node i answers node (i - 1) // 2, even levels ask, ranks and deletions by number.
+_NODES = """(SELECT doc_id // 8 AS tree, doc_id % 8 AS id, CASE WHEN doc_id % 8 > 0 THEN (doc_id % 8 - 1) // 2 END AS parent, CASE WHEN doc_id % 8 IN (0, 3, 4, 5, 6) THEN 'prompter' ELSE 'assistant' END AS role,
+CASE WHEN (doc_id // 8) % 4 = 0 THEN NULL ELSE (doc_id + doc_id // 8) % 2 END AS rank, doc_id % 19 = 5 AS deleted, doc_id FROM documents)"""
+_TREES_SQL = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT * FROM {_NODES}),
+kin AS (SELECT c.*, p.role AS asked, count(CASE WHEN c.rank IS NOT NULL AND NOT c.deleted THEN 1 END) OVER (PARTITION BY c.tree, c.parent) AS ranked, min(CASE WHEN NOT c.deleted THEN c.id END) OVER (PARTITION BY c.tree, c.parent) AS first
+FROM n c LEFT JOIN n p ON c.tree = p.tree AND c.parent = p.id),
+good AS MATERIALIZED (SELECT * FROM kin WHERE NOT deleted AND (parent IS NULL OR asked = 'assistant' OR rank = 0 OR (ranked = 0 AND id = first))),
+walk AS (SELECT tree, id, role, 1 AS depth, 'd' || doc_id AS said, CAST('' AS VARCHAR) AS before FROM good WHERE parent IS NULL
+UNION ALL SELECT g.tree, g.id, g.role, w.depth + 1, w.said || '|' || 'd' || g.doc_id, w.said FROM walk w JOIN good g ON g.tree = w.tree AND g.parent = w.id)
+SELECT CASE role WHEN 'assistant' THEN said ELSE before END AS said FROM walk w WHERE CASE role WHEN 'assistant' THEN NOT EXISTS (SELECT 1 FROM n WHERE n.tree = w.tree AND n.parent = w.id AND NOT n.deleted)
+ELSE depth >= 3 AND NOT EXISTS (SELECT 1 FROM good g WHERE g.tree = w.tree AND g.parent = w.id) END"""
 
 
-@query(_WALK.format(tree=_TREE_SQL, string="VARCHAR"))
+@query(_TREES_SQL)
 def tree_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(_WALK.format(tree=_TREE_SQL, string="STRING"))
+    """Trees are written as nested JSON, a line each, and read as the conversations on their paths."""
+    root = shared_path(spark, "trees")
+    nodes = table(spark, sf, "documents").selectExpr(
+        "doc_id div 8 as tree", "cast(doc_id % 8 as int) as id", "if(doc_id % 8 in (0, 3, 4, 5, 6), 'prompter', 'assistant') as role",
+        "cast(if((doc_id div 8) % 4 = 0, null, (doc_id + doc_id div 8) % 2) as int) as rank", "doc_id % 19 = 5 as deleted", "concat('d', doc_id) as text",
+    )
+    by_id = nodes.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("role", "rank", "deleted", "text")))).alias("m"))
+
+    def node(i: int) -> Column:
+        own = F.try_element_at("m", F.lit(i))
+        inner = [node(k) for k in (2 * i + 1, 2 * i + 2) if k < 8] or [F.lit(None).cast("string")]
+        head = F.to_json(F.struct(own["role"].alias("role"), own["rank"].alias("rank"), own["deleted"].alias("deleted"), own["text"].alias("text"), F.lit("en").alias("lang")))
+        return F.when(own.isNotNull(), F.concat(F.rtrim(head, F.lit("}")), F.lit(', "replies": ['), F.array_join(F.array(*inner), ", "), F.lit("]}")))
+
+    try:
+        by_id.filter("m[0] is not null").select(F.concat(F.lit('{"prompt": '), node(0), F.lit("}")).alias("value")).write.text(f"{root}/written")
+        named_parts(spark, f"{root}/written", root, "{}.ready.trees.jsonl")
+        made = records.reply_trees(spark, root)
+        return cut(made.select(F.array_join(F.transform("messages", lambda m: m["content"]), "|").alias("said")))
+    finally:
+        drop_path(spark, root)

@@ -99,31 +99,36 @@ def latency_summary(spark: SparkSession, sf: str) -> DataFrame:
     return stats.latency(table(spark, sf, "events"), ["event_type"], "value")
 
 
-#: Replies of every kind.
-_REPLIES = ["<e:happy:7> Sure.", "<e:sad:2>Oh", "plain words", "<e:joyful:3> hm", "<e:angry:5> no <e:sad:1> yes", "  <e:neutral:0> so", "<E:happy:1> upper", "< e : happy : 3 > spaced", "text <e:happy:3>", "<e:surprised:9>", ""]
-_REPLIES_SQL = "(VALUES " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(_REPLIES)) + ") AS v(id, reply)"
-_VERDICT = f"""(SELECT id, CASE WHEN NOT regexp_matches(t, '{tx.TAG}') THEN CASE WHEN len(regexp_extract_all(t, '(?i)<\\s*e\\s*:[^>]*>')) > 0 THEN 'malformed' ELSE 'missing' END
-WHEN len(regexp_extract_all(t, '(?i)<\\s*e\\s*:[^>]*>')) > 1 THEN 'misplaced' ELSE 'ok' END AS verdict, CASE WHEN regexp_matches(t, '{tx.TAG}') THEN regexp_extract(t, '{tx.TAG}', 1) END AS label FROM (SELECT id, ltrim(reply) AS t FROM {_REPLIES_SQL}))"""
+#: Turns as replies that begin with a tag of some kind, or with none; their texts are whole.
+_REPLY = """CASE (conv_id * 7 + turn) % 9 WHEN 0 THEN '<e:happy:' || turn % 10 || '> ' || text WHEN 1 THEN '<e:sad:' || conv_id % 10 || '>' || text WHEN 2 THEN text WHEN 3 THEN '<e:joyful:3> ' || text
+WHEN 4 THEN '<e:angry:5> ' || text || ' <e:sad:1> yes' WHEN 5 THEN '  <e:neutral:0> ' || text WHEN 6 THEN '<E:happy:1> ' || text WHEN 7 THEN '< e : happy : 3 > ' || text ELSE text || ' <e:happy:3>' END"""
+_REPLIES_SQL = f"(SELECT conv_id, turn, {_REPLY} AS reply FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations))"
+_VERDICT = f"""(SELECT conv_id AS id, CASE WHEN NOT regexp_matches(t, '{tx.TAG}') THEN CASE WHEN len(regexp_extract_all(t, '(?i)<\\s*e\\s*:[^>]*>')) > 0 THEN 'malformed' ELSE 'missing' END
+WHEN len(regexp_extract_all(t, '(?i)<\\s*e\\s*:[^>]*>')) > 1 THEN 'misplaced' ELSE 'ok' END AS verdict, CASE WHEN regexp_matches(t, '{tx.TAG}') THEN regexp_extract(t, '{tx.TAG}', 1) END AS label FROM (SELECT conv_id, ltrim(reply) AS t FROM {_REPLIES_SQL}))"""
 
 
-def _verdicts(spark: SparkSession) -> DataFrame:
-    replies = spark.createDataFrame(list(enumerate(_REPLIES)), "id int, reply string")
-    return replies.select("id", tx.tag_verdict(F.col("reply")).alias("v")).select("id", "v.verdict", "v.label")
+def replies(spark: SparkSession, sf: str) -> DataFrame:
+    """conv_id, turn and the turn as a reply with a tag."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).select("conv_id", "turn", F.expr(_REPLY).alias("reply"))
+
+
+def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return replies(spark, sf).select("conv_id", tx.tag_verdict(F.col("reply")).alias("v")).select("conv_id", "v.verdict", "v.label")
 
 
 @query(f"SELECT v AS verdict, count(id) AS n FROM (SELECT unnest(['ok', 'missing', 'malformed', 'misplaced']) AS v) LEFT JOIN {_VERDICT} ON v = verdict GROUP BY v")
 def compliance_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.filled(_verdicts(spark).groupBy("verdict").agg(F.count("*").alias("n")), "verdict", stats.TAG_VERDICTS, ["n"])
+    return stats.filled(_verdicts(spark, sf).groupBy("verdict").agg(F.count("*").alias("n")), "verdict", stats.TAG_VERDICTS, ["n"])
 
 
 @query(f"SELECT count(*) AS n, round(avg(CASE WHEN verdict = 'ok' THEN 1.0 ELSE 0 END), 4) AS rate, avg(CASE WHEN verdict = 'ok' THEN 1.0 ELSE 0 END) >= 0.98 AS passed, (SELECT max(c) / sum(c) > 0.8 FROM (SELECT count(*) AS c FROM {_VERDICT} WHERE label IS NOT NULL GROUP BY label)) AS flat FROM {_VERDICT}")
 def compliance_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.compliance(_verdicts(spark))
+    return stats.compliance(_verdicts(spark, sf))
 
 
 @query(f"SELECT l AS label FROM (SELECT unnest(['happy', 'angry', 'sad', 'relaxed', 'surprised', 'neutral']) AS l) WHERE l NOT IN (SELECT label FROM {_VERDICT} WHERE label IS NOT NULL)")
 def unused_labels(spark: SparkSession, sf: str) -> DataFrame:
-    used = _verdicts(spark).agg(F.collect_set("label").alias("used"))
+    used = _verdicts(spark, sf).agg(F.collect_set("label").alias("used"))
     return used.select(F.explode(F.array_except(F.array(*map(F.lit, tx.TAG_LABELS)), "used")).alias("label"))
 
 
@@ -147,8 +152,10 @@ def perplexity_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.round(stats.perplexity("value", "tokens"), 6).alias("perplexity"))
 
 
-_NAMES = ["ANG", "Pleasant Surprise", " happiness ", "xxx", "no such", "jealousy-&-envy", "Calm", "NEU"]
-_NAMES_SQL = "(VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") AS v(raw)"
+#: Names of labels and of nothing in every spelling, one for each document.
+_NAMES = [*lb.ALIASES, *lb.CIRCUMPLEX, "no such", "xxx"]
+_RAW = f"list_value({', '.join(f"'{n}'" for n in _NAMES)})[1 + doc_id % {len(_NAMES)}]"
+_NAMES_SQL = f"(SELECT DISTINCT CASE n_chars % 3 WHEN 0 THEN upper(raw) WHEN 1 THEN ' ' || replace(raw, '_', '-') || ' ' ELSE raw END AS raw FROM (SELECT n_chars, {_RAW} AS raw FROM documents)) AS v"
 _ALIAS_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in lb.ALIASES.items()) + ") AS a(k, v)"
 _PLACE_SQL = "(VALUES " + ", ".join(f"('{k}', {v}, {a})" for k, (v, a) in lb.CIRCUMPLEX.items()) + ") AS c(name, valence, arousal)"
 
@@ -156,15 +163,21 @@ _PLACE_SQL = "(VALUES " + ", ".join(f"('{k}', {v}, {a})" for k, (v, a) in lb.CIR
 @query(f"""SELECT raw, coalesce(c.name, '') AS label, CAST(valence AS DOUBLE) AS valence, CAST(arousal AS DOUBLE) AS arousal FROM (SELECT raw, coalesce(a.v, key) AS name FROM (SELECT raw, translate(lower(trim(raw)), ' -', '__') AS key FROM {_NAMES_SQL})
 LEFT JOIN {_ALIAS_SQL} ON key = a.k) x LEFT JOIN {_PLACE_SQL} ON x.name = c.name""")
 def label_map_circumplex(spark: SparkSession, sf: str) -> DataFrame:
-    raw = spark.createDataFrame([(n,) for n in _NAMES], "raw string")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (1 + F.col("doc_id") % len(_NAMES)).cast("int"))
+    spelt = F.when(F.col("n_chars") % 3 == 0, F.upper(name)).when(F.col("n_chars") % 3 == 1, F.concat(F.lit(" "), F.replace(name, F.lit("_"), F.lit("-")), F.lit(" "))).otherwise(name)
+    raw = table(spark, sf, "documents").select(spelt.alias("raw")).distinct()
     place = lb.circumplex(F.col("raw"))
     return raw.select("raw", lb.canonical(F.col("raw")).alias("label"), place["valence"].alias("valence"), place["arousal"].alias("arousal"))
 
 
-_LISTS = [[], [17], [27], [4], [4, 17], [2, 3], [2, 17], [11], [99], [23, 6]]
+#: Up to three indices of fine labels for each document, some out of range.
+_INDEX = "[doc_id % 29, n_chars % 28, doc_id % 28]"
+_FINE_SQL = "(VALUES " + ", ".join(f"({i}, '{n}', {chr(39) + lb.FINE_TAGS[n] + chr(39) if n in lb.FINE_TAGS else 'NULL'})" for i, n in enumerate(lb.FINE_NAMES)) + ") AS f(i, name, tag)"
 
 
-@query("SELECT * FROM (VALUES (0, 'neutral'), (1, 'happy'), (2, 'neutral'), (3, NULL), (4, 'happy'), (5, 'angry'), (6, NULL), (7, NULL), (8, NULL), (9, 'relaxed')) AS v(id, tag)")
+@query(f"""WITH d AS (SELECT doc_id, {_INDEX}[1 : doc_id % 4] AS labels FROM documents), e AS (SELECT doc_id, unnest(labels) AS i FROM d)
+SELECT d.doc_id, CASE WHEN len(labels) = 0 THEN 'neutral' WHEN unknown = 0 AND tags = 1 THEN tag END AS tag FROM d LEFT JOIN
+(SELECT doc_id, count(*) FILTER (name IS NULL OR (tag IS NULL AND name NOT IN ({', '.join(f"'{n}'" for n in lb.FINE_IGNORED)}))) AS unknown, count(DISTINCT tag) AS tags, min(tag) AS tag FROM e LEFT JOIN {_FINE_SQL} ON e.i = f.i GROUP BY doc_id) g ON d.doc_id = g.doc_id""")
 def tag_label(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_LISTS)), "id int, labels array<int>")
-    return rows.select("id", lb.one_tag(lb.names_of(F.col("labels")), lb.FINE_TAGS, lb.FINE_IGNORED).alias("tag"))
+    ids = F.expr("slice(array(doc_id % 29, n_chars % 28, doc_id % 28), 1, cast(doc_id % 4 as int))")
+    return table(spark, sf, "documents").select("doc_id", lb.one_tag(lb.names_of(ids.cast("array<int>")), lb.FINE_TAGS, lb.FINE_IGNORED).alias("tag"))

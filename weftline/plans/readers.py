@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..sources import records
-from ..sources.shared import cut, drop_path, shared_path
+from ..sources.shared import cut, drop_path, named_parts, shared_path
 from .base import registry, table
 
 QUERIES, SQL, query = registry()
@@ -18,13 +18,7 @@ def _told(spark: SparkSession, sf: str, corpus: str, folder: str, *columns: str)
     """lang, kind, roles, said and calls of every record that a corpus's reader makes of rows with the columns given."""
     root = shared_path(spark, "corpus")
     table(spark, sf, "documents").selectExpr(*columns).write.json(f"{root}/written")
-    fs = spark._jvm.org.apache.hadoop.fs
-    at = fs.Path(f"{root}/written")
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(fs.Path(f"{root}/{folder}"))
-    for i, part in enumerate(p for p in files.listStatus(at) if p.getPath().getName().startswith("part-")):
-        files.rename(part.getPath(), fs.Path(f"{root}/{folder}/train-{i}.jsonl"))
-    files.delete(at, True)
+    named_parts(spark, f"{root}/written", f"{root}/{folder}", "train-{}.jsonl")
     made = records.READERS[corpus](spark, root)
     calls = F.flatten(F.transform("messages", lambda m: F.coalesce(F.transform(m["tool_calls"], lambda c: F.concat(c["id"], F.lit("="), c["name"], c["arguments"])), F.array().cast("array<string>"))))
     done = cut(made.select(

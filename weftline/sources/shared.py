@@ -47,3 +47,14 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+def named_parts(spark: SparkSession, written: str, folder: str, name: str) -> None:
+    """Moves the part files that Spark has written into a folder under names of their own ({} is their number)."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    at = paths.Path(written)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(paths.Path(folder))
+    for i, part in enumerate(p for p in files.listStatus(at) if p.getPath().getName().startswith("part-")):
+        files.rename(part.getPath(), paths.Path(f"{folder}/{name.format(i)}"))
+    files.delete(at, True)
