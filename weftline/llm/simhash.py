@@ -281,11 +281,10 @@ def bits_of(hashes: np.ndarray) -> int:
 def bands_of(hashes: np.ndarray) -> np.ndarray:
     """A key for each band: a hash of its ROWS least hashes, each under a factor of its own."""
     least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(hashes), CHUNK // 4):
-        part = hashes[at : at + CHUNK // 4]
-        for j in range(len(least)):
-            mixed = part * _ODD[j]
-            least[j] = min(least[j], (mixed ^ (mixed >> np.uint64(31))).min())
+    for at in range(0, len(hashes), 1024):
+        mixed = _ODD[: len(least), None] * hashes[None, at : at + 1024]
+        mixed ^= mixed >> np.uint64(31)
+        np.minimum(least, mixed.min(axis=1), out=least)
     rows = least.reshape(BANDS, ROWS) * _ODD[None, :ROWS]
     return (rows.sum(axis=1, dtype=np.uint64) ^ _ODD[:BANDS]) & np.uint64(0x7FFFFFFFFFFFFFFF)
 
@@ -300,22 +299,29 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, sketch: int
     return shared / len(both) >= (least if whole else least - ERROR)
 
 
-def leaders(fps: np.ndarray, bits: int = SIMILAR_BITS) -> np.ndarray:
-    """For each member of a bucket the position of its leader: the first member within bits that leads itself. The chain of
-    segments is followed from every place of the ring before the full distance counts."""
-    n, own = len(fps), np.full(len(fps), -1)
-    for i in range(n):
-        if own[i] >= 0:
-            continue
-        own[i] = i
-        free = np.flatnonzero(own < 0)
-        x = fps[free] ^ fps[i]
-        passed = np.zeros(len(free), bool)
-        for start in range(bits + 1):
-            at, width = ring(bits)[start]
-            begins = np.flatnonzero(~passed & ((x & np.uint64(((1 << width) - 1) << at)) == 0))
+def within(x: np.ndarray, bits: int = SIMILAR_BITS) -> np.ndarray:
+    """Which differences x of pairs are of at most bits bits: a chain of segments within its budgets from some place of the ring
+    on, and then the full distance."""
+    passed = np.zeros(len(x), bool)
+    for start in range(bits + 1):
+        at, width = ring(bits)[start]
+        begins = np.flatnonzero(~passed & ((x & np.uint64(((1 << width) - 1) << at)) == 0))
+        if len(begins):
             passed[begins[chains(x[begins], start, bits)]] = True
-        own[free[passed & (np.bitwise_count(x) <= bits)]] = i
+    return passed & (np.bitwise_count(x) <= bits)
+
+
+def leaders(bucket: np.ndarray, fps: np.ndarray, bits: int = SIMILAR_BITS) -> np.ndarray:
+    """For each row the position of its leader: the first row of its bucket (equal numbers in a row) within bits of it that is
+    led by no other. All buckets take their next leader at the same time."""
+    own, free = np.arange(len(fps)), np.arange(len(fps))
+    while len(free):
+        of = bucket[free]
+        first = np.concatenate([[True], of[1:] != of[:-1]])
+        leader = free[first][np.cumsum(first) - 1]
+        led = within(fps[free] ^ fps[leader], bits)
+        own[free[led]] = leader[led]
+        free = free[~led]
     return own
 
 
@@ -324,16 +330,17 @@ def _led(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
     rest: list[np.ndarray] | None = None
 
     def found(columns: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
-        k, part, node, fp = columns
-        new = np.flatnonzero((k[1:] != k[:-1]) | (part[1:] != part[:-1])) + 1
-        edges = [0, *new.tolist(), *([len(k)] if last else [])]
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
-        for i, j in zip(edges, edges[1:]):
-            own = leaders(fp[i:j].view(np.uint64), bits) if j - i > 1 else np.zeros(1, np.int64)
-            for values, value in zip(out, (node[i:j], node[i:j][own], k[i:j], fp[i:j])):
-                values.append(value)
-        made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["a", "b", "k", "fp"])
-        return made, [x[edges[-1] :] for x in columns]
+        new = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1
+        end = len(columns[0]) if last else (int(new[-1]) if len(new) else 0)
+        k, _, node, fp = (c[:end] for c in columns)
+        bucket = np.zeros(end, np.int64)
+        bucket[new[new < end]] = 1
+        bucket = np.cumsum(bucket)
+        many = np.bincount(bucket)[bucket] > 1 if end else np.zeros(0, bool)
+        own = np.arange(end)
+        own[many] = np.flatnonzero(many)[leaders(bucket[many], fp[many].view(np.uint64), bits)]
+        made = pa.RecordBatch.from_arrays([pa.array(x) for x in (node, node[own], k, fp)], names=["a", "b", "k", "fp"])
+        return made, [c[end:] for c in columns]
 
     for batch in batches:
         if batch.num_rows:
