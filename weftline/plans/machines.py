@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
-from ..operators import assemble, ranged, stats
+from ..operators import assemble, listen, ranged, stats
 from .base import registry, table
 
 QUERIES, SQL, query = registry()
@@ -44,6 +44,23 @@ def runs_of_all_events(spark: SparkSession, sf: str) -> DataFrame:
     return ranged.fold(table(spark, sf, "events"), [], ["ts", "event_id"], ["event_type"], ranged.Changes(), "run long", ["event_id"]).select("event_id", "run")
 
 
+@query("""SELECT label, n // 100 AS hop, round(sum(v), 4) AS total FROM (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS n FROM (SELECT label, vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)))
+GROUP BY 1, 2 HAVING count(*) = 100""")
+def hops_of_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as frames of one sequence a label, cut into hops of 100 values across their borders."""
+    got = listen.hops(table(spark, sf, "embeddings"), ["label"], ["vec_id"], "embedding", 100)
+    return got.select("label", "hop", F.round(F.aggregate("values", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
+
+
+@query()
+def turn_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as frames: loud where the value is high, the end probable after an error, playback with every purchase."""
+    frames = table(spark, sf, "events").select(
+        "user_id", "ts", "event_id", (F.coalesce("value", F.lit(0.0)) / 30).alias("p"), F.lit(0.2).alias("level"), F.when(F.col("event_type") == "error", 0.9).otherwise(0.1).alias("complete"), (F.col("event_type") == "purchase").alias("begins"),
+    )
+    return listen.turns(frames, ["user_id"], ["ts", "event_id"], listen.Limits(frame=1.0, pre_roll=1.0, start=1.0, stop=2.0, dead=1.0, hold=1.0, longest_wait=5.0, resume=4.0))
+
+
 @query("SELECT doc_id, string_agg(CASE WHEN m <> 0 THEN i ELSE -100 END, ',' ORDER BY k) AS masked FROM (SELECT doc_id, k, (doc_id + k) % 97 AS i, k % 3 AS m FROM documents, range(7) AS r(k)) GROUP BY doc_id")
 def masked_ids(spark: SparkSession, sf: str) -> DataFrame:
     ids, mask = F.expr("transform(sequence(0, 6), k -> (doc_id + k) % 97)"), F.expr("transform(sequence(0, 6), k -> k % 3)")
