@@ -6,15 +6,17 @@ the checksum that the format provides, over the second half of the header and th
 to be kept are the main data of the frames, which is the format's own unit; the bit rate varies from frame
 to frame, so that the last frame is the shortest that holds what is left.
 
-The parser skips a tag and takes what looks like a header only if its checksum holds or another header (or
-the end) follows where it says, so that other bytes are not taken for one; it counts checksums that fail
-and goes on behind damage. It
-returns exact durations (samples over rate, no rounding), the offset of each frame for seeking, the tag and
+The parser reads streams of any writer: versions 1, 2 and 2.5, layers I to III (free format apart), with tags before (ID3v2.2 to
+2.4 in any text encoding) and behind (ID3v1, APE) the frames, which it takes off first, and with a Xing, Info or VBRI frame, which
+is no audio. It takes what looks like a header only if its checksum holds or a header of the same version, layer and rate (or
+the end) follows where it says, so that other bytes are not taken for one; it counts checksums that fail (those of layer
+II, whose extent depends on its allocation tables, are not looked at) and goes on behind damage. It
+returns exact durations (samples over rate, no rounding), the offset of each frame for seeking, the tags and
 the table.
 
 Defined results: a null text is stored like an empty one; a payload is padded with zero bytes to a positive
-multiple of 64; equal texts give equal bytes; rows are judged one by one, so ties, repeats, empty tables and
-extra columns change nothing.
+multiple of 64; equal texts give equal bytes; a text of any length is one stream, held by one task; rows are judged one by one, so
+ties, repeats, empty tables and extra columns change nothing.
 """
 
 from __future__ import annotations
@@ -27,12 +29,21 @@ from pyspark.sql import DataFrame
 
 from .common import map_slices, utf8
 
-#: Fixed values of MPEG-1 layer III: bit rates in kbit/s by index, sampling rates by index, samples of a frame.
-RATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
-HERTZ = (44100, 48000, 32000)
-SAMPLES = 1152
-#: Side information bytes for one channel and for two.
-SIDE = {True: 17, False: 32}
+#: Fixed values of the format. Bit rates in kbit/s by version (1, or 2 and 2.5), layer and index; sampling rates by version and index.
+BIT_RATES = {
+    (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (1, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+    (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+SAMPLE_RATES = {1.0: (44100, 48000, 32000), 2.0: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
+VERSIONS, LAYERS = {3: 1.0, 2: 2.0, 0: 2.5}, {3: 1, 2: 2, 1: 3}
+#: Samples of a frame by layer, layer III by version; side information bytes of layer III by version, for one channel and for two.
+FRAME_SAMPLES, SIDES = {1: 384, 2: 1152, 3: {1.0: 1152, 2.0: 576, 2.5: 576}}, {1.0: (17, 32), 2.0: (9, 17), 2.5: (9, 17)}
+#: What is written: version 1, layer III, one channel.
+RATES, SAMPLES, SIDE = BIT_RATES[1, 3], 1152, {True: 17}
 BLOCK = 64
 POINTS = 100
 
@@ -60,20 +71,36 @@ def checksum(data: bytes) -> int:
 
 @dataclass(frozen=True)
 class Header:
+    """kind: version, layer and sampling rate, the same in all frames of a stream. side: bytes of side information (layer III);
+    covered: bytes behind the checksum that it covers, None if that is not told by the header."""
+
     length: int
     hertz: int
     protected: bool
     side: int
+    samples: int
+    kind: tuple
+    covered: int | None
 
 
 def header(word: bytes) -> Header | None:
-    """A frame header of MPEG-1 layer III from its four bytes, or None."""
-    if len(word) < 4 or word[0] != 0xFF or word[1] & 0xFE != 0xFA:
+    """A frame header from its four bytes, or None."""
+    if len(word) < 4 or word[0] != 0xFF or word[1] & 0xE0 != 0xE0:
         return None
-    rate, hertz, pad = word[2] >> 4, (word[2] >> 2) & 3, (word[2] >> 1) & 1
-    if not 0 < rate < 15 or hertz == 3 or word[3] & 3 == 2:
+    version, layer = VERSIONS.get(word[1] >> 3 & 3), LAYERS.get(word[1] >> 1 & 3)
+    rate, hertz, pad = word[2] >> 4, word[2] >> 2 & 3, word[2] >> 1 & 1
+    if version is None or layer is None or not 0 < rate < 15 or hertz == 3 or word[3] & 3 == 2:
         return None
-    return Header(144000 * RATES[rate] // HERTZ[hertz] + pad, HERTZ[hertz], not word[1] & 1, SIDE[word[3] >> 6 == 3])
+    hz, kbit, mode = SAMPLE_RATES[version][hertz], BIT_RATES[1 if version == 1.0 else 2, layer][rate], word[3] >> 6
+    samples = FRAME_SAMPLES[layer] if layer < 3 else FRAME_SAMPLES[3][version]
+    # A slot is a byte, four bytes in layer I; a frame holds the bits of its samples' time.
+    slot = 4 if layer == 1 else 1
+    length = (samples // 8 * 1000 // slot * kbit // hz + pad) * slot
+    side = SIDES[version][mode != 3] if layer == 3 else 0
+    # Layer I: four bits a subband and channel; joint stereo shares those from a bound on.
+    bands = 32 if mode == 3 else 64 if mode != 1 else 32 + 4 * ((word[3] >> 4 & 3) + 1)
+    covered = {1: bands // 2, 2: None, 3: side}[layer]
+    return Header(length, hz, not word[1] & 1, side, samples, (version, layer, hz), covered)
 
 
 def _head(rate: int) -> bytes:
@@ -135,6 +162,8 @@ class Stream:
     told_frames: int | None = None
     told_bytes: int | None = None
     seek: bytes = b""
+    #: Bytes from one seek point to the next, as a VBRI frame tells them.
+    spans: list[int] = field(default_factory=list)
     offsets: list[int] = field(default_factory=list)
     body: bytes = b""
 
@@ -151,64 +180,118 @@ class Stream:
         return f"frames={self.frames};seconds={self.samples}/{self.hertz or 1};bad={self.bad_checksums};skipped={self.skipped};offsets={some}"
 
 
-def _tags(data: bytes, out: Stream) -> int:
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+
+
+def _text(raw: bytes) -> str:
+    """A text of a tag: its encoding, then what it says."""
+    return raw[1:].decode(ENCODINGS[raw[0]], "replace") if raw and raw[0] < len(ENCODINGS) else ""
+
+
+def _size(raw: bytes, bits: int) -> int:
+    return sum((b & ((1 << bits) - 1)) << bits * (len(raw) - 1 - i) for i, b in enumerate(raw))
+
+
+def _front(data: bytes, out: Stream) -> int:
     """Reads an ID3v2 tag at the start, if there is one; where the audio begins."""
-    if data[:3] != b"ID3" or len(data) < 10:
+    if data[:3] != b"ID3" or len(data) < 10 or data[3] not in (2, 3, 4):
         return 0
-    size = sum(b << s for b, s in zip(data[6:10], (21, 14, 7, 0)))
-    at, end = 10, min(len(data), 10 + size)
-    while at + 10 <= end and data[at : at + 4].strip(b"\0"):
-        name, n = data[at : at + 4].decode("latin-1"), sum((b & 0x7F) << s for b, s in zip(data[at + 4 : at + 8], (21, 14, 7, 0)))
-        text = data[at + 11 : min(end, at + 10 + n)].decode("utf-8", "replace")
-        key, _, value = text.partition("\0")
-        out.tags[key if name == "TXXX" else name] = value if name == "TXXX" else text
-        at += 10 + n
-    return 10 + size
+    version, flags, size = data[3], data[5], _size(data[6:10], 7)
+    at, end, names = 10, min(len(data), 10 + size), 3 if version == 2 else 4
+    if flags & 0x40 and version > 2:  # an extended header; its size counts itself in 2.4 only
+        at += _size(data[10:14], 7) if version == 4 else 4 + _size(data[10:14], 8)
+    head = 6 if version == 2 else 10
+    while at + head <= end and data[at : at + names].strip(b"\0"):
+        name, n = data[at : at + names].decode("latin-1"), _size(data[at + names : at + 2 * names], 7 if version == 4 else 8)
+        if name[0] == "T":
+            key, zero, value = _text(data[at + head : min(end, at + head + n)]).partition("\0")
+            own = name in ("TXXX", "TXX") and zero
+            out.tags[key if own else name] = value.lstrip("\ufeff").rstrip("\0") if own else key
+        at += head + n
+    return 10 + size + (10 if version == 4 and flags & 0x10 else 0)
+
+
+def _back(data: bytes, out: Stream) -> int:
+    """Reads ID3v1 and APE tags at the end, if there are any; where the audio ends."""
+    end = len(data)
+    if data[max(0, end - 128) : end - 125] == b"TAG" and end >= 128:
+        end -= 128
+        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127)):
+            value = data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip()
+            if value:
+                out.tags.setdefault(name, value)
+    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+        _, size, items, flags = struct.unpack("<IIII", data[end - 24 : end - 8])
+        at, stop = max(0, end - size), end - 32
+        for _ in range(items):
+            zero = data.find(b"\0", at + 8, stop)
+            if zero < 0:
+                break
+            n, kind = struct.unpack("<II", data[at : at + 8])
+            if not kind & 6:  # a text
+                out.tags.setdefault(data[at + 8 : zero].decode("latin-1"), data[zero + 1 : min(stop, zero + 1 + n)].decode("utf-8", "replace"))
+            at = zero + 1 + n
+        end = max(0, end - size - (32 if flags >> 31 else 0))
+    return end
+
+
+def _table(frame: bytes, h: Header, out: Stream) -> bool:
+    """Reads a frame that tells of the others instead of being heard."""
+    at = 4 + 2 * h.protected + h.side
+    if frame[at : at + 4] in (b"Xing", b"Info"):
+        flags, place = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
+        if flags & 1:
+            out.told_frames, place = int.from_bytes(frame[place : place + 4], "big"), place + 4
+        if flags & 2:
+            out.told_bytes, place = int.from_bytes(frame[place : place + 4], "big"), place + 4
+        if flags & 4:
+            out.seek = frame[place : place + POINTS]
+        return True
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        out.told_bytes, out.told_frames, entries, scale, width, _ = struct.unpack(">IIHHHH", frame[46:62])
+        table = frame[62 : 62 + entries * width]
+        out.spans = [scale * int.from_bytes(table[i : i + width], "big") for i in range(0, len(table) - width + 1, width)] if width else []
+        return True
+    return False
 
 
 def parse(data: bytes) -> Stream:
     """Reads a stream back, past any damage between frames."""
     out, known, checked, parts = Stream(), {}, {}, []
-    at, first = _tags(data, out), True
-    while at + 4 <= len(data):
-        word = data[at : at + 4]
+    at, end, first, kind = _front(data, out), _back(data, out), True, None
+
+    def told(place: int) -> Header | None:
+        word = data[place : min(end, place + 4)]
         if word not in known:
             known[word] = header(word)
-        h = known[word]
-        good = False
-        if h is not None and at + h.length <= len(data):
+        return known[word]
+
+    while at + 4 <= end:
+        h, good = told(at), False
+        taken = h is not None and at + h.length <= end and kind in (None, h.kind)
+        if taken:
             follows, begin = at + h.length, at + 4 + 2 * h.protected
-            if h.protected:
-                cover = data[at + 2 : at + 4] + data[begin : begin + h.side]
+            if h.protected and h.covered is not None:
+                cover = data[at + 2 : at + 4] + data[begin : begin + h.covered]
                 if cover not in checked:
                     checked[cover] = checksum(cover)
                 good = checked[cover] == int.from_bytes(data[at + 4 : begin], "big")
+            after = told(follows)
             # What looks like a header counts if its checksum holds, or another header or the end is where it says.
-            taken = good or follows == len(data) or header(data[follows : follows + 4]) is not None
-        else:
-            taken = False
+            taken = good or follows == end or (after is not None and after.kind == h.kind)
         if not taken:
-            nxt = data.find(b"\xff", at + 1)
-            nxt = len(data) if nxt < 0 else nxt
+            nxt = data.find(b"\xff", at + 1, end)
+            nxt = end if nxt < 0 else nxt
             out.skipped += nxt - at
             at = nxt
             continue
-        out.bad_checksums += h.protected and not good
-        main = begin + h.side
-        if first and data[main : main + 4] == b"Xing":
-            flags, place = int.from_bytes(data[main + 4 : main + 8], "big"), main + 8
-            if flags & 1:
-                out.told_frames, place = int.from_bytes(data[place : place + 4], "big"), place + 4
-            if flags & 2:
-                out.told_bytes, place = int.from_bytes(data[place : place + 4], "big"), place + 4
-            if flags & 4:
-                out.seek = data[place : place + POINTS]
-        else:
-            out.frames, out.samples, out.hertz = out.frames + 1, out.samples + SAMPLES, h.hertz
+        out.bad_checksums += h.protected and h.covered is not None and not good
+        if not (first and h.kind[1] == 3 and _table(data[at:follows], h, out)):
+            out.frames, out.samples, out.hertz = out.frames + 1, out.samples + h.samples, h.hertz
             out.offsets.append(at)
-            parts.append(data[main:follows])
-        at, first = follows, False
-    out.skipped += len(data) - at
+            parts.append(data[begin + h.side : follows])
+        at, first, kind = follows, False, h.kind
+    out.skipped += max(0, end - at)
     out.body = b"".join(parts)
     return out
 
@@ -224,14 +307,14 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def read(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media as they are, and what its stream says: payload, seconds (double), frames,
-    bad_checksums, offsets (array of long) and feature."""
+    """doc_id, n_bytes, media as they are, and what its stream says: payload, samples and hertz (their ratio is the exact
+    duration in seconds), frames, bad_checksums, offsets (array of long) and feature."""
 
     def rows(got: dict[str, list]) -> dict[str, list]:
         found = [parse(m or b"") for m in got["media"]]
         return got | {
-            "payload": [s.payload for s in found], "seconds": [s.samples / (s.hertz or 1) for s in found], "frames": [s.frames for s in found],
+            "payload": [s.payload for s in found], "samples": [s.samples for s in found], "hertz": [s.hertz for s in found], "frames": [s.frames for s in found],
             "bad_checksums": [s.bad_checksums for s in found], "offsets": [s.offsets for s in found], "feature": [s.feature() for s in found],
         }
 
-    return map_slices(media.select("doc_id", "n_bytes", "media"), rows, "doc_id long, n_bytes long, media binary, payload binary, seconds double, frames long, bad_checksums long, offsets array<long>, feature string")
+    return map_slices(media.select("doc_id", "n_bytes", "media"), rows, "doc_id long, n_bytes long, media binary, payload binary, samples long, hertz long, frames long, bad_checksums long, offsets array<long>, feature string")
