@@ -79,12 +79,12 @@ def compliance(verdicts: DataFrame) -> DataFrame:
 
 def endpoint(df: DataFrame, fired: str, ended: str, delay: str) -> DataFrame:
     """Delay percentiles of ends that were noticed, shares of false cuts and of missed ends, and the verdict."""
-    f, e = F.col(fired), F.col(ended)
-    hit = F.when(f & e, F.col(delay))
-    scores = df.select(hit.alias("hit"), F.when(~e, f.cast("int")).alias("cut"), F.when(e, (~f).cast("int")).alias("miss")).agg(
-        F.count("*").alias("n"), F.coalesce(nearest_rank("hit", 0.5), F.lit(float("nan"))).alias("p50"), F.coalesce(nearest_rank("hit", 0.9), F.lit(float("nan"))).alias("p90"),
-        F.coalesce(F.avg("cut"), F.lit(0.0)).alias("false_cuts"), F.coalesce(F.avg("miss"), F.lit(0.0)).alias("missed"),
-    )
+    f, e, none = F.col(fired), F.col(ended), F.lit(float("nan"))
+    rows = df.select(F.when(f & e, F.col(delay)).alias("hit"), F.when(~e, f.cast("int")).alias("cut"), F.when(e, (~f).cast("int")).alias("miss"))
+    shares = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("cut"), F.lit(0.0)).alias("false_cuts"), F.coalesce(F.avg("miss"), F.lit(0.0)).alias("missed"))
+    delays = nearest_ranks(rows, [], "hit", {"p50": 0.5, "p90": 0.9}).drop("n")
+    # One row and one row.
+    scores = shares.crossJoin(F.broadcast(delays)).select("n", F.coalesce("p50", none).alias("p50"), F.coalesce("p90", none).alias("p90"), "false_cuts", "missed")
     return scores.withColumn("passed", ~F.isnan("p50") & (F.col("p50") <= ENDPOINT_P50_MS) & (F.col("false_cuts") <= ENDPOINT_FALSE_CUTS))
 
 
@@ -110,7 +110,14 @@ def round_up(value: Column, step: int = 64) -> Column:
 
 def by_clause(runs: DataFrame, words: str, ttfa: str, seconds: str) -> DataFrame:
     """Times to first audio by length of the clause: n, p50, p95 and the median length of the audio."""
-    return runs.groupBy(words).agg(F.count("*").alias("n"), nearest_rank(ttfa, 0.5).alias("p50"), nearest_rank(ttfa, 0.95).alias("p95"), F.median(seconds).alias("audio_s"))
+    rows = runs.select(words, ttfa, F.col(seconds).cast("double").alias("_up"), (-F.col(seconds).cast("double")).alias("_down"))
+    counts = rows.groupBy(words).agg(F.count("*").alias("n"))
+    # The median is the mean of the two middle values: the nearest rank from below and from above.
+    told = [nearest_ranks(rows, [words], ttfa, {"p50": 0.5, "p95": 0.95}), nearest_ranks(rows, [words], "_up", {"_low": 0.5}), nearest_ranks(rows, [words], "_down", {"_high": 0.5})]
+    for part in told:
+        named = part.drop("n").withColumnRenamed(words, "_words")
+        counts = counts.join(named, F.col(words).eqNullSafe(F.col("_words")), "left").drop("_words")
+    return counts.select(words, "n", "p50", "p95", ((F.col("_low") - F.col("_high")) / 2).alias("audio_s"))
 
 
 def longest_within(clauses: DataFrame, budget_ms: float, by: Sequence[str] = ()) -> DataFrame:

@@ -105,10 +105,15 @@ def split_summary(spark: SparkSession, sf: str) -> DataFrame:
     return splits.summary(_orders(spark, sf), ["o_orderstatus"]).withColumn("hours", F.round("hours", 2))
 
 
-@query("SELECT 0 AS leaking")
+@query("""SELECT 'by row' AS split, count(*) AS leaking FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'F') > 0 AND count(*) FILTER (o_orderstatus <> 'F') > 0)
+UNION ALL SELECT 'by speaker', count(*) FROM (SELECT o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders h WHERE h.o_custkey = o.o_custkey AND h.o_orderstatus = 'F')) t JOIN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') e ON t.o_custkey = e.o_custkey""")
 def split_leak_check(spark: SparkSession, sf: str) -> DataFrame:
-    plan = splits.plan_split(_orders(spark, sf), F.col("o_orderstatus") == "F", ["o_orderkey"])
-    return splits.leaks(plan).agg(F.count("*").cast("int").alias("leaking"))
+    """Speakers on both sides of a split by rows, which leaks, and of one by speakers, which does not."""
+    rows, held = _orders(spark, sf), F.col("o_orderstatus") == "F"
+    by_row = splits.leaks(rows.withColumn("split", F.when(held, "eval").otherwise("train")))
+    by_speaker = splits.leaks(splits.plan_split(rows, held, ["o_orderkey"]))
+    count = lambda df, name: df.agg(F.lit(name).alias("split"), F.count("*").alias("leaking"))
+    return count(by_row, "by row").unionByName(count(by_speaker, "by speaker"))
 
 
 _ORDERED = "(SELECT o_orderkey, o_totalprice, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('0|' || o_orderkey), o_orderkey) AS r FROM orders JOIN customer ON o_custkey = c_custkey)"
@@ -225,6 +230,7 @@ def seeded_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source, CAST(ceil(quantile_disc(n_chars, 0.95) / 64.0) * 64 AS BIGINT) AS max_length FROM documents GROUP BY source")
 def choose_max_length(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators import stats
+    from ..operators import ranks, stats
 
-    return table(spark, sf, "documents").groupBy("source").agg(stats.round_up(stats.nearest_rank("n_chars", 0.95)).alias("max_length"))
+    lengths = ranks.nearest_ranks(table(spark, sf, "documents").select("source", "n_chars"), ["source"], "n_chars", {"p95": 0.95})
+    return lengths.select("source", stats.round_up(F.col("p95")).alias("max_length"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds, logs, ranged
+from ..operators import folds, logs, ranged, ranks
 from .base import registry, table
 
 QUERIES, SQL, query = registry()
@@ -27,7 +27,7 @@ _DAYS = "(SELECT user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS turn, ev
 def waterfall_stages(spark: SparkSession, sf: str) -> DataFrame:
     days = _days(spark, sf).withColumn("t", F.col("us") / 1e6)
     w = logs.stage_steps(days.withColumn("t", F.col("us")), "turn", "event_type", "t", _STAGES).withColumn("ms", F.col("ms") / 1e6)
-    return w.groupBy("step").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ms)").alias("p50"))
+    return ranks.nearest_ranks(w.select("step", "ms"), ["step"], "ms", {"p50": 0.5}).select("step", "n", "p50")
 
 
 @query(f"SELECT turn, (max(CASE WHEN event_type = 'purchase' THEN us END) - max(CASE WHEN event_type = 'view' THEN us END)) / 1000.0 AS ms FROM {_DAYS} GROUP BY turn HAVING ms IS NOT NULL")
