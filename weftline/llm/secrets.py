@@ -1,7 +1,8 @@
 """Secret scans with a random forest against false positives, in DataFrame and SQL functions only.
 
 Candidates are runs of at least ``LEAST`` characters of which one is a digit, as keys and tokens have, and, where a text has such
-a cue, whatever is assigned to a name like password or secret, the password in a URL, and heads of private keys. Paths, hashes,
+a cue, whatever is assigned to a name like password or secret or said to be one, the password in a URL, signed tokens as a whole, and
+heads of private keys. Paths, hashes,
 identifiers and numbers are candidates too. What tells them apart is learnt: a random forest on the
 length, the shares of each change of character class, the share covered by dictionary words and by common pairs of letters, the
 place in a path, and the words before and after, trained by Spark ML on labelled findings and written out as nested CASE
@@ -30,6 +31,8 @@ from .common import cut
 from .places import PLACE, apart, found, places_of
 
 LEAST, LABELLED, TREES, DEPTH, ACCEPT = 16, 6000, 24, 8, 0.5
+#: Tasks that make the findings.
+PARTS = 8
 #: Fixed value: the shape of a candidate. A run starts where no character of a run is before it, and is matched
 #: without giving back, so each run is looked at once.
 CANDIDATE = rf"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{{{LEAST},}}+"
@@ -38,6 +41,9 @@ CANDIDATE = rf"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{{{L
 ASSIGNED = r"(?i)(?<=(?:password|passwd|passphrase|pwd|secret|token|api[_-]key|apikey|access[_-]key)[\"']{0,1}[\x20]{0,1}[:=]{1,2}[\x20]{0,1}[\"']{0,1})[^\s\"'`,;:=<>(){}\[\]][^\s\"'`,;<>(){}\[\]]{5,}+"
 IN_URL = r"(?<=://[A-Za-z0-9._-]{1,40}:)[^\s:/@]{4,}+(?=@)"
 PRIVATE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: A signed token of two or three parts, which is one finding; what is said to be a password, if it has a digit or a sign.
+SIGNED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+){1,2}+"
+SPOKEN = r"(?i)(?<=(?:password|passphrase|passcode|pwd)[\x20](?:is|was)[\x20][\"']{0,1})(?=[^\s\"']*[0-9!#$%&*@^~])[^\s\"'`,;<>(){}\[\]]{6,}+"
 CUED = r"(?i)(password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]key)[\"']?\x20?[:=]"
 #: Frequent pairs of letters of English words, what stands for a value in examples.
 PAIRS = "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur".split()
@@ -57,9 +63,12 @@ DICTIONARY = (
 SECRET_CUES = r"(token|secret|passw|pwd|api[_ -]?key|apikey|access[_ -]?key|private|auth|bearer|credential)"
 OTHER_CUES = r"(commit|sha-?[0-9]|md5|checksum|digest|uuid|guid|order|invoice|isbn|version|revision|etag|card|phone|build|serial)"
 
+#: Fixed value: how keys begin that say who has issued them, in letters and a mark.
+ISSUED = r"^([A-Za-z]{2,8}_(live|test|prod|pat|v[0-9])_|(gh[a-z]|glpat|xox[a-z]|npm|pypi|rk|sk|pk|hf|shp[a-z]{2}|dop|sq0[a-z]{3})[_-]|AKIA|ASIA|AIza|eyJ|ya29)"
+
 FEATURES = (
     "length", "lower_upper", "upper_lower", "letter_digit", "digit_letter", "symbols", "pairs", "dictionary", "digits", "distinct", "path", "secret_near", "other_near",
-    "quoted", "hexadecimal", "dashed", "placeholder", "assigned", "closed", "data_after",
+    "quoted", "hexadecimal", "dashed", "placeholder", "assigned", "closed", "data_after", "issued", "humps", "said",
 )
 
 
@@ -88,13 +97,16 @@ def _features() -> str:
         "placeholder": yes(f"lower(x.s) rlike {text(PLACEHOLDERS)}"),
         "assigned": yes(f"{before} rlike {text('(token|secret|passw|pwd|passphrase|key|credential|bearer)[a-z_]*[^a-z0-9]{0,4}$')}"),
         "closed": yes(f"left(x.after, 1) in ('\"', {text(chr(39))})"),
-        "data_after": yes(f"{before} rlike {text('(base64,|sha[0-9]+[:-])$')}"),
+        "data_after": yes(f"{before} rlike {text('(base64,|sha[0-9]+[:-]|integrity=.?)$')} or x.s rlike '^sha[0-9]{{3}}-'"),
+        "issued": yes(f"x.s rlike {text(ISSUED)}"),
+        "humps": "regexp_count(x.s, '[A-Z]?[a-z]{2,}') * 4 / length(x.s)",
+        "said": yes(f"{before} rlike {text('(password|passphrase|passcode|pwd) (is|was) .?$')}"),
     }
     return ", ".join(f"'{k}', cast({v} as double)" for k, v in fields.items())
 
 
 #: name: (pattern, what a text must have for it to be tried)
-SOURCES = {"set": (ASSIGNED, "text rlike '" + CUED.replace("\\", "\\\\").replace("'", "\\'") + "'"), "url": (IN_URL, "instr(text, '://') > 0"), "pem": (PRIVATE, "instr(text, '-----BEGIN') > 0"), "run": (CANDIDATE, r"text rlike '[0-9]'")}
+SOURCES = {"set": (ASSIGNED, "text rlike '" + CUED.replace("\\", "\\\\").replace("'", "\\'") + "'"), "url": (IN_URL, "instr(text, '://') > 0"), "pem": (PRIVATE, "instr(text, '-----BEGIN') > 0"), "signed": (SIGNED, "instr(text, 'eyJ') > 0"), "spoken": (SPOKEN, "text rlike '(?i)(password|passphrase|passcode|pwd) (is|was) '"), "run": (CANDIDATE, r"text rlike '[0-9]'")}
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -117,6 +129,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: str = "fi
     h = F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256)
     b64 = F.translate(F.base64(F.unhex(h)), "=", "")
     mixed = F.translate(b64, "+/", "x9")
+    b64_again = F.translate(F.base64(F.unhex(F.sha2(F.concat(h, F.lit("again")), 256))), "+/=", "")
     number = F.translate(F.substring(h, 1, 20), "abcdef", "123456")
     pick = lambda values, at: F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (F.conv(F.substring(h, at, 4), 16, 10).cast("int") % len(values)) + 1)
     word, other, two = pick(DICTIONARY, 49), pick(DICTIONARY, 53), F.substring(number, 1, 2)
@@ -132,12 +145,18 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: str = "fi
             cat(pick(["key id ", "aws ", "AWS_ACCESS_KEY_ID=", "credentials ", ""], 33), "AKIA", F.upper(F.translate(F.substring(mixed, 1, 16), "abc", "XQ7"))), cat(pick(["use ", "token ", "export GH=", "with ", ""], 33), "ghp_", F.substring(mixed, 1, 34), "4z"),
             cat("Authorization: Bearer 9", b64), carried(cat(F.substring(mixed, 1, 5), pick(["!", "#", "%", "&", "$"], 33), F.substring(mixed, 9, 4), two)), cat("postgres://", word, ":", F.substring(mixed, 1, 12), "@db.", other, ".net/x"), cat("-----BEGIN RSA PRIVATE KEY-----"),
             cat(pick(["", "paste ", "my key is ", "it says "], 33), "rk_", pick(["live", "prod"], 29), "_", F.substring(mixed, 1, 28), "6"),
+            cat(pick(["", "use ", "git clone with ", "export T="], 33), pick(["ghp_", "gho_", "ghs_"], 29), F.substring(mixed, 5, 18), F.substring(b64_again, 2, 18)),
+            cat(pick(["Authorization: Bearer ", "jwt ", "", "cookie session="], 33), "eyJ", F.substring(mixed, 1, 20), ".eyJ", F.substring(mixed, 9, 24), ".", F.substring(mixed, 2, 40)),
+            cat(pick(["my password is ", "the passphrase was ", "her password is '", "pwd is "], 33), word, pick(["!", "#", "", "$", "@"], 29), two, pick(["", "'", "!"], 25)),
         ]
         plain = [
             aside(F.substring(h, 1, 40), "commit ", "merge ", "at revision ", "see ", "parent "), aside(uuid, "uuid ", "id ", "request ", "session id: ", "order token id ", "trace="), cat(pick(["see ", "in ", "at ", "from "], 33), "/usr/share/", word, "/", other, two, "/index.html"),
             cat("calls test_", word, "_", other, "_handler_v", two), aside(F.substring(number, 1, 18), "of ", "account ", "tracking ", "order "), aside(h, "sha256: ", "sha256:", "checksum ", "digest: "), cat("the token file is /etc/", word, "/", other, "_token_", two, ".json"),
             aside(F.substring(h, 1, 32), "md5 ", "ETag: ", "hash of the file ", "cache/"), cat(name, open_, pick(["changeme", "your_password_1", "example-token-1234", "required", "optional", "${SECRET_VALUE}", "xxxxxxxxxxxx", "string or none"], 33), close), cat("data:image/png;base64,", b64),
             cat(word, F.initcap(other), F.initcap(word), two, "Configuration"), cat("version ", two, "-", word, "-", other, "-20240101"), cat(name, " = get_", word, "_", other, "(", two, ")"),
+            cat(pick(['integrity="', "integrity='", "integrity: "], 33), pick(["sha256-", "sha384-", "sha512-"], 29), b64, F.substring(mixed, 1, 20), pick(['"', "'", "=="], 25)),
+            cat(pick(["get", "set", "load", "is", "handle"], 33), F.initcap(word), F.initcap(other), pick(["Settings", "Account", "2", "V2", ""], 29), two, pick(["From", "To", "By", "With"], 25), F.initcap(word), pick(["()", "", ".java", "Test"], 21)),
+            cat(pick(["my password is ", "the password was "], 33), pick(["required", "changed 2 times", "too short", "on the note", "not stored"], 29)),
         ]
     else:
         secret = [
@@ -154,7 +173,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: str = "fi
         hit = F.col("id") % len(kinds) == i
         text, label = F.when(hit, made).otherwise(text), F.when(hit, F.lit(y)).otherwise(label)
     lead, trail = pick(["", "and ", "then we have ", "# ", "note: ", "  "], 25), pick(["", " then ", "\n", " # ok", ", ", " and more of the "], 21)
-    return spark.range(0, rows, 1, 1).select(F.concat(word, F.lit(" "), lead, text, trail, other).alias("text"), label.alias("secret"))
+    return spark.range(0, rows, 1, PARTS).select(F.concat(word, F.lit(" "), lead, text, trail, other).alias("text"), label.alias("secret"))
 
 
 def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 11):
