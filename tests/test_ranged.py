@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.operators import budgets, folds, ranged
+from weftline.operators import assemble, budgets, folds, ranged
 
 MACHINES = {
     "gate": (ranged.speech_gate, lambda rng: (rng.choice([0.9, 0.9, 0.1, None]),)),
@@ -107,3 +107,11 @@ def test_shares_of_a_budget(spark):
         budgets.shared_out(table, "seconds", 1.0, {"kathbath": 0.3}, "corpus", 0, ["id"])
     with pytest.raises(ValueError, match="no share"):
         budgets.shared_out(table, "seconds", 1.0, {"kathbath": 1.0}, "corpus", 0, ["id"])
+
+
+@pytest.mark.parametrize(("size", "block"), [(1, 1), (3, 3), (4, 7), (5, 100)])
+def test_windows_reach_across_blocks(spark, size, block):
+    rows = [(k, i, i * 10) for k, n in (("hot", 61), ("b", 4), (None, 8)) for i in range(n)]
+    got = assemble.windows_ahead(spark.createDataFrame(rows, "k string, i int, v int").repartition(3), ["k"], ["i"], "v", size, block)
+    want = [(k, i, [v + 10 * j for j in range(size)]) for k, i, v in rows if i + size <= {"hot": 61, "b": 4, None: 8}[k]]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import numbered
+
 
 def joined_calls(deltas: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Calls from fragments (index, name, arguments): arguments are joined in order, the first name counts; calls
@@ -56,3 +58,18 @@ def recent(events: DataFrame, keys: Sequence[str], at: str, seconds: float, valu
 def hard_negatives(scored: DataFrame, score: str, positive: str, least: float = 0.5, weight: float = 8.0) -> DataFrame:
     """scored with a weight: negatives that were taken for positives weigh more."""
     return scored.withColumn("weight", F.when(~F.col(positive) & (F.col(score) >= least), F.lit(weight)).otherwise(F.lit(1.0)))
+
+
+def windows_ahead(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, size: int, block: int = 10_000) -> DataFrame:
+    """keys, order and window: the values of each row and the next ones, size in all; rows with fewer behind them are left out.
+
+    A key of any length is cut into blocks of rows, and a block gets the first rows of the next one as well, so that every window
+    is whole in a block and no task holds a key."""
+    if not 0 < size <= block:
+        raise ValueError("a window is at most a block long")
+    placed = numbered(df.select(*dict.fromkeys([*keys, *order, value])), keys, order, "_n")
+    own = F.floor(F.col("_n") / block)
+    both = F.when((F.col("_n") % block < size - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    ahead = Window.partitionBy(*keys, "_block").orderBy("_n").rowsBetween(0, size - 1)
+    found = placed.withColumn("_own", own).withColumn("_block", F.explode(both)).withColumn("window", F.collect_list(value).over(ahead))
+    return found.filter((F.col("_own") == F.col("_block")) & (F.size("window") == size)).select(*keys, *order, "window")

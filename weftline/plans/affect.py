@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays as ar
-from ..operators import folds, ranged, rolling
+from ..operators import assemble, folds, ranged, rolling
 from .base import registry, table
 
 QUERIES, SQL, query = registry()
@@ -110,6 +110,14 @@ def sliding_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", F.size("window").alias("n"), F.round(total, 3).alias("total"))
 
 
+@query("""SELECT vec_id, CAST(n AS INT) AS n, round(s, 3) AS total FROM (SELECT vec_id, count(*) OVER w AS n, sum(e) OVER w AS s FROM (SELECT vec_id, list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS e FROM embeddings) WINDOW w AS (ORDER BY vec_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE n = 4""")
+def sliding_vectors_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors as one sequence, in blocks that reach into each other."""
+    rows = assemble.windows_ahead(table(spark, sf, "embeddings"), [], ["vec_id"], "embedding", 4, 100)
+    total = F.aggregate(F.flatten("window"), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("vec_id", F.size("window").alias("n"), F.round(total, 3).alias("total"))
+
+
 @query("""SELECT vec_id, CAST(10 AS INT) AS cut, CAST(200 AS INT) AS grown, round(list_sum(list_transform(embedding[CAST(floor((len(embedding) - 10) / 2) AS INT) + 1 : CAST(floor((len(embedding) - 10) / 2) AS INT) + 10], lambda v: CAST(v AS DOUBLE))), 4) AS total FROM embeddings""")
 def fit_clip(spark: SparkSession, sf: str) -> DataFrame:
     cut, grown = ar.fit_clip(F.col("embedding"), 10), ar.fit_clip(F.col("embedding"), 200)

@@ -14,10 +14,13 @@ from .base import registry, table
 QUERIES, SQL, query = registry()
 
 
-def _told(spark: SparkSession, sf: str, corpus: str, folder: str, *columns: str) -> DataFrame:
-    """lang, kind, roles, said and calls of every record that a corpus's reader makes of rows with the columns given."""
-    root = shared_path(spark, "corpus")
-    table(spark, sf, "documents").selectExpr(*columns).write.json(f"{root}/written")
+def _told(spark: SparkSession, sf: str, corpus: str, folder: str, *columns: str, together: str | None = None) -> DataFrame:
+    """lang, kind, roles, said and calls of every record that a corpus's reader makes of rows with the columns given. Rows of one
+    value of together are in one file, in the order of doc_id."""
+    root, docs = shared_path(spark, "corpus"), table(spark, sf, "documents")
+    if together is not None:
+        docs = docs.repartition(4, F.expr(together)).sortWithinPartitions("doc_id")
+    docs.selectExpr(*columns).write.json(f"{root}/written")
     named_parts(spark, f"{root}/written", f"{root}/{folder}", "train-{}.jsonl")
     made = records.READERS[corpus](spark, root)
     calls = F.flatten(F.transform("messages", lambda m: F.coalesce(F.transform(m["tool_calls"], lambda c: F.concat(c["id"], F.lit("="), c["name"], c["arguments"])), F.array().cast("array<string>"))))
@@ -130,3 +133,11 @@ _NAMED = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(("anger", "JOY",
        f"LEFT JOIN (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in lb.ALIASES.items())}) AS a(k, v) ON key = a.k) LEFT JOIN (VALUES {', '.join(f'({k!r})' for k in lb.CIRCUMPLEX)}) AS c(name) USING (name)")
 def canonical_labels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", lb.canonical(F.expr(f"case doc_id % 5 {_NAMED} end")).alias("label"))
+
+
+@query("""SELECT 'hinglish' AS lang, 'chat' AS kind, 'user,assistant' AS roles, CASE WHEN n.doc_id IS NOT NULL THEN 'say ' || n.doc_id || '|say ' || d.doc_id ELSE 'say ' || d.doc_id || '|say ' || (d.doc_id - 1) END AS said, '' AS calls
+FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1 WHERE d.doc_id % 3 = 1""")
+def read_film_dialogues(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rows a conversation, their times against their order."""
+    said = "named_struct('en', source, 'hi_en', concat('say ', doc_id)) as translation"
+    return _told(spark, sf, "cmu-hinglish-dog", "data", "concat('d', doc_id div 3) as date", "'u' as user2_id", "if(doc_id % 3 = 1, 'b', 'a') as uid", "cast(9 - doc_id % 3 as string) as utcTimestamp", said, together="doc_id div 3")
