@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from . import affect, assembly, corpora, dialogue, evaluation, events, extensions, files, machines, readers
+    from . import affect, assembly, checks, corpora, dialogue, evaluation, events, extensions, files, machines, readers
 
-    return [corpora, dialogue, evaluation, events, affect, assembly, extensions, readers, machines, files]
+    return [corpora, dialogue, evaluation, events, affect, assembly, extensions, readers, machines, files, checks]
 
 
 def queries() -> dict[str, Query]:
