@@ -63,3 +63,30 @@ def test_stages_keep_the_columns_and_survive_empty_tables(spark, tmp_path):
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == empty.columns and out.count() == 0
     assert pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Null and repeated ids, equal rows, ties, a very long text, extra columns under names that the stages use themselves."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("aeioutrnsl") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    shared, long = prose(80), prose(60_000)
+    texts = [None, "", "tiny", shared, shared, shared + " end", long, *[prose(60) for _ in range(12)]]
+    ids = [None, None, 3, 4, 4, 5, 6, 7, 7, None, None, *range(20, 28)]
+    rows = [(i, t, "en", None if j % 3 == 0 else f"s{j % 2}", 0, "mine", j, b"k", 0.5) for j, (i, t) in enumerate(zip(ids, texts))]
+    rows.append(rows[4])
+    shape = "doc_id long, text string, lang string, source string, n_chars long, row_key string, mix_copy int, k binary, score double"
+    spark.createDataFrame([(20, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, shape)
+    for name, stage in pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        assert out.columns == docs.columns, name
+        docs = out
+        if name == "quality rules":
+            assert sorted(r["text"] for r in docs.collect()) == sorted([t for t in texts if t and len(t) > 10] + [shared])
+        if name == "near duplicates":
+            kept = [(r["doc_id"], r["text"]) for r in docs.collect()]
+            assert len(kept) == 14 and (4, shared) in kept and (6, long) in kept and sum(i is None for i, _ in kept) == 2
+    copies = docs.count()
+    last = pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(last) == copies > 0 and all(r["round_trip"] for r in last)
