@@ -14,6 +14,10 @@ from pyspark.sql.window import Window
 from ..sources.shared import cut
 
 
+#: Rows of a report (a table counted by its values) up to which one window does.
+FEW = 100_000
+
+
 def total_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
     """df with ``out``: the sum of value over the rows of the same group (columns by) that come before, in the order of
     columns that tell its rows apart."""
@@ -32,16 +36,26 @@ def total_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     return summed.join(offsets, same).select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(out))
 
 
+def counted_before(counts: DataFrame, by: Sequence[str], order: Sequence[str], n: str, out: str, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """A table counted by its values, computed once, and the same with ``out``: total_before of the column n. A table of at most
+    ``few`` rows in all is summed up in plain windows."""
+    kept = cut(counts)
+    if kept.count() > few:
+        return kept, total_before(kept, by, order, F.col(n), out)
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return kept, kept.withColumn(out, F.coalesce(F.sum(F.col(n).cast("long")).over(before), F.lit(0).cast("long")))
+
+
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """df with ``out``: 0, 1, ... in the order of columns that tell the rows of a group apart."""
     return total_before(df, by, order, F.lit(1), out)
 
 
-def nearest_ranks(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+def nearest_ranks(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float], few: int = FEW) -> DataFrame:
     """For each group the values at rank ceil(q n) of its sorted values that are not null, under the names wanted, and n.
     Equal values are counted first, so a group may have any number of rows and of values."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    placed = total_before(counts, by, [value], F.col("_n"), "_before")
+    counts, placed = counted_before(counts, by, [value], "_n", "_before", few)
     totals = counts.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.sum("_n").alias("n"))
     same = F.lit(True)
     for c in by:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import nearest_ranks, total_before
+from .ranks import counted_before, nearest_ranks
 
 #: Gates.
 AUC_GATE, AUC_LEAST, TAG_GATE, FLAT = 0.80, 6, 0.98, 0.8
@@ -34,7 +34,7 @@ def auc(df: DataFrame, score: str, positive: str, by: Sequence[str] = (), least:
     Rows are first counted by distinct score, and scores are ranked by ranges of them, so that neither the rows nor
     the scores of a group meet in one task."""
     counts = df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("int")).alias("p"))
-    ranked = total_before(counts, by, [score], F.col("n"), "before").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
+    ranked = counted_before(counts, by, [score], "n", "before")[1].withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
     total = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("n_pos"), F.sum(F.col("rank") * F.col("p")).alias("r"))
     neg = F.col("n") - F.col("n_pos")
     area = (F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / F.nullif(F.col("n_pos") * neg, F.lit(0))
