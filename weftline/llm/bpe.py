@@ -37,7 +37,7 @@ LEAF, SEAM = 2, 2
 TWIG, TWIGS = 8, 1 << 16
 #: Bytes from which windows are merged with a heap; length up to which pieces are remembered,
 #: and how many in each of two generations.
-LONG, SHORT, REMEMBERED = 96, 32, 80_000
+LONG, SHORT, REMEMBERED = 96, 32, 160_000
 
 
 class Pieces(dict):
