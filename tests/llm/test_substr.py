@@ -174,3 +174,21 @@ def test_codes_tell_words_apart():
         assert len(pairs) == len(set(words)) == len({code for _, code in pairs})
     many = np.frombuffer(b"ab c " * (substr.WORDS_AT_ONCE + 3), np.uint8)
     assert len(set(substr._codes(many, *substr._edges(many), 0).tolist())) == 2
+
+
+def test_the_query_goes_through_compaction_before_its_last_batch(spark, tmp_path, monkeypatch):
+    docs, steps, append, compact = corpus(6), [], substr.FingerprintIndex.append, substr.Level.compact
+
+    def compacting(level):
+        before = set(level.runs)
+        compact(level)
+        steps.append("compacted" if not before & set(level.runs) else "added")
+
+    monkeypatch.setattr(substr.Level, "compact", compacting)
+    monkeypatch.setattr(substr.FingerprintIndex, "append", lambda index, batch: steps.append("batch") or append(index, batch))
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    words, kept = brute(docs)
+    got = {r["doc_id"]: r["kept_sha256"] for r in queries.op5_fingerprint_index(spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.sha256(" ".join(kept[k]).encode()).hexdigest() for k in docs}
+    last = len(steps) - 1 - steps[::-1].index("batch")
+    assert steps[:last].count("compacted") == 2 and steps.count("batch") > 2

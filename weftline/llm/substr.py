@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, SMALL, cut, drop_path, map_slices, release, shared_path, utf8
 
-WIDTH, GRAM, MAX_RUNS, BATCHES = 20, 8, 2, 2
+#: With more batches than runs a level, the last batch meets runs that have been compacted.
+WIDTH, GRAM, MAX_RUNS, BATCHES = 20, 8, 2, 4
 
 _rng = np.random.default_rng(20)
 _ODD = [np.uint64(int(x) * 2 + 1) for x in _rng.integers(1, 2**63, GRAM + 2 * WIDTH)]
