@@ -183,3 +183,20 @@ def test_large_groups_and_odd_rows(spark):
     got = sorted((tuple(r) for r in simhash.keep_one_similar(docs, bucket=32).collect()), key=str)
     assert got == want
     assert simhash.keep_one_similar(docs.limit(0)).count() == 0
+
+
+def test_members_that_their_leader_does_not_verify_meet_each_other(spark, monkeypatch):
+    """A chain of texts, each similar to the next one only, in one bucket: no leader is similar to more than two of them."""
+    monkeypatch.setattr(simhash, "bands_of", lambda hashes: np.zeros(1, np.uint64))
+    rng, texts, words = random.Random(13), [], [f"w{i}" for i in range(120)]
+    for i in range(30):
+        words = words[2:] + [f"x{i}a", f"x{i}b"] if i % 10 else [f"{i}w{j}" for j in range(120)]
+        texts.append(" ".join(words))
+        words = words[5:] + [f"y{i}{j}" for j in range(5)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(set(brute_similar(texts)))
+    assert len(want) == 3
+    for bucket in (4096, 8):
+        assert sorted(r["doc_id"] for r in simhash.keep_one_similar(docs, bits=31, bucket=bucket).collect()) == want

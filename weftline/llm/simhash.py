@@ -326,7 +326,8 @@ def leaders(bucket: np.ndarray, fps: np.ndarray, bits: int = SIMILAR_BITS) -> np
 
 
 def _led(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, k) from rows (k, part, node, fp) sorted by these: each member with its leader; leaders with themselves."""
+    """(a, b, k, fp, more) from rows (k, part, node, fp) sorted by these: each member with its leader; leaders with themselves. more:
+    the part has pairs of members that neither leads."""
     rest: list[np.ndarray] | None = None
 
     def found(columns: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
@@ -336,10 +337,11 @@ def _led(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
         bucket = np.zeros(end, np.int64)
         bucket[new[new < end]] = 1
         bucket = np.cumsum(bucket)
-        many = np.bincount(bucket)[bucket] > 1 if end else np.zeros(0, bool)
+        members = np.bincount(bucket)[bucket] if end else np.zeros(0, np.int64)
+        many = members > 1
         own = np.arange(end)
         own[many] = np.flatnonzero(many)[leaders(bucket[many], fp[many].view(np.uint64), bits)]
-        made = pa.RecordBatch.from_arrays([pa.array(x) for x in (node, node[own], k, fp)], names=["a", "b", "k", "fp"])
+        made = pa.RecordBatch.from_arrays([pa.array(x) for x in (node, node[own], k, fp, members > 2)], names=["a", "b", "k", "fp", "more"])
         return made, [c[end:] for c in columns]
 
     for batch in batches:
@@ -352,26 +354,106 @@ def _led(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
         yield found(rest, True)[0]
 
 
-def candidates(dealt: DataFrame, bucket: int = BUCKET, bits: int = SIMILAR_BITS) -> DataFrame:
+def candidates(dealt: DataFrame, bucket: int = BUCKET, bits: int = SIMILAR_BITS) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a, b) of nodes: members of a bucket with their leader. dealt: k, node, fp. A bucket of more than
-    ``bucket`` members is led in parts, and the leaders of the parts once more, until a part holds them."""
+    ``bucket`` members is led in parts, and the leaders of the parts once more, until a part holds them. Also (k, node, fp) of
+    the buckets in which other pairs are left, for ``remaining``."""
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found, rows = [], dealt
+    found, rows, left = [], dealt, None
     while True:
         large = small(rows.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > bucket))
         part = F.pmod(F.xxhash64("node", F.lit(len(found))), F.coalesce(F.ceil(F.col("n") / bucket), F.lit(1))).cast("int").alias("part")
         keyed = rows.join(large, "k", "left").select("k", part, "node", "fp")
-        led = cut(keyed.repartition(parts, "k", "part").sortWithinPartitions("k", "part", "node").mapInArrow(partial(_led, bits=bits), "a long, b long, k long, fp long"))
+        led = cut(keyed.repartition(parts, "k", "part").sortWithinPartitions("k", "part", "node").mapInArrow(partial(_led, bits=bits), "a long, b long, k long, fp long, more boolean"))
+        if left is None:
+            left = led.filter("more").select("k", F.col("a").alias("node"), "fp").union(led.filter("not more").join(large.select("k"), "k").select("k", F.col("a").alias("node"), "fp"))
         found.append(led.filter("a <> b").select("a", "b"))
         if large.isEmpty():
             break
         rows, before = cut(led.filter("a = b").join(large.select("k"), "k").select("k", F.col("a").alias("node"), "fp")), rows.join(large.select("k"), "k", "left_semi")
         if rows.count() == before.count():
-            break  # all lead themselves: nothing more is near
+            break  # all lead themselves: what else is near is left to the remaining pairs
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out.distinct(), left
+
+
+def _pairs_left(batches: Iterator[pa.RecordBatch], bits: int, least: float | None) -> Iterator[pa.RecordBatch]:
+    """From rows (k, block, mine, node, fp, root and, if least is given, sketch) sorted by k, block and node: without least, (k, node) of the
+    members that are within bits of one of another root; with least, (a, b) that join roots by pairs that are similar, too. A block of two parts has its pairs across them
+    only. A task holds one block, and a pair whose roots have been joined meanwhile is passed over."""
+    rest: list[pa.RecordBatch] = []
+
+    def near(mine: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        across, step = len(np.unique(mine)) > 1, max(1, (1 << 20) // len(fp))
+        for at in range(0, len(fp) - 1, step):
+            rows = np.arange(at, min(len(fp), at + step))
+            r, c = np.nonzero((rows[:, None] < np.arange(len(fp))[None, :]) & (root[rows][:, None] != root[None, :]) & (not across or mine[rows][:, None] != mine[None, :]))
+            hit = within(fp[rows[r]] ^ fp[c], bits)
+            yield rows[r[hit]], c[hit]
+
+    def of_block(block: pa.Table) -> pa.RecordBatch:
+        mine, node, fp, root = (block.column(c).to_numpy() for c in ("mine", "node", "fp", "root"))
+        pairs = near(mine, fp.view(np.uint64), root) if len(fp) > 1 and (root != root[0]).any() else iter(())
+        if least is None:
+            open_ = np.zeros(len(node), bool)
+            for x, y in pairs:
+                open_[x] = open_[y] = True
+            return pa.RecordBatch.from_arrays([pa.array(block.column("k").to_numpy()[open_]), pa.array(node[open_])], names=["k", "node"])
+        sets, joined, made = [np.frombuffer(x, np.uint32) for x in block.column("sketch").to_pylist()], {}, []
+
+        def find(v: int) -> int:
+            while (p := joined.get(v, v)) != v:
+                joined[v] = v = joined.get(p, p)
+            return v
+
+        for x, y in pairs:
+            for i, j in zip(x.tolist(), y.tolist()):
+                u, v = find(int(root[i])), find(int(root[j]))
+                if u != v and similar(sets[i], sets[j], least):
+                    joined[max(u, v)] = min(u, v)
+                    made.append((int(node[i]), int(node[j])))
+        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def blocks(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        k, block = table.column("k").to_numpy(), table.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), *([len(k)] if last else [])]
+        for i, j in zip(edges, edges[1:]):
+            yield of_block(table.slice(i, j - i))
+        rest[:] = table.slice(edges[-1]).to_batches()
+
+    for batch in batches:
+        if batch.num_rows:
+            yield from blocks(pa.Table.from_batches([*rest, batch]).combine_chunks(), False)
+    if rest:
+        yield from blocks(pa.Table.from_batches(rest).combine_chunks(), True)
+
+
+def _in_blocks(rows: DataFrame, bucket: int) -> DataFrame:
+    """rows (k, ...) under block and mine: a bucket of more than ``bucket`` rows is cut into parts, and every two parts (and each by itself) make a
+    block of a task, so that all its pairs meet in bounded memory."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = small(rows.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("k", F.ceil(F.col("n") * 2 / bucket).cast("int").alias("parts")))
+    dealt = rows.join(large, "k", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: F.least(F.col("mine"), c).cast("long") * F.col("parts") + F.greatest(F.col("mine"), c))
+    return dealt.withColumn("block", F.explode(both)).drop("parts").repartition(parts, "k", "block").sortWithinPartitions("k", "block", "node")
+
+
+def remaining(left: DataFrame, member: DataFrame, sketches: DataFrame, least: float = SIMILARITY, bucket: int = BUCKET, bits: int = SIMILAR_BITS) -> DataFrame:
+    """(a, b) that join what the pairs of members and leaders have left apart: all pairs of a bucket of left (k, node, fp) that are within bits,
+    in different components (member: at, root) and similar are joined, directly or through others. Most members of a bucket
+    are similar to their leader, so few are left; sketches (node, sketch) go to these only."""
+    rooted = left.join(member, F.col("node") == F.col("at"), "left").select("k", "node", "fp", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("k").agg(F.min("root").alias("m"), F.max("root").alias("n")).filter("m <> n").select("k")
+    rooted = cut(rooted.join(several, "k", "left_semi"))
+    met = _in_blocks(rooted, bucket).select("k", "block", "mine", "node", "fp", "root").mapInArrow(partial(_pairs_left, bits=bits, least=None), "k long, node long")
+    met = cut(met.distinct())
+    told = met.select("node").distinct().join(sketches, "node").dropDuplicates(["node"])
+    open_ = _in_blocks(rooted.join(met, ["k", "node"], "left_semi"), bucket).join(told.select("node", "sketch"), "node")
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = open_.repartition(parts, "k", "block").sortWithinPartitions("k", "block", "node").select("k", "block", "mine", "node", "fp", "root", "sketch")
+    return sent.mapInArrow(partial(_pairs_left, bits=bits, least=least), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -422,9 +504,14 @@ def keep_one_similar(docs: DataFrame, words: int = SIMILAR_WORDS, least: float =
     marked = cut(map_slices(keyed.select("doc_id", "text", key), rows, "doc_id long, k binary, node long, fp long, bands array<long>, sketch binary"))
     nodes = marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first"))
     told = marked.filter("fp is not null")
-    pairs = cut(candidates(told.select(F.explode("bands").alias("k"), "node", "fp").distinct(), bucket, bits))
+    pairs, left = candidates(told.select(F.explode("bands").alias("k"), "node", "fp").distinct(), bucket, bits)
+    pairs = cut(pairs)
     paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sketches = cut(told.select("node", "sketch").join(paired, "node", "left_semi").dropDuplicates(["node"]))
-    member = cut(components(_verified(pairs, sketches, least)).withColumnRenamed("node", "at"))
+    led = cut(_verified(pairs, sketches, least))
+    member = cut(components(led).withColumnRenamed("node", "at"))
+    more = cut(remaining(left, member, told.select("node", "sketch"), least, bucket, bits))
+    if not more.isEmpty():
+        member = cut(components(led.unionByName(more)).withColumnRenamed("node", "at"))
     kept = nodes.join(member, F.col("node") == F.col("at"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return keyed.join(kept.select(F.col("first.k").alias(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
