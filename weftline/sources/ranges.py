@@ -6,7 +6,8 @@ archive or a file is held in memory by its next piece only:
 
 * ``weftline_lines``: path, offset and value of every line; a line belongs to the range in which it begins;
 * ``weftline_members``: path (archive::member) and name of the members of tar archives, gzipped or not;
-* ``weftline_digests``: path, name, bytes and SHA-256 of files.
+* ``weftline_digests``: path, name, bytes and SHA-256 of files, or of the files of a folder one behind the other. A SHA-256 has no way to begin in the
+  middle, so one task reads all of it, in pieces.
 
 Paths are what ``pyarrow.fs`` opens, on the driver and in the tasks alike: local folders that all machines share, hdfs, s3, gs
 and the like. Options: ``path`` (a file or folder, looked through to any depth), ``suffixes`` (comma-separated), ``range_bytes``,
@@ -185,12 +186,27 @@ class _MemberReader(_Reader):
 
 
 class _DigestReader(_Reader):
+    def __init__(self, options: dict[str, str]) -> None:
+        super().__init__(options)
+        self.folders = options.get("folders", "false") == "true"
+
+    def partitions(self) -> list[Part]:
+        if not self.folders:
+            return super().partitions()
+        sizes: dict[str, int] = {}
+        for path, size in files(self.options["path"], self.suffixes):
+            folder = path.rsplit("/", 1)[0]
+            sizes[folder] = sizes.get(folder, 0) + size
+        return [Part(folder, 0, size) for folder, size in sizes.items()]
+
     def batches(self, part: Part) -> Iterator[pa.RecordBatch]:
         whole, size = hashlib.sha256(), 0
-        with opened(part.path) as file:
-            while got := file.read(PIECE):
-                whole.update(got)
-                size += len(got)
+        inside = [path for path, _ in files(part.path, self.suffixes) if path.rsplit("/", 1)[0] == part.path] if self.folders else [part.path]
+        for path in inside:
+            with opened(path) as file:
+                while got := file.read(PIECE):
+                    whole.update(got)
+                    size += len(got)
         name = part.path.rsplit("/", 1)[-1]
         yield pa.RecordBatch.from_pydict({"path": [part.path], "name": [name], "bytes": [size], "sha256": [whole.hexdigest()]})
 
@@ -281,3 +297,9 @@ def member_names(spark: SparkSession, path: str, suffixes: Sequence[str] = (".ta
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, name, bytes and SHA-256 of the files at or below path."""
     return load(spark, DigestSource, path)
+
+
+def folder_digests(spark: SparkSession, path: str, suffixes: Sequence[str] = ()) -> DataFrame:
+    """path, name, bytes and SHA-256 of every folder at or below path that holds files: of these files, in order of their names, one behind
+    the other, as of a table that Spark has written in parts."""
+    return load(spark, DigestSource, path, suffixes=",".join(suffixes), folders="true")
