@@ -19,7 +19,7 @@ def _told(spark: SparkSession, sf: str, corpus: str, folder: str, *columns: str,
     value of together are in one file, in the order of doc_id."""
     root, docs = shared_path(spark, "corpus"), table(spark, sf, "documents")
     if together is not None:
-        docs = docs.repartition(4, F.expr(together)).sortWithinPartitions("doc_id")
+        docs = docs.repartition(max(4, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.expr(together)).sortWithinPartitions("doc_id")
     docs.selectExpr(*columns).write.json(f"{root}/written")
     named_parts(spark, f"{root}/written", f"{root}/{folder}", "train-{}.jsonl")
     made = records.READERS[corpus](spark, root)

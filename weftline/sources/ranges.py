@@ -262,7 +262,7 @@ def line_index(spark: SparkSession, path: str, suffixes: Sequence[str] = (), eve
     """path, offset (of the first line that begins in it), lines and before of every range of ``every`` bytes that has lines that are
     not blank: a sparse index, one row a range, of lines in the order of path and offset. before counts the lines of all
     ranges ahead of it. Written as a table, it serves any number of readers."""
-    rows = read_lines(spark, path, suffixes, every, blank="false")
+    rows = read_lines(spark, path, suffixes, max(every, RANGE_BYTES // 4), blank="false")  # a task reads many ranges of the index
     ranges = rows.groupBy("path", F.floor(F.col("offset") / every).alias("_range")).agg(F.min("offset").alias("offset"), F.count("*").alias("lines"))
     # One row a range: a running count over files and, inside a file, over its ranges.
     totals = ranges.groupBy("path").agg(F.sum("lines").alias("_lines"))
