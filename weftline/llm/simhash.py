@@ -389,9 +389,13 @@ def _pairs_left(batches: Iterator[pa.RecordBatch], bits: int, least: float | Non
         across, step = len(np.unique(mine)) > 1, max(1, (1 << 20) // len(fp))
         for at in range(0, len(fp) - 1, step):
             rows = np.arange(at, min(len(fp), at + step))
-            r, c = np.nonzero((rows[:, None] < np.arange(len(fp))[None, :]) & (root[rows][:, None] != root[None, :]) & (not across or mine[rows][:, None] != mine[None, :]))
-            hit = within(fp[rows[r]] ^ fp[c], bits)
-            yield rows[r[hit]], c[hit]
+            # The full distance at once: over whole blocks it costs less than the chain, with the same pairs.
+            close = np.bitwise_count(fp[rows][:, None] ^ fp[None, :]) <= bits
+            close &= (rows[:, None] < np.arange(len(fp))[None, :]) & (root[rows][:, None] != root[None, :])
+            if across:
+                close &= mine[rows][:, None] != mine[None, :]
+            x, y = np.nonzero(close)
+            yield rows[x], y
 
     def of_block(block: pa.Table) -> pa.RecordBatch:
         mine, node, fp, root = (block.column(c).to_numpy() for c in ("mine", "node", "fp", "root"))
@@ -408,8 +412,11 @@ def _pairs_left(batches: Iterator[pa.RecordBatch], bits: int, least: float | Non
                 joined[v] = v = joined.get(p, p)
             return v
 
+        sizes = np.array([len(x) for x in sets])
         for x, y in pairs:
-            for i, j in zip(x.tolist(), y.tolist()):
+            less, more = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+            fits = (more >= SKETCH) | (less / np.maximum(more, 1) >= least)  # of whole sets, the sizes bound the similarity
+            for i, j in zip(x[fits].tolist(), y[fits].tolist()):
                 u, v = find(int(root[i])), find(int(root[j]))
                 if u != v and similar(sets[i], sets[j], least):
                     joined[max(u, v)] = min(u, v)
