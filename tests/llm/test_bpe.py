@@ -86,3 +86,12 @@ def test_empty_tables_ties_and_clashing_columns(spark):
     got = bpe.tokenise(docs).collect()
     assert sorted(str((r["doc_id"], bytes(r["decoded"]))) for r in got) == sorted(str(x) for x in [(1, b"x y"), (1, b"x y"), (None, b"")])
     assert bpe.encode(docs.limit(0)).count() == bpe.tokenise(docs.limit(0)).count() == 0
+
+
+def test_windows_of_two_tokens_are_merged_once():
+    """Pieces of the same neighbours: what two of them give is merged once, however many joins meet them."""
+    ours, merge, merged = bpe.Bpe(PATH, public.PATTERN), bpe.Bpe.merge, []
+    ours.merge = lambda data: merged.append(bytes(data)) or merge(ours, data)
+    words = [f"{a}{b}{c}".encode() for a in ("keitpf", "ungste", "mentea") for b in ("schau", "llrro", "ciónñ") for c in ("lichöß", "ngande", "fonath")]
+    assert all(ours.tree(w) == merge(ours, w) for w in words)
+    assert len(merged) < 1.2 * len(set(merged))

@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 
 from .common import map_slices, utf8
 
-#: Bytes of a leaf of the tree, which one look-up encodes; tokens on each side of a seam in the first window.
+#: Bytes of a leaf of the tree, which one look-up encodes; tokens on each side of a seam in the first window that
+#: is not remembered (the window before has one on each side).
 LEAF, SEAM = 2, 2
-#: Bytes up to which subtrees are remembered, and how many of them.
-TWIG, TWIGS = 8, 1 << 16
+#: Bytes up to which subtrees are remembered, and how many of them; how many windows of two tokens.
+TWIG, TWIGS, MET = 6, 1 << 15, 1 << 16
 #: Bytes from which windows are merged with a heap; length up to which pieces are remembered,
 #: and how many in each of two generations.
 LONG, SHORT, REMEMBERED = 96, 32, 80_000
@@ -74,7 +75,7 @@ class Bpe:
         self.pieces = regex.compile(pattern).findall
         self.packed = {token: struct.pack("<I", rank) for token, rank in self.ranks.items()}
         self.known = Pieces(self)
-        self.pair_stays = lru_cache(TWIGS)(self._pair_stays)
+        self.met = lru_cache(MET)(self._met)
         self.twig = lru_cache(TWIGS)(self._branch)
 
     def merge(self, data: bytes) -> list[bytes]:
@@ -117,19 +118,22 @@ class Bpe:
             i = end[i]
         return parts
 
-    def _pair_stays(self, a: bytes, b: bytes) -> bool:
-        return (a + b) not in self.ranks and self.merge(a + b) == [a, b]
+    def _met(self, a: bytes, b: bytes) -> list[bytes] | None:
+        """The encoding of two neighbours' joint bytes, None if they stay."""
+        merged = self.merge(a + b)
+        return None if len(merged) == 2 and merged[0] == a else merged
 
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
-        if not left or not right or self.pair_stays(left[-1], right[0]):
+        if not left or not right:
             return left + right
-        width = SEAM
-        while True:
+        met, a, b, width = self.met, len(left) - 1, 1, SEAM
+        window = met(left[a], right[0])
+        if window is None:
+            return left + right
+        while (a and met(left[a - 1], window[0])) or (b < len(right) and met(window[-1], right[b])):
             a, b = max(0, len(left) - width), min(len(right), width)
-            window = self.merge(b"".join(left[a:] + right[:b]))
-            if (not a or self.pair_stays(left[a - 1], window[0])) and (b == len(right) or self.pair_stays(window[-1], right[b])):
-                return left[:a] + window + right[b:]
-            width *= 4
+            window, width = self.merge(b"".join(left[a:] + right[:b])), width * 4
+        return left[:a] + window + right[b:]
 
     def tree(self, data: bytes) -> list[bytes]:
         if len(data) <= LEAF:
