@@ -200,3 +200,26 @@ def test_members_that_their_leader_does_not_verify_meet_each_other(spark, monkey
     assert len(want) == 3
     for bucket in (4096, 8):
         assert sorted(r["doc_id"] for r in simhash.keep_one_similar(docs, bits=31, bucket=bucket).collect()) == want
+
+
+def test_pairs_of_a_block_that_are_not_similar_are_not_compared_one_by_one(spark, monkeypatch):
+    """Sets that share two thirds with each other: within the bits, but not similar, save one pair. Bounds leave only that one to be compared."""
+    import pyarrow as pa
+
+    rng, compared, similar = np.random.default_rng(3), [], simhash.similar
+    base = rng.integers(0, 1 << 32, 200, dtype=np.uint64)
+    for size in (40, 400):  # whole sets, and least hashes of larger ones
+        common = np.concatenate([base, rng.integers(0, 1 << 32, 3 * size, dtype=np.uint64)])
+        sets = [np.unique(np.concatenate([rng.choice(common, len(common) * 9 // 10, replace=False), rng.integers(0, 1 << 32, size, dtype=np.uint64)]).astype(np.uint32)) for _ in range(150)]
+        sets = [s[: simhash.SKETCH] for s in sets[:-1]] + [sets[0][: simhash.SKETCH]]
+        want = {(i, j) for i in range(150) for j in range(i + 1, 150) if similar(sets[i], sets[j])}
+        may = simhash.perhaps(sets, sets)
+        assert all(may[i, j] for i, j in want) and (simhash.perhaps(sets[:70], sets[70:]) == may[:70, 70:]).all()
+        rows = {"k": [1] * 150, "block": [0] * 150, "mine": [0] * 150, "node": range(150), "fp": [0] * 150, "root": range(150), "sketch": [s.tobytes() for s in sets]}
+        kinds = dict.fromkeys(rows, pa.int64()) | {"sketch": pa.binary()}
+        batch = pa.RecordBatch.from_arrays([pa.array(list(v), kinds[c]) for c, v in rows.items()], names=list(rows))
+        monkeypatch.setattr(simhash, "similar", lambda *x: compared.append(x) or similar(*x))
+        got = pa.Table.from_batches(list(simhash._pairs_left(iter([batch]), 18, 0.8))).to_pydict()
+        assert set(zip(got["a"], got["b"])) <= want and (0, 149) in want
+        assert len(compared) < 150 * 149 // 2 // 10
+        compared.clear()

@@ -21,6 +21,8 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows that one call of a row function sees at most; a slice of an Arrow batch, so that texts of
 #: many megabytes do not become Python objects all at once.
 SLICE = 512
+#: Rows of an Arrow batch at most. Spark's 10,000 rows of text would be tens of megabytes outside the heap, several times over.
+BATCH, BATCH_CONF = 2048, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def utf8(text: str | None) -> bytes:
@@ -33,11 +35,15 @@ def word_count(text: Column) -> Column:
 
 
 def map_slices(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """A row-wise Arrow map: rows gets the columns of at most SLICE rows as lists and returns those of schema."""
+    """A row-wise Arrow map: rows gets the columns of at most SLICE rows as lists and returns those of schema. Plans are run later, so
+    the session keeps the smaller batches."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(StructType.fromDDL(schema))
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH:
+        conf.set(BATCH_CONF, str(BATCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

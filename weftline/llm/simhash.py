@@ -248,6 +248,8 @@ SIMILAR_WORDS, SIMILARITY, SIMILAR_BITS = 5, 0.8, 18
 BANDS, ROWS = 14, 5
 #: Least hashes by which a pair is verified; texts of fewer shingles are compared whole. Of an estimate the standard error is allowed for.
 SKETCH, ERROR = 256, 0.025
+#: Rows of a block with sketches, whose pairs are compared by matrices.
+VERIFIED = 2048
 _ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * j + 1, 1 << 64) for j in range(max(16, BANDS * ROWS))], np.uint64)
 
 
@@ -299,6 +301,43 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, sketch: int
     return shared / len(both) >= (least if whole else least - ERROR)
 
 
+def perhaps(a: list[np.ndarray], b: list[np.ndarray], least: float = SIMILARITY, sketch: int = SKETCH) -> np.ndarray:
+    """Which pairs of a set of a and one of b may be ``similar``, as a matrix; it leaves out none that are. Hashes are taken in ranges from the least
+    on: what two sets share in a range is a product of 0/1 matrices. Whole sets are compared exactly; what others share up to the
+    range in which their union comes to ``sketch`` hashes bounds their estimate."""
+    sizes = [np.array([len(x) for x in sets]) for sets in (a, b)]
+    hashes, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    places, rows = np.split(place, [sizes[0].sum()]), [np.repeat(np.arange(len(n)), n) for n in sizes]
+    counts = [np.bincount(p, minlength=len(hashes)) for p in places]
+    common = counts[0] > 1 if a is b else (counts[0] > 0) & (counts[1] > 0)
+    shared, union, bound = (np.full((len(a), len(b)), x, np.float32) for x in (0, 0, -1))
+    ends = np.linspace(0, len(hashes), 33).astype(np.int64)[1:]
+    start = 0
+    for end in ends:
+        columns = start + np.flatnonzero(common[start:end])
+        for at in range(0, len(columns), 1024):
+            some, both = columns[at : at + 1024], []
+            column = np.full(end - start, -1)
+            column[some - start] = np.arange(len(some))
+            for p, r, n in zip(places, rows, sizes):
+                inside = (p >= some[0]) & (p <= some[-1])
+                c, r = column[p[inside] - start], r[inside]
+                m = np.zeros((len(n), len(some)), np.float32)
+                m[r[c >= 0], c[c >= 0]] = 1
+                both.append(m)
+            product = both[0] @ both[1].T
+            shared += product
+            union -= product
+        x, y = (np.bincount(r[(p >= start) & (p < end)], minlength=len(n)) for p, r, n in zip(places, rows, sizes))
+        union += (x[:, None] + y[None, :]).astype(np.float32)
+        full = (bound < 0) & (union >= sketch)
+        bound[full] = shared[full]
+        start = end
+    whole = (sizes[0] < sketch)[:, None] & (sizes[1] < sketch)[None, :]
+    exact = shared.astype(np.float64) >= least * union.astype(np.float64) - 1e-6
+    return np.where(whole, exact, np.where(bound < 0, shared, bound) >= (least - ERROR) * sketch - 1e-3)
+
+
 def within(x: np.ndarray, bits: int = SIMILAR_BITS) -> np.ndarray:
     """Which differences x of pairs are of at most bits bits: a chain of segments within its budgets from some place of the ring
     on, and then the full distance."""
@@ -394,16 +433,15 @@ def _pairs_left(batches: Iterator[pa.RecordBatch], bits: int, least: float | Non
             close &= (rows[:, None] < np.arange(len(fp))[None, :]) & (root[rows][:, None] != root[None, :])
             if across:
                 close &= mine[rows][:, None] != mine[None, :]
-            x, y = np.nonzero(close)
-            yield rows[x], y
+            yield rows, close
 
     def of_block(block: pa.Table) -> pa.RecordBatch:
         mine, node, fp, root = (block.column(c).to_numpy() for c in ("mine", "node", "fp", "root"))
-        pairs = near(mine, fp.view(np.uint64), root) if len(fp) > 1 and (root != root[0]).any() else iter(())
         if least is None:
             open_ = np.zeros(len(node), bool)
-            for x, y in pairs:
-                open_[x] = open_[y] = True
+            for rows, close in near(mine, fp.view(np.uint64), root) if len(fp) > 1 and (root != root[0]).any() else ():
+                open_[rows] |= close.any(axis=1)
+                open_ |= close.any(axis=0)
             return pa.RecordBatch.from_arrays([pa.array(block.column("k").to_numpy()[open_]), pa.array(node[open_])], names=["k", "node"])
         sets, joined, made = [np.frombuffer(x, np.uint32) for x in block.column("sketch").to_pylist()], {}, []
 
@@ -412,15 +450,19 @@ def _pairs_left(batches: Iterator[pa.RecordBatch], bits: int, least: float | Non
                 joined[v] = v = joined.get(p, p)
             return v
 
-        sizes = np.array([len(x) for x in sets])
-        for x, y in pairs:
-            less, more = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-            fits = (more >= SKETCH) | (less / np.maximum(more, 1) >= least)  # of whole sets, the sizes bound the similarity
-            for i, j in zip(x[fits].tolist(), y[fits].tolist()):
-                u, v = find(int(root[i])), find(int(root[j]))
-                if u != v and similar(sets[i], sets[j], least):
-                    joined[max(u, v)] = min(u, v)
-                    made.append((int(node[i]), int(node[j])))
+        if len(fp) > 1 and (root != root[0]).any():
+            sides = [np.flatnonzero(mine == m) for m in np.unique(mine)]
+            u, v = sides[0], sides[-1]
+            of_u = [sets[i] for i in u]
+            close = np.bitwise_count(fp.view(np.uint64)[u][:, None] ^ fp.view(np.uint64)[v][None, :]) <= bits
+            close &= root[u][:, None] != root[v][None, :]
+            if close.any():
+                close &= perhaps(of_u, of_u if len(sides) == 1 else [sets[i] for i in v], least)
+            for i, among in zip(u.tolist(), close):
+                for j in v[among].tolist():
+                    if (i < j or len(sides) > 1) and (r := find(int(root[i]))) != (q := find(int(root[j]))) and similar(sets[i], sets[j], least):
+                        joined[max(r, q)] = min(r, q)
+                        made.append((int(node[i]), int(node[j])))
         return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def blocks(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
@@ -440,11 +482,15 @@ def _pairs_left(batches: Iterator[pa.RecordBatch], bits: int, least: float | Non
 def _in_blocks(rows: DataFrame, bucket: int) -> DataFrame:
     """rows (k, ...) under block and mine: a bucket of more than ``bucket`` rows is cut into parts, and every two parts (and each by itself) make a
     block of a task, so that all its pairs meet in bounded memory."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     large = small(rows.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("k", F.ceil(F.col("n") * 2 / bucket).cast("int").alias("parts")))
     dealt = rows.join(large, "k", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: F.least(F.col("mine"), c).cast("long") * F.col("parts") + F.greatest(F.col("mine"), c))
-    return dealt.withColumn("block", F.explode(both)).drop("parts").repartition(parts, "k", "block").sortWithinPartitions("k", "block", "node")
+    return dealt.withColumn("block", F.explode(both)).drop("parts")
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "k", "block").sortWithinPartitions("k", "block", "node")
 
 
 def remaining(left: DataFrame, member: DataFrame, sketches: DataFrame, least: float = SIMILARITY, bucket: int = BUCKET, bits: int = SIMILAR_BITS) -> DataFrame:
@@ -454,12 +500,11 @@ def remaining(left: DataFrame, member: DataFrame, sketches: DataFrame, least: fl
     rooted = left.join(member, F.col("node") == F.col("at"), "left").select("k", "node", "fp", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("k").agg(F.min("root").alias("m"), F.max("root").alias("n")).filter("m <> n").select("k")
     rooted = cut(rooted.join(several, "k", "left_semi"))
-    met = _in_blocks(rooted, bucket).select("k", "block", "mine", "node", "fp", "root").mapInArrow(partial(_pairs_left, bits=bits, least=None), "k long, node long")
+    met = _by_block(_in_blocks(rooted, bucket).select("k", "block", "mine", "node", "fp", "root")).mapInArrow(partial(_pairs_left, bits=bits, least=None), "k long, node long")
     met = cut(met.distinct())
     told = met.select("node").distinct().join(sketches, "node").dropDuplicates(["node"])
-    open_ = _in_blocks(rooted.join(met, ["k", "node"], "left_semi"), bucket).join(told.select("node", "sketch"), "node")
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = open_.repartition(parts, "k", "block").sortWithinPartitions("k", "block", "node").select("k", "block", "mine", "node", "fp", "root", "sketch")
+    open_ = _in_blocks(rooted.join(met, ["k", "node"], "left_semi"), min(bucket, VERIFIED)).join(told.select("node", "sketch"), "node")
+    sent = _by_block(open_.select("k", "block", "mine", "node", "fp", "root", "sketch"))
     return sent.mapInArrow(partial(_pairs_left, bits=bits, least=least), "a long, b long")
 
 
