@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.llm import queries, substr
@@ -192,3 +193,40 @@ def test_the_query_goes_through_compaction_before_its_last_batch(spark, tmp_path
     assert got == {k: hashlib.sha256(" ".join(kept[k]).encode()).hexdigest() for k in docs}
     last = len(steps) - 1 - steps[::-1].index("batch")
     assert steps[:last].count("compacted") == 2 and steps.count("batch") > 2
+
+
+def test_gram_runs_are_aggregated_by_hash(spark, monkeypatch):
+    plans, write = [], substr.Level.write
+
+    def noted(level, run):
+        if level.keys == ["h"]:
+            plans.append(run._jdf.queryExecution().executedPlan().toString())
+        return write(level, run)
+
+    monkeypatch.setattr(substr.Level, "write", noted)
+    index = substr.FingerprintIndex(spark, 1)
+    for k in range(2):
+        index.append(frame(spark, {k: "x y z " * 20 + f"d{k}"}))
+    index.drop()
+    assert len(plans) == 3 and all("HashAggregate" in p and "SortAggregate" not in p for p in plans)
+
+
+def test_marks_of_many_texts_equal_those_of_each(monkeypatch):
+    texts = [None, "", *corpus(8, 30).values(), "end", "", "begin " * 25, "x" * 70 + " y" * 30, " z" * 19, "é\x0bw " * 20, "last"]
+    made = []
+    for at_once in (1, 500, 1 << 20):
+        monkeypatch.setattr(substr, "AT_ONCE", at_once)
+        out = []
+        for first, marks in substr._marks(pa.array(["before", *texts], pa.string()).slice(1)):
+            assert marks.rows == 1 or len(marks.data) <= at_once
+            count = marks.count.tolist()
+            assert count == [len((t or "").split()) for t in texts[first : first + marks.rows]]
+            if marks.long:
+                unique = pa.array([[0, 3, 900] if i % 2 else None for i in range(first, first + marks.rows)], pa.list_(pa.int32()))
+                starts = marks.candidates(unique)
+                hashes = zip(*(x.tolist() for x in marks.windows(starts)))
+                out += [(first + r, s - marks.base[r], *ab) for s, r, ab in zip(starts.tolist(), marks.row[starts].tolist(), hashes)]
+                stays = marks.staying(unique, unique)
+                out += [(first + r, "stays", stays[marks.base[r] : marks.base[r + 1]].tolist()) for r in range(marks.rows) if count[r] >= substr.WIDTH]
+        made.append(sorted(out, key=str))
+    assert made[0] == made[1] == made[2] and len(made[0]) > 100

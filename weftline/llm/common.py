@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.base import spread, table
 from ..sources.shared import cut, drop_path, shared_dir, shared_path
 
-__all__ = ["SLICE", "SMALL", "cut", "drop_path", "map_slices", "release", "shared_dir", "shared_path", "small", "spread", "table", "utf8", "word_count"]
+__all__ = ["SLICE", "SMALL", "cut", "drop_path", "map_slices", "release", "shared_dir", "shared_path", "small", "small_batches", "spread", "table", "utf8", "word_count"]
 
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 #: bytes.split() without arguments splits UTF-8 at exactly these six bytes.
@@ -34,16 +34,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH rows. Plans are run later, so the session keeps them."""
+    if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH:
+        spark.conf.set(BATCH_CONF, str(BATCH))
+
+
 def map_slices(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """A row-wise Arrow map: rows gets the columns of at most SLICE rows as lists and returns those of schema. Plans are run later, so
-    the session keeps the smaller batches."""
+    """A row-wise Arrow map: rows gets the columns of at most SLICE rows as lists and returns those of schema."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(StructType.fromDDL(schema))
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH:
-        conf.set(BATCH_CONF, str(BATCH))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

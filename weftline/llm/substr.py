@@ -37,10 +37,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, SMALL, cut, drop_path, map_slices, release, shared_path, utf8
+from .common import SLICE, SMALL, cut, drop_path, release, shared_path, small_batches, utf8
 
 #: With more batches than runs a level, the last batch meets runs that have been compacted.
 WIDTH, GRAM, MAX_RUNS, BATCHES = 20, 8, 2, 4
@@ -61,16 +62,20 @@ def _finish(h: np.ndarray) -> np.ndarray:
 _BYTES = _rng.integers(1, 2**63, (2, 256)).astype(np.uint64)
 _BYTES[:, np.frombuffer(b"\x20\x09\x0a\x0b\x0c\x0d", np.uint8)] = 0
 _PLACES = _rng.integers(1, 2**63, (2, 64)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = _BYTES[0] == 0
+_FACTORS = _BYTES[:, None, :] * _PLACES[:, :, None]
 WORDS_AT_ONCE = 1 << 16
+#: Bytes of text looked at in one go; a longer text is looked at by itself.
+AT_ONCE = 1 << 18
 
 
-def _edges(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of UTF-8 bytes."""
+def _edges(text: np.ndarray, borders: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of UTF-8 bytes; no word goes over a border, where a text begins or ends."""
     inside = np.zeros(len(text) + 2, bool)
-    inside[1:-1] = ~_SPACE[text]
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    return turns[::2], turns[1::2]
+    inside[1:-1] = (text != 32) & (text - np.uint8(9) > 4)
+    starts, ends = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+    if borders is not None:
+        starts[borders], ends[borders] = inside[borders + 1], inside[borders]
+    return np.flatnonzero(starts), np.flatnonzero(ends)
 
 
 def _codes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
@@ -80,9 +85,15 @@ def _codes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) ->
     out = np.zeros(len(starts), np.uint64)
     for at in range(0, len(starts), WORDS_AT_ONCE):
         part = slice(at, at + WORDS_AT_ONCE)
-        piece, first = text[starts[at] : ends[part][-1]], starts[part] - starts[at]
-        place = np.arange(len(piece)) - np.repeat(first, np.diff(first, append=len(piece)))
-        out[part] = np.add.reduceat(_BYTES[seed][piece] * _PLACES[seed][place & 63], first)
+        size = np.minimum(ends[part] - starts[part], 64).astype(np.uint8)
+        # The longest first, so that the words that have a byte at some place are the first so many.
+        order = np.argsort(64 - size, kind="stable")
+        first, total = starts[part][order], np.zeros(len(order), np.uint64)
+        reach = len(order) - np.cumsum(np.bincount(size, minlength=65))
+        for place in range(size.max()):
+            n = reach[place]
+            total[:n] += _FACTORS[seed, place].take(text.take(first[:n] + place))
+        out[at + order] = total
     for i in np.flatnonzero(ends - starts > 64).tolist():
         out[i] = xxh64_intdigest(text[starts[i] : ends[i]].tobytes(), seed)
     return _finish(out)
@@ -105,62 +116,88 @@ def _slide(values: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 
 class Marks:
-    """The words of a text, and its grams: hash, whether selected, and the least hash in each long window."""
-
-    def __init__(self, text: str | None) -> None:
-        self.text = utf8(text)
-        self.bytes = np.frombuffer(self.text, np.uint8)
-        self.starts, self.ends = _edges(self.bytes)
-        self.long = len(self.starts) >= WIDTH
+    """The words of some texts, one text behind the other, and the grams that begin at them: hash, whether selected, and the least
+    hash in each long window. Words, grams and windows are numbered over all the texts, and none is of two texts."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.data, self.offsets, self.rows = data, offsets, len(offsets) - 1
+        self.starts, self.ends = _edges(data, offsets)
+        self.base = np.searchsorted(self.starts, offsets)
+        self.count = np.diff(self.base)
+        self.row = np.repeat(np.arange(self.rows), self.count)
+        self.long = bool((self.count >= WIDTH).any())
         if self.long:
-            self.codes = _codes(self.bytes, self.starts, self.ends, 0)
+            self.codes = _codes(data, self.starts, self.ends, 0)
             self.gram = _hashes(self.codes, GRAM, _ODD)
-            inside = WIDTH - GRAM + 1
+            inside, none = WIDTH - GRAM + 1, np.uint64(0)
+            self.whole = self.row[: len(self.row) - WIDTH + 1] == self.row[WIDTH - 1 :]
             self.least = _slide(self.gram, inside, True)
-            padded = np.concatenate([np.zeros(inside - 1, np.uint64), self.least, np.zeros(inside - 1, np.uint64)])
-            self.selected = _slide(padded, inside, False) == self.gram
+            padded = np.concatenate([np.zeros(inside - 1, np.uint64), np.where(self.whole, self.least, none), np.zeros(inside - 1, np.uint64)])
+            held = (self.count >= WIDTH)[self.row[: len(self.gram)]] & (self.row[: len(self.gram)] == self.row[GRAM - 1 :])
+            self.selected = (_slide(padded, inside, False) == self.gram) & held
 
     def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The two hashes of the long windows at starts; the words of each have codes of their own."""
-        again = _codes(self.bytes, self.starts, self.ends, 1)
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        again = _codes(self.data, self.starts, self.ends, 1)
         return _hashes(self.codes, WIDTH, _ODD[GRAM : GRAM + WIDTH])[starts], _hashes(again, WIDTH, _ODD[GRAM + WIDTH :])[starts]
 
-    def around(self, opened: list[int]) -> np.ndarray:
+    def listed(self, places: pa.Array, width: int) -> np.ndarray:
+        """The numbers of the grams or windows of so many words that each text lists by their places in it."""
+        sizes = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)
+        row, at = np.repeat(np.arange(self.rows), sizes), places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        there = at <= self.count[row] - width
+        return self.base[row[there]] + at[there]
+
+    def around(self, opened: pa.Array) -> np.ndarray:
         """Starts of the long windows that select a gram at one of the places opened."""
         only = np.zeros(len(self.gram), bool)
-        at = np.asarray(opened)
-        only[at[at < len(only)]] = True
+        only[self.listed(opened, GRAM)] = True
         return self._selecting(only)
 
-    def candidates(self, unique: list[int] | None) -> np.ndarray:
+    def candidates(self, unique: pa.Array) -> np.ndarray:
         """Starts of the long windows that select a gram which is not unique."""
         again = self.selected.copy()
-        if unique is not None and len(unique):
-            at = np.asarray(unique)
-            again[at[at < len(again)]] = False
+        again[self.listed(unique, GRAM)] = False
         return self._selecting(again)
 
     def _selecting(self, these: np.ndarray) -> np.ndarray:
         none = np.uint64(0xFFFFFFFFFFFFFFFF)
-        return np.flatnonzero((_slide(np.where(these, self.gram, none), WIDTH - GRAM + 1, True) == self.least) & (self.least != none))
-
-    def kept(self, unique: list[int] | None, owned: list[int] | None) -> list[bytes]:
-        words = self.text.split()
-        if not self.long:
-            return words
-        copies = np.zeros(len(self.least), bool)
-        copies[self.candidates(unique)] = True
-        if owned is not None and len(owned):
-            at = np.asarray(owned)
-            copies[at[at < len(copies)]] = False
-        if not copies.any():
-            return words
-        cover = np.zeros(len(words) + 1, np.int64)
-        starts = np.flatnonzero(copies)
-        cover[starts] += 1
-        np.subtract.at(cover, starts + WIDTH, 1)
-        stays = np.cumsum(cover[:-1]) == 0
-        return list(compress(words, stays.tolist()))
+        same = _slide(np.where(these, self.gram, none), WIDTH - GRAM + 1, True) == self.least
+        return np.flatnonzero(same & self.whole & (self.least != none))
+
+    def staying(self, unique: pa.Array, owned: pa.Array) -> np.ndarray:
+        """Whether each word stays."""
+        cover = np.zeros(len(self.row) + 1, np.int64)
+        if self.long:
+            copies = np.zeros(len(self.least), bool)
+            copies[self.candidates(unique)] = True
+            copies[self.listed(owned, WIDTH)] = False
+            starts = np.flatnonzero(copies)
+            cover[starts] += 1
+            cover[starts + WIDTH] -= 1
+        return np.cumsum(cover[:-1]) == 0
+
+
+def _marks(texts: pa.Array) -> Iterator[tuple[int, Marks]]:
+    """The marks of a string column, null as empty, in slices of whole texts of about AT_ONCE bytes, and the first row of each."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, places, content = texts.buffers()
+    if not len(texts):
+        return
+    offsets = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    whole, at = np.frombuffer(content, np.uint8) if content is not None else np.zeros(0, np.uint8), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + AT_ONCE, "right")) - 1)
+        yield at, Marks(whole[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        at = to
+
+
+def _all_unique(batch: pa.RecordBatch) -> pa.Array:
+    """Whether each text lists as many unique grams as it has: none of its windows is a copy."""
+    return pc.fill_null(pc.equal(pc.list_value_length(batch["places"]), batch["m"]), False)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -174,39 +211,40 @@ def _texts(docs: DataFrame) -> DataFrame:
 ROW = ["k", "t"]
 
 
-def _first() -> Column:
-    """The least place: a null doc_id last, then doc_id, start and text."""
-    return F.min(F.struct(F.col("t").bitwiseAND(F.lit(1)).alias("none"), "k", "pos", "t", "m")).alias("first")
+def _only() -> list[Column]:
+    """Of a gram that occurs once, its place and how many grams its text has. Of others no place is needed, so these are minima of
+    their own, which Spark aggregates by hash, and not that of a struct, for which it sorts."""
+    return [F.min(c).alias(c) for c in (*ROW, "pos", "m")]
 
 
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values)
 
 
-def _hashed(rows: DataFrame, names: str, hashes: Callable[[Marks, list | None], tuple | None]) -> DataFrame:
-    """Columns named (hashes), k, t and pos, and m, how many there are of the text, from rows (k, t, text and perhaps a list of places
-    and m): hashes gives for the marks of a long text its arrays of hashes and their starts. A text with m places listed, all of
-    its grams, is passed over."""
-    columns, lists, counted = names.split(), "places" in rows.columns, "m" in rows.columns
+def _hashed(rows: DataFrame, hashed: str, hashes: Callable[[Marks, pa.Array | None], tuple]) -> DataFrame:
+    """Columns named (hashes), k, t and pos, and m, how many there are of the text, from rows (k, t, text), or without m from rows
+    (k, t, text, a list of places and perhaps m): hashes gives for the marks of texts and their lists arrays of hashes and their
+    starts. A text with m places listed, all of its grams, is passed over."""
+    columns, lists, counted = hashed.split(), "places" in rows.columns, "m" in rows.columns
     wanted = rows.select("k", "t", "text", *(["places"] if lists else []), *(["m"] if counted else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                made = [[np.zeros(0, np.uint64)] for _ in columns] + [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]]
-                for row in zip(*(c.to_pylist() for c in part.columns)):
-                    if counted and row[4] is not None and len(row[3]) == row[4]:
-                        continue
-                    marks = Marks(row[2])
-                    got = hashes(marks, row[3] if lists else None) if marks.long else None
-                    if got is not None:
-                        *values, starts = got
-                        for out, value in zip(made, [*values, np.full(len(starts), row[0]), np.full(len(starts), row[1]), starts.astype(np.int32), np.full(len(starts), len(starts), np.int32)]):
-                            out.append(value)
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(x)) for x in made], names=[*columns, "k", "t", "pos", "m"])
-
-    return wanted.mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", k long, t long, pos int, m int")
+            if counted:
+                batch = batch.filter(pc.invert(_all_unique(batch)))
+            k, t = (batch[c].to_numpy(zero_copy_only=False) for c in ROW)
+            for first, marks in _marks(batch["text"]):
+                if not marks.long:
+                    continue
+                *values, starts = hashes(marks, batch["places"].slice(first, marks.rows) if lists else None)
+                row = marks.row[starts]
+                made = [*values, k[first + row], t[first + row], (starts - marks.base[row]).astype(np.int32)]
+                if not lists:
+                    made.append(np.bincount(row, minlength=marks.rows)[row].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([_long(x) for x in made], names=names)
+
+    names = [*columns, *ROW, "pos", *([] if lists else ["m"])]
+    return wanted.mapInArrow(run, ", ".join(f"{c} {'int' if c in ('pos', 'm') else 'long'}" for c in names))
 
 
 def grams(texts: DataFrame) -> DataFrame:
@@ -222,9 +260,9 @@ def grams(texts: DataFrame) -> DataFrame:
 def _candidates(joined: DataFrame) -> DataFrame:
     """a, b (the two hashes), k, t, pos of every window of rows (k, t, text, places: unique grams) that may be a copy."""
 
-    def which(marks: Marks, places: list | None) -> tuple | None:
+    def which(marks: Marks, places: pa.Array) -> tuple:
         starts = marks.candidates(places)
-        return (*marks.windows(starts), starts) if len(starts) else None
+        return *marks.windows(starts), starts
 
     return _hashed(joined, "a b", which)
 
@@ -232,9 +270,9 @@ def _candidates(joined: DataFrame) -> DataFrame:
 def _opened(joined: DataFrame) -> DataFrame:
     """a, b, k, t, pos of the windows around the places (grams that come again) of rows of history."""
 
-    def which(marks: Marks, places: list) -> tuple | None:
+    def which(marks: Marks, places: pa.Array) -> tuple:
         starts = marks.around(places)
-        return (*marks.windows(starts), starts) if len(starts) else None
+        return *marks.windows(starts), starts
 
     return _hashed(joined, "a b", which)
 
@@ -277,7 +315,7 @@ class Level:
 
 
 def _merged_grams(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("none", "k", "pos", "t", "m")).alias("first")).select("h", "n", "first.*")
+    return runs.groupBy("h").agg(F.sum("n").alias("n"), *_only())
 
 
 class FingerprintIndex:
@@ -296,7 +334,7 @@ class FingerprintIndex:
         """Adds a batch and returns the marks of its documents: (k, t, places of unique grams, m: how many grams), (k, t, owned windows).
         ``kept`` takes the marks of any number of batches."""
         texts = _texts(batch)
-        run = self.grams.write(grams(texts).groupBy("h").agg(F.count("*").alias("n"), _first()).select("h", "n", "first.*"))
+        run = self.grams.write(grams(texts).groupBy("h").agg(F.count("*").alias("n"), *_only()))
         unique = self.spark.table(run).filter("n = 1")
         for other in self.grams.others(run):
             unique = unique.join(other, "h", "left_anti")
@@ -349,21 +387,32 @@ def kept(docs: DataFrame, marks: list[tuple[DataFrame, DataFrame]]) -> DataFrame
     for i in range(2):
         joined = joined.join(reduce(DataFrame.unionByName, [m[i] for m in marks]), ROW, "left")
 
-    def rows(got: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": [None if t & 1 else k for k, t in zip(got["k"], got["t"])], "n_words": [], "n_removed": [], "kept": []}
-        for text, places, m, owned in zip(got["text"], got["places"], got["m"], got["owned"]):
-            if m is not None and len(places) == m:  # all grams are unique: no window is a copy
-                stays = utf8(text).split()
-                n = len(stays)
-            else:
-                marks = Marks(text)
-                stays, n = marks.kept(places, owned), len(marks.starts)
-            out["n_words"].append(n)
-            out["n_removed"].append(n - len(stays))
-            out["kept"].append(b" ".join(stays).decode("utf-8", "surrogatepass"))
-        return out
-
-    return map_slices(joined.select(*ROW, "text", "places", "m", "owned"), rows, "doc_id long, n_words long, n_removed long, kept string")
+    def written(rows: pa.RecordBatch, words: list[int], left: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        k, t = (rows[c].to_numpy(zero_copy_only=False) for c in ROW)
+        n, stays = np.asarray(words, np.int64), np.asarray(left, np.int64)
+        columns = [pa.array(k, mask=(t & 1) == 1), pa.array(n), pa.array(n - stays), pa.array(texts, pa.binary()).view(pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            easy = _all_unique(batch)
+            whole, rest = batch.filter(easy), batch.filter(pc.invert(easy))
+            for at in range(0, whole.num_rows, SLICE):
+                part = whole.slice(at, SLICE)
+                split = [utf8(text).split() for text in part["text"].to_pylist()]
+                sizes = [len(words) for words in split]
+                yield written(part, sizes, sizes, [b" ".join(words) for words in split])
+            for first, marks in _marks(rest["text"]):
+                part, base, out = rest.slice(first, marks.rows), marks.base.tolist(), []
+                stays = marks.staying(part["places"], part["owned"])
+                left = np.diff(np.concatenate([[0], np.cumsum(stays)])[marks.base])
+                for i, (n, some) in enumerate(zip(marks.count.tolist(), left.tolist())):
+                    words = marks.data[marks.offsets[i] : marks.offsets[i + 1]].tobytes().split()
+                    out.append(b" ".join(words if some == n else compress(words, stays[base[i] : base[i + 1]].tolist())))
+                yield written(part, marks.count, left, out)
+
+    small_batches(docs.sparkSession)
+    return joined.select(*ROW, "text", "places", "m", "owned").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def deduplicate_in_batches(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
